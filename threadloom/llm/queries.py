@@ -5,19 +5,117 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threadloom.llm.decontaminate import leaks
+from threadloom.llm.fingerprint import fingerprints
+from threadloom.llm.langid import held_out, identify
+from threadloom.llm.line_dedup import drop_repeated_lines
 from threadloom.llm.near_dedup import near_duplicates
+from threadloom.llm.packing import pack
+from threadloom.llm.sharding import assign_shards
+from threadloom.llm.token_files import read_token_files, write_token_files
+from threadloom.llm.url_filter import judge
+from threadloom.llm.warc import read_warc, write_warc
+from threadloom.llm.work import shared_dir, text_or_empty
+
+#: Rules of the URL filter: a host, a slash and the start of the path.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+SHARD_BYTES = 4 << 20
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the token queries; every executor has it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("bytes"))
+    out = assign_shards(sized, F.col("doc_id"), F.col("bytes"), SHARD_BYTES)
+    return out.select("doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_bytes", "oversized")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as labelled by the label row of the same number; toxic is bad."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_dropped", F.char_length(text_or_empty()).cast("long").alias("kept_chars"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokenizer_path(), end_id=1)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_warc(_table(spark, sf_dir, "pages"), shared_dir(spark), least=0)
+    return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=2)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_sharding": op2_sharding,
+    "op3_url_filter": op3_url_filter,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_token_files": op6_token_files,
+    "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+
+#: The fewest prefix bits whose bucket fits the limit, found over all depths up to 40 bits.
+_OP2 = f"""
+with h as (
+  select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as hash60
+  from documents),
+sums as (
+  select d.depth, h.hash60 >> (60 - d.depth) as prefix, sum(h.n_bytes)::bigint as bytes
+  from h, (select unnest(range(0, 41)) as depth) d group by 1, 2),
+leaf as (
+  select h.doc_id, h.n_bytes, h.hash60, min(s.depth) as depth
+  from h, sums s
+  where s.prefix = h.hash60 >> (60 - s.depth) and s.bytes <= {SHARD_BYTES} group by 1, 2, 3)
+select l.doc_id, l.n_bytes, l.depth::int as shard_depth, s.prefix as shard_prefix, s.bytes as shard_bytes, false as oversized
+from leaf l join sums s on s.depth = l.depth and s.prefix = l.hash60 >> (60 - l.depth)
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": _OP2}
