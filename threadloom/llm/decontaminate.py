@@ -74,7 +74,8 @@ def _leaks(docs: DataFrame, items: DataFrame, words: int, percent: int) -> DataF
     size = probes.agg(F.count("*").alias("keys"), F.min("n").alias("least")).first()
     spare = _bin_bits(max(1, math.ceil(size["least"] * percent / 100)), MISS)
     near = F.broadcast(probes) if size["keys"] <= BROADCAST_KEYS else probes
-    bins = _signature(_grams(docs, words), spare).select("doc_id", F.explode("signature").alias("h"))
+    # the outer form infers no filter on the array, which would compute the signature twice
+    bins = _signature(_grams(docs, words), spare).select("doc_id", F.explode_outer("signature").alias("h"))
     hits = bins.join(near, "h").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("hits"))
     pairs = save(hits.filter(F.col("hits") * 200 >= F.col("n") * percent).select("doc_id", "item_id"))
     some = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from threadloom.llm.work import save
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: every node has one edge down, or only edges up."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(edges.select("v", F.lit(0)))
+    odd = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return odd.filter("down > 1 or (down = 1 and least = 0)").isEmpty()
 
 
 def _star(rows: DataFrame) -> DataFrame:
@@ -39,13 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each step is written to shared storage.
     Self-loops and repeated edges change nothing; an empty table gives an empty table.
     """
-    now = save(edges.select("u", "v").filter("u <> v").distinct())
-    seen = _digest(now)
-    while seen[0]:
+    down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = save(down.distinct())
+    while not _settled(now):
         now = save(_small_star(save(_large_star(now))))
-        if (after := _digest(now)) == seen:
-            break
-        seen = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
@@ -89,6 +88,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = save(pairs)
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.union(pairs)
         found = save(verify(pairs))
         edges = found if edges is None else edges.union(found)
