@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threadloom.plans import extension_queries, thread_queries, vector_queries  # noqa: F401  they register themselves
 from threadloom.plans.registry import ORACLES, QUERIES
 
 
