@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_THREAD = Window.partitionBy("thread_id")
-_NEWEST = _THREAD.orderBy(F.desc("position"), "id")
+
+def _thread():
+    return Window.partitionBy("thread_id")
+
+
+def _newest():
+    return _thread().orderBy(F.desc("position"), "id")
 
 
 def recent(messages: DataFrame, n: int) -> DataFrame:
     """The last ``n`` messages of every thread."""
-    return messages.withColumn("_k", F.row_number().over(_NEWEST)).filter(F.col("_k") <= n).drop("_k")
+    return messages.withColumn("_k", F.row_number().over(_newest())).filter(F.col("_k") <= n).drop("_k")
 
 
 def latest(messages: DataFrame) -> DataFrame:
@@ -41,14 +46,14 @@ def turn_start(messages: DataFrame) -> DataFrame:
 def preceding_turn(messages: DataFrame) -> DataFrame:
     """Every turn of a thread with the turn before it (null for the first)."""
     turns = messages.filter("turn_id <> ''").groupBy("thread_id", "turn_id").agg(F.max("position").alias("last_position"))
-    return turns.withColumn("previous_turn", F.lag("turn_id").over(_THREAD.orderBy("last_position")))
+    return turns.withColumn("previous_turn", F.lag("turn_id").over(_thread().orderBy("last_position")))
 
 
 def discourse(messages: DataFrame, n: int) -> DataFrame:
     """Each thread from the start of its current turn; its last ``n`` messages where there is no turn."""
-    current = F.max(F.struct("position", "turn_id")).over(_THREAD)["turn_id"]
-    rows = messages.withColumns({"_turn": current, "_k": F.row_number().over(_NEWEST)})
-    start = F.min(F.when(F.col("turn_id") == F.col("_turn"), F.col("position"))).over(_THREAD)
+    current = F.max(F.struct("position", "turn_id")).over(_thread())["turn_id"]
+    rows = messages.withColumns({"_turn": current, "_k": F.row_number().over(_newest())})
+    start = F.min(F.when(F.col("turn_id") == F.col("_turn"), F.col("position"))).over(_thread())
     rows = rows.withColumn("_start", start)
     kept = F.when(F.col("_turn") != "", F.col("position") >= F.col("_start")).otherwise(F.col("_k") <= n)
     return rows.filter(kept).drop("_turn", "_k", "_start")
@@ -80,7 +85,7 @@ def next_positions(messages: DataFrame, arriving: DataFrame) -> DataFrame:
     """``arriving`` (thread_id, seq) placed after what is stored, in the order of seq."""
     known = messages.groupBy("thread_id").agg(F.max("position").alias("_last"))
     rows = arriving.join(known, "thread_id", "left")
-    step = F.row_number().over(_THREAD.orderBy("seq"))
+    step = F.row_number().over(_thread().orderBy("seq"))
     return rows.withColumn("position", F.coalesce("_last", F.lit(-1)) + step).drop("_last")
 
 
