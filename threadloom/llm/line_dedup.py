@@ -1,7 +1,7 @@
 """Fuzzy line deduplication across documents.
 
 Lines are normalised (lower case, everything but letters and digits is a space) and each gets a
-64-bit SimHash of its word pairs. Lines whose SimHashes differ in at most three bits agree in two of
+64-bit SimHash of its distinct words. Lines whose SimHashes differ in at most three bits agree in two of
 five blocks, so the ten pairs of blocks are join keys; candidates within three bits are verified by
 edit similarity of the normalised lines. Of every connected group one occurrence stays, the first
 by (doc_id, text hash, line number). Equal lines are one node before any join, and texts are read
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrays import mix, slices, word_hashes
+from threadloom.llm.arrays import slices, word_hashes
 from threadloom.llm.linking import link_buckets
 from threadloom.llm.work import save
 
@@ -36,7 +36,6 @@ SIMILARITY_PERCENT = 80
 MAX_BITS = 3
 #: Blocks of the SimHash as (first bit, bits); two lines within MAX_BITS agree in two of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-_PAIR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -45,10 +44,9 @@ def normalise(line: str) -> str:
 
 
 def simhash(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of the word pairs of every (normalised) line, as int64.
+    """64-bit SimHash of the words of every (normalised, not blank) line, as int64.
 
-    Pairs, because single words leave the bits to a language's most frequent words. A line of one
-    word has that word as its only feature.
+    Each word counts once: repeated frequent words would make a language's lines alike.
     """
     words, at = word_hashes(lines)
     out = np.zeros(len(lines), np.int64)
@@ -56,16 +54,15 @@ def simhash(lines: list[str]) -> np.ndarray:
     while first < len(lines):
         last = max(first + 1, int(np.searchsorted(at, at[first] + 20_000, "right")) - 1)
         last = min(last, len(lines))
-        part, place = words[at[first] : at[last]], at[first : last + 1] - at[first]
-        after = np.append(part[1:], part[-1:])
-        after[place[1:] - 1] = 0
-        pairs = mix(part * _PAIR[0] + after * _PAIR[1])
-        bits = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-        sizes = np.diff(place)
-        # the last word pairs with nothing: it counts only where it is alone
-        bits[place[1:] - 1] *= (sizes == 1)[:, None]
+        part, line = words[at[first] : at[last]], np.repeat(np.arange(last - first), np.diff(at[first : last + 1]))
+        order = np.lexsort((part, line))
+        part, line = part[order], line[order]
+        fresh = np.append(True, (part[1:] != part[:-1]) | (line[1:] != line[:-1]))
+        part, line = part[fresh], line[fresh]
+        place = np.searchsorted(line, np.arange(last - first + 1))
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
         sums = np.add.reduceat(bits, place[:-1], axis=0)
-        out[first:last] = np.packbits(2 * sums > np.maximum(sizes - 1, 1)[:, None], axis=1).view(np.int64).ravel()
+        out[first:last] = np.packbits(2 * sums > np.diff(place)[:, None], axis=1).view(np.int64).ravel()
         first = last
     return out
 

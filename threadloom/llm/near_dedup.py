@@ -2,7 +2,7 @@
 
 Each document's set of word shingles is hashed once. A register per bucket keeps the bucket's
 smallest hash as a leading-zero count and ten mantissa bits. Bands of registers (empty ones
-borrow their next filled neighbour, for banding only) give candidate buckets; the Jaccard index
+borrow from a random filled one, for banding only) give candidate buckets; the Jaccard index
 estimated from the registers, corrected for accidental collisions, drops the hopeless pairs; the
 rest are verified on the full shingle sets.
 
@@ -32,6 +32,7 @@ REGISTERS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 ROWS = 8
 BANDS = REGISTERS // ROWS
+_BORROW = np.random.Generator(np.random.PCG64(47)).integers(0, 2**32, (REGISTERS, REGISTERS), dtype=np.uint32)
 _BAND_LAYOUT = np.random.Generator(np.random.PCG64(41)).permutation(REGISTERS).reshape(BANDS, ROWS)
 _BAND_ROLES = np.random.Generator(np.random.PCG64(43)).integers(0, 2**64, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
 
@@ -51,11 +52,16 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band; empty registers take the next filled one's value."""
-    filled = np.flatnonzero(sketch)
-    source = filled[np.searchsorted(filled, np.arange(REGISTERS)) % len(filled)]
-    values = sketch[source].astype(np.uint64)
-    # the number of filled registers never enters the key, only values and their places do
+    """A 64-bit key of each band; an empty register borrows from a filled one.
+
+    Each empty register has its own random order of all registers and takes the first filled one,
+    so that registers agree independently, also where a small set fills few of them.
+    """
+    filled, empty = np.flatnonzero(sketch), np.flatnonzero(sketch == 0)
+    values = sketch.astype(np.uint64)
+    if len(empty):
+        source = filled[_BORROW[np.ix_(empty, filled)].argmin(axis=1)]
+        values[empty] = values[source] + (source.astype(np.uint64) << np.uint64(16))
     total = (values[_BAND_LAYOUT] * _BAND_ROLES[:, :ROWS]).sum(axis=1, dtype=np.uint64)
     return mix(total + _BAND_ROLES[:, ROWS])
 
