@@ -167,6 +167,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
         return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
 
     labels = link_buckets(members, verify)
+    labels = labels.union(labels.select("component", "component").distinct())
     tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
     tagged = save(tagged.select("h", "first", F.coalesce("component", "h").alias("part")))
     kept = save(tagged.groupBy("part").agg(F.min("first").alias("kept")))

@@ -36,7 +36,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(id, component)`` of every node of ``edges (u, v)``: the smallest id it reaches.
+    """``(id, component)`` of every node of ``edges (u, v)`` that reaches a smaller id: the smallest.
+
+    The smallest ids themselves have no row.
 
     Alternating large-star and small-star steps; each step is written to shared storage.
     Self-loops and repeated edges change nothing; an empty table gives an empty table.
@@ -56,7 +58,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     against its highest, then every pair of a bucket that is not yet in one component and not
     yet tried. Links within a component that is already connected change no component, so
     groups of thousands of alike members cost a few pairs each, and no link is lost.
-    Returns ``(id, component)`` of the linked ids.
+    Returns ``(id, component)`` of the linked ids other than their component's smallest.
     """
     spark = members.sparkSession
     shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
