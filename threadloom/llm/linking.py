@@ -54,9 +54,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     """Components over all verified links between ids that share a bucket.
 
     ``members (key, id)``: distinct rows. ``verify`` keeps the true links of distinct pairs
-    ``(u, v)`` with u < v. Three rounds: every member against its bucket's lowest id, then
-    against its highest, then every pair of a bucket that is not yet in one component and not
-    yet tried. Links within a component that is already connected change no component, so
+    ``(u, v)`` with u < v. First every member meets its bucket's lowest id, then twice a
+    random member of each bucket (buckets differ, so it meets many), then every pair of a bucket
+    that is not yet in one component and not yet tried. Links within a component that is already connected change no component, so
     groups of thousands of alike members cost a few pairs each, and no link is lost.
     Returns ``(id, component)`` of the linked ids other than their component's smallest.
     """
@@ -64,11 +64,12 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = save(members.join(save(shared), "key"))
     tried = edges = labels = None
-    for turn in ("low", "high", "all"):
+    for turn in ("low", "mixed", "mixed again", "all"):
         now = members.withColumn("part", F.col("id"))
         if labels is not None:
             now = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        pick, of = (F.max("id"), F.max_by("part", "id")) if turn == "high" else (F.min("id"), F.min_by("part", "id"))
+        order = F.col("id") if turn == "low" else F.xxhash64("id", "key", F.lit(turn))
+        pick, of = F.min_by("id", order), F.min_by("part", order)
         now = save(now) if labels is not None else now
         mixed = save(
             now.groupBy("key")
