@@ -113,6 +113,16 @@ def distance(a, b):
     return row[-1]
 
 
+def test_parities_bound_the_difference_from_below():
+    rng = np.random.default_rng(8)
+    for common, more in ((0, 5), (4, 1), (40, 10), (400, 90), (5000, 1200)):
+        both, x, y = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (common, more, more // 2))
+        a, b = (near_dedup.parities(np.unique(np.concatenate([both, own]))) for own in (x, y))
+        bits = sum(int(d).bit_count() for d in (a ^ b).view(np.uint64))
+        assert 0 < bits <= len(x) + len(y)
+        assert not (near_dedup.parities(both) ^ near_dedup.parities(both[::-1])).any()
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(200):

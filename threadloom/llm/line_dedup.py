@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import slices, word_hashes
@@ -166,7 +166,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
         both = near.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
         return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
 
-    labels = link_buckets(members, verify)
+    def possible(a: Column, b: Column) -> Column:
+        return F.bit_count(a.bitwiseXOR(b)) <= max_bits
+
+    labels = link_buckets(members, verify, nodes.select(F.col("h").alias("id"), F.col("sig").alias("mark")), possible)
     labels = labels.union(labels.select("component", "component").distinct())
     tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
     tagged = save(tagged.select("h", "first", F.coalesce("component", "h").alias("part")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.work import save
@@ -50,14 +50,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    marks: DataFrame,
+    possible: Callable[[Column, Column], Column],
+) -> DataFrame:
     """Components over all verified links between ids that share a bucket.
 
     ``members (key, id)``: distinct rows. ``verify`` keeps the true links of distinct pairs
     ``(u, v)`` with u < v. First every member meets its bucket's lowest id, then twice a
     random member of each bucket (buckets differ, so it meets many), then every pair of a bucket
-    that is not yet in one component and not yet tried. Links within a component that is already connected change no component, so
-    groups of thousands of alike members cost a few pairs each, and no link is lost.
+    that is not yet in one component and not yet tried. Links within a component that is already
+    connected change no component, so groups of thousands of alike members cost a few pairs each,
+    and no link is lost. The last join compares ``marks (id, mark)`` of the two sides and passes
+    only the pairs on whose marks ``possible`` does not rule a link out; it must never rule out
+    a true one, and a null mark rules out nothing. Those comparisons are as many as the pairs, but they are no rows.
     Returns ``(id, component)`` of the linked ids other than their component's smallest.
     """
     spark = members.sparkSession
@@ -80,9 +88,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         if mixed.isEmpty():
             break
         if turn == "all":
-            left = save(now.join(mixed.select("key"), "key"))
-            right = left.select("key", F.col("id").alias("id2"), F.col("part").alias("part2"))
-            pairs = left.join(right, "key").filter("id < id2 and part <> part2")
+            left = save(now.join(mixed.select("key"), "key").join(marks, "id"))
+            right = left.select("key", F.col("id").alias("id2"), F.col("part").alias("part2"), F.col("mark").alias("mark2"))
+            apart = F.expr("id < id2 and part <> part2") & F.coalesce(possible(F.col("mark"), F.col("mark2")), F.lit(True))
+            pairs = left.join(right, "key").filter(apart)
             pairs = pairs.select(F.col("id").alias("u"), F.col("id2").alias("v"))
         else:
             pairs = now.join(mixed, "key").filter("part <> pivot_part")

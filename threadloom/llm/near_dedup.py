@@ -4,7 +4,8 @@ Each document's set of word shingles is hashed once. A register per bucket keeps
 smallest hash as a leading-zero count and ten mantissa bits. Bands of registers (empty ones
 borrow from a random filled one, for banding only) give candidate buckets; the Jaccard index
 estimated from the registers, corrected for accidental collisions, drops the hopeless pairs; the
-rest are verified on the full shingle sets.
+rest are verified on the full shingle sets. The parities of the buckets' sizes bound the sets'
+difference from below, which refutes most pairs of large buckets without reading either set.
 
 Defined cases: null and blank texts have no shingles and link with nothing; a text with fewer
 words than a shingle is one shingle; rows that repeat a ``doc_id`` count as one document; rows
@@ -51,6 +52,28 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each bucket holds an odd number of the distinct hashes, as bits of int64 words.
+
+    Two sets differ in at least as many hashes as their parities differ in bits.
+    """
+    odd = np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=REGISTERS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _within(percent: int):
+    """Whether two marks (n, parities) leave room for a Jaccard index of ``percent``.
+
+    100 * i >= percent * (a + b - i) means (100 + percent) * (a + b - 2i) <= (100 - percent) * (a + b).
+    """
+
+    def possible(a: Column, b: Column) -> Column:
+        bits = sum((F.bit_count(a["parity"][k].bitwiseXOR(b["parity"][k])) for k in range(REGISTERS // 64)), F.lit(0))
+        return bits * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+
+    return possible
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band; an empty register borrows from a filled one.
 
@@ -97,19 +120,19 @@ def _profiles(size: int):
                 rows = []
                 for s in shingle_sets(texts[lo:hi], size):
                     if len(s):
-                        rows.append((len(s), int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64)), registers(s).tobytes()))
+                        rows.append((len(s), int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64)), registers(s).tobytes(), parities(s)))
                     else:
-                        rows.append((0, None, None, None))
-                n, f1, f2, sketch = zip(*rows)
-                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
+                        rows.append((0, None, None, None, None))
+                n, f1, f2, sketch, parity = zip(*rows)
+                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "sketch", "parity"])
 
     return run
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingle count, 128-bit set fingerprint and registers of every document."""
+    """doc_id, shingle count, 128-bit set fingerprint, registers and parities of every document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_profiles(size), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+    return rows.mapInArrow(_profiles(size), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, parity array<long>")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +183,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     made = save(profiles(docs, size))
     full = made.filter("n_shingles > 0 and doc_id is not null")
-    nodes = save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
     members = nodes.select("rep", "sketch").mapInArrow(_bands, "key long, id long").distinct()
-    sketches = nodes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")) if _repeats(nodes) else nodes.select("rep", "n", "sketch")
+    repeats = _repeats(nodes)
+    sketches = nodes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")) if repeats else nodes.select("rep", "n", "sketch")
+    marks = nodes.select(F.col("rep").alias("id"), F.struct("n", "parity").alias("mark"))
+    if repeats:
+        marks = marks.groupBy("id").agg(F.when(F.count("*") == 1, F.first("mark")).alias("mark"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("rep").alias("u"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -177,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         both = near.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("x", "y")))
         return both.filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("u", "v").distinct()
 
-    labels = link_buckets(members, verify)
+    labels = link_buckets(members, verify, marks, _within(percent))
     # a doc_id on rows with different texts ties their sets together
     ties = full.groupBy("doc_id").agg(F.min("f1").alias("g1"), F.max("f1").alias("g2")).filter("g1 <> g2").select("doc_id")
     tied = full.join(save(ties), "doc_id").select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "rep"), ["f1", "f2"])
