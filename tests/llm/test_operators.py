@@ -157,6 +157,29 @@ def test_lines_equal_brute_force(spark):
     assert links and line_dedup.drop_repeated_lines(empty(spark)).count() == 0
 
 
+def test_edited_lines_are_linked_by_similarity_alone(spark):
+    rng = random.Random(11)
+    lines = [prose(n, rng) for n in (6, 8, 12, 16, 24, 40, 60, 100) for _ in range(5)]
+    rows = [(k, x) for k, x in enumerate(lines)] + [(100 + k, edited(x, max(1, len(x.split()) // 12), rng)) for k, x in enumerate(lines)]
+    texts = dict(rows)
+    found = {i for i in range(100, 100 + len(lines)) if line_dedup.similar(texts[i], texts[i - 100], 80)}
+    sigs = line_dedup.simhash([t for _, t in rows]).view(np.uint64)
+    far = [k for k in range(len(lines)) if bin(int(sigs[k] ^ sigs[k + len(lines)])).count("1") > 3]
+    assert len(found) >= 36 and len(far) >= 20
+    expected = {i: "" if i in found else t for i, t in texts.items()}
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs, max_bits=None).collect()}
+    assert got == expected and line_dedup.drop_repeated_lines(empty(spark), max_bits=None).count() == 0
+
+
+def test_op5_drops_a_line_with_one_changed_word(spark, tmp_path):
+    from threadloom.llm.queries import op5_line_dedup
+
+    line = "the quick brown fox jumps over the lazy dog near the old river bank"
+    frame(spark, [(1, line), (2, line.replace("lazy", "sleepy"))]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r["n_dropped"] for r in op5_line_dedup(spark, str(tmp_path)).collect()) == 1
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     items = [(k, prose(rng.choice([3, 9, 25, 60]), rng)) for k in range(12)] + [(50, None), (51, ""), (0, prose(9, rng))]

@@ -1,9 +1,12 @@
 """Fuzzy line deduplication across documents.
 
-Lines are normalised (lower case, everything but letters and digits is a space) and each gets a
-64-bit SimHash of its distinct words. Lines whose SimHashes differ in at most three bits agree in two of
-five blocks, so the ten pairs of blocks are join keys; candidates within three bits are verified by
-edit similarity of the normalised lines. Of every connected group one occurrence stays, the first
+Lines are normalised (lower case, everything but letters and digits is a space). Candidates share a
+join key, and the edit similarity of the normalised lines alone decides on them. With ``max_bits``
+None, as the queries use it, the keys are ``BANDS`` pairs of MinHashes of the line's word bigrams
+(with its start and end), and nothing but the lengths is looked at before the edit check. With a
+number the keys are the ten pairs of five blocks of a 64-bit SimHash of the distinct words, and
+candidates must also differ in at most so many bits, which loses most edits of short lines.
+Of every connected group one occurrence stays, the first
 by (doc_id, text hash, line number). Equal lines are one node before any join, and texts are read
 again only for lines of candidate pairs.
 
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrays import slices, word_hashes
+from threadloom.llm.arrays import mix, slices, word_hashes
 from threadloom.llm.linking import link_buckets
 from threadloom.llm.work import save
 
@@ -36,6 +39,9 @@ SIMILARITY_PERCENT = 80
 MAX_BITS = 3
 #: Blocks of the SimHash as (first bit, bits); two lines within MAX_BITS agree in two of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: MinHash pairs of a line; two lines whose bigram sets have Jaccard j share one with 1 - (1 - j * j) ** BANDS.
+BANDS = 20
+_HASHES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, (2 * BANDS, 2), dtype=np.uint64) | np.uint64(1)
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -67,8 +73,31 @@ def simhash(lines: list[str]) -> np.ndarray:
     return out
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns over one long integer."""
+def bands(lines: list[str]) -> np.ndarray:
+    """``BANDS`` 32-bit keys of every (normalised) line, a row each: pairs of MinHashes of its word bigrams."""
+    words, at = word_hashes(lines)
+    out = np.empty((len(lines), BANDS), np.int32)
+    first = 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + 100_000, "right")) - 1)
+        last = min(last, len(lines))
+        starts = at[first:last] - at[first]
+        # a zero before each line is its start and the end of the line before
+        row = np.append(np.insert(words[at[first] : at[last]], starts, np.uint64(0)), np.uint64(0))
+        grams = mix(row[:-1] * _HASHES[0, 0] + mix(row[1:] + np.uint64(1)))
+        starts = starts + np.arange(last - first)
+        for band in range(BANDS):
+            a, b = (np.minimum.reduceat((grams ^ x) * m, starts) for x, m in _HASHES[2 * band : 2 * band + 2])
+            out[first:last, band] = (mix(mix(a) + b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        first = last
+    return out
+
+
+def edit_distance(a: str, b: str, limit: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns over one long integer.
+
+    Past ``limit`` the columns end as soon as the rest cannot bring it back: some number above it.
+    """
     start, least = 0, min(len(a), len(b))
     while start < least and a[start] == b[start]:
         start += 1
@@ -83,11 +112,15 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << k
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = every, 0, len(a)
+    most = len(a) + len(b) if limit is None else limit + len(b)
     for c in b:
         equal = places.get(c, 0)
         diagonal = (((equal & up) + up) ^ up) | equal | down
         grow, shrink = down | (every & ~(diagonal | up)), up & diagonal
         score += bool(grow & top) - bool(shrink & top)
+        most -= 1
+        if score > most:
+            return score
         grow, shrink = (grow << 1 | 1) & every, (shrink << 1) & every
         up, down = shrink | (every & ~(diagonal | grow)), grow & diagonal
     return score
@@ -98,28 +131,48 @@ def similar(a: str, b: str, percent: int) -> bool:
     longer = max(len(a), len(b))
     if 100 * min(len(a), len(b)) < percent * longer:
         return False
-    return 100 * edit_distance(a, b) <= (100 - percent) * longer
+    limit = (100 - percent) * longer // 100
+    return edit_distance(a, b, limit) <= limit
 
 
-def _occurrences(min_words: int):
+def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple]:
+    """The batch, and row, number and normalised text of its long enough lines, with their hashes."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(2).to_pylist()]
+        for lo, hi in slices(texts):
+            rows, numbers, lines = [], [], []
+            for k in range(lo, hi):
+                for no, line in enumerate(texts[k].split("\n")):
+                    line = normalise(line)
+                    if line.count(" ") + 1 >= min_words:
+                        rows.append(k)
+                        numbers.append(no)
+                        lines.append(line)
+            if lines:
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
+                yield batch, rows, numbers, lines, hashes.view(np.int64)
+
+
+def _occurrences(min_words: int, sign: bool):
+    """Occurrences with what is compared before texts: the SimHash, or else the length."""
     names = ["doc_id", "text_hash", "line_no", "h", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for lo, hi in slices(texts):
-                rows, numbers, lines = [], [], []
-                for k in range(lo, hi):
-                    for no, line in enumerate(texts[k].split("\n")):
-                        line = normalise(line)
-                        if line.count(" ") + 1 >= min_words:
-                            rows.append(k)
-                            numbers.append(no)
-                            lines.append(line)
-                if lines:
-                    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-                    at = pa.array(rows)
-                    yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(simhash(lines))], names)
+        for batch, rows, numbers, lines, hashes in _lines(batches, min_words):
+            at = pa.array(rows)
+            sig = simhash(lines) if sign else np.fromiter(map(len, lines), np.int64, len(lines))
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(hashes), pa.array(sig)], names)
+
+    return run
+
+
+def _banded(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, lines, hashes in _lines(batches, min_words):
+            hashes, first = np.unique(hashes, return_index=True)
+            keys = pa.array(bands([lines[k] for k in first]).ravel())
+            at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS)
+            yield pa.record_batch([pa.array(hashes), pa.ListArray.from_arrays(at, keys)], ["h", "bands"])
 
     return run
 
@@ -143,22 +196,33 @@ def _similar_lines(percent: int):
     return check
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT, max_bits: int = MAX_BITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT, max_bits: int | None = MAX_BITS) -> DataFrame:
     """``doc_id, text_hash, lines`` (sorted numbers, from 0) of the lines that go."""
-    if max_bits > len(BLOCKS) - 2:
+    sign = max_bits is not None
+    if sign and max_bits > len(BLOCKS) - 2:
         raise ValueError(f"{len(BLOCKS)} blocks find all lines within {len(BLOCKS) - 2} bits")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    occurrences = save(rows.mapInArrow(_occurrences(min_words), "doc_id long, text_hash long, line_no int, h long, sig long").distinct())
+    occurrences = save(rows.mapInArrow(_occurrences(min_words, sign), "doc_id long, text_hash long, line_no int, h long, sig long").distinct())
     place = F.struct("doc_id", "text_hash", "line_no")
     nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig")))
-    block = [F.shiftrightunsigned("sig", low).bitwiseAND((1 << bits) - 1) for low, bits in BLOCKS]
-    keys = [F.lit(k << 26) + F.shiftleft(block[i], 13) + block[j] for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    members = nodes.select(F.explode(F.array(*keys)).alias("key"), F.col("h").alias("id"))
+    if sign:
+        block = [F.shiftrightunsigned("sig", low).bitwiseAND((1 << bits) - 1) for low, bits in BLOCKS]
+        keys = [F.lit(k << 26) + F.shiftleft(block[i], 13) + block[j] for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+        members = nodes.select(F.explode(F.array(*keys)).alias("key"), F.col("h").alias("id"))
+    else:
+        banded = save(rows.mapInArrow(_banded(min_words), "h long, bands array<int>").dropDuplicates(["h"]))
+        banded = banded.select(F.col("h").alias("id"), F.posexplode("bands").alias("band", "key"))
+        members = banded.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"), "id")
+
+    def possible(a: Column, b: Column) -> Column:
+        if sign:
+            return F.bit_count(a.bitwiseXOR(b)) <= max_bits
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def verify(pairs: DataFrame) -> DataFrame:
         sig = nodes.select(F.col("h"), "sig")
         near = pairs.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v")
-        near = save(near.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("u", "v"))
+        near = save(near.filter(possible(F.col("a"), F.col("b"))).select("u", "v"))
         ids = save(near.select(F.col("u").alias("h")).union(near.select(F.col("v").alias("h"))).distinct())
         wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
         texts = _with_key(docs, save(wanted), "inner").dropDuplicates(["doc_id", "_th"]).select(F.col("text").cast("string"), "wanted")
@@ -166,9 +230,6 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
         both = near.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
         return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
 
-    def possible(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= max_bits
-
     labels = link_buckets(members, verify, nodes.select(F.col("h").alias("id"), F.col("sig").alias("mark")), possible)
     labels = labels.union(labels.select("component", "component").distinct())
     tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
@@ -186,10 +247,10 @@ def _with_key(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return keyed.join(other, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), how).drop("_d", "_t")
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT, max_bits: int | None = MAX_BITS) -> DataFrame:
     """``docs`` with texts that leave the dropped lines out, and ``n_dropped``, how many went."""
     docs = docs.drop("n_dropped", "lines", "_th", "_d", "_t")
-    out = _with_key(docs, dropped_lines(docs, min_words, percent), "left")
+    out = _with_key(docs, dropped_lines(docs, min_words, percent, max_bits), "left")
     left = F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col("lines"), k))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return out.withColumns({"text": text, "n_dropped": F.coalesce(F.size("lines"), F.lit(0)).cast("long")}).select(*docs.columns, "n_dropped")

@@ -57,7 +57,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), max_bits=None)
     return out.select("doc_id", "n_dropped", F.char_length(text_or_empty()).cast("long").alias("kept_chars"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))
 
 
