@@ -241,6 +241,27 @@ def test_url_rules_and_templates(spark):
     assert judge(pages.limit(0), labels, URL_RULES).count() == 0
 
 
+def test_rare_children_of_a_crowded_node_keep_their_own_rate(spark):
+    urls = [f"http://hot.info/p{chr(97 + a)}{chr(97 + b)}/x" for a in range(10) for b in range(10) for _ in range(50)]
+    good = len(urls)
+    urls += ["http://hot.info/spam/x"] * 100
+    urls += [f"http://hot.info/bad{chr(97 + a)}{chr(97 + b)}/x" for a in range(10) for b in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= good)) for k in range(len(urls)) if k % 2 or k >= good], "page_id long, bad int")
+    got = {r["page_id"]: r["verdict"] for r in judge(pages, labels).collect()}
+    assert got == {k: "block" if k >= good else "allow" for k in range(len(urls))}
+
+
+def test_gradual_rates_do_not_chain(spark):
+    names, rows = "abcdefghijk", []
+    for k, name in enumerate(names):
+        rows += [(f"http://slow.info/{name}/x", int(j < 10 * k)) for j in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id long, bad int")
+    got = {r["path"][1]: r["template"] for r in judge(pages, labels).collect()}
+    assert got["c"] != got["e"] and got["c"] != got["i"] and got["e"] != got["i"]
+
+
 def test_fingerprints(spark):
     rows = sorted([(i, t) for i, t in dict(sample()).items() if i is not None], reverse=True)
     got = {r["doc_id"]: r for r in fingerprints(frame(spark, rows)).collect()}

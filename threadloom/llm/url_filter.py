@@ -1,9 +1,10 @@
 """URL filtering by per-host path-template trees with smoothed labelled purity.
 
 Paths are first generalised by form (runs of digits, long hexadecimal names). Then, level by level
-and per host, the rare children of a crowded tree node become one wildcard branch, and literal
-children whose labelled bad rates a two-proportion test can't tell apart are merged. A root-to-leaf
-template is rejected where its bad rate, smoothed towards the corpus rate, reaches a bound. Fixed
+and per host, the rare children of a crowded tree node become one wildcard branch, except those whose
+labelled bad rate a two-proportion test tells apart from the rest of the node: these meet in grades
+of their rate. In order of rate, children and grades join the branch before them where the test
+can't tell them apart from that branch as a whole. A root-to-leaf template is rejected where its bad rate, smoothed towards the corpus rate, reaches a bound. Fixed
 host and path rules go before templates. DataFrame expressions only.
 
 Defined cases: a null url or one without ``://`` has empty host and path and its own template; a
@@ -24,6 +25,8 @@ from threadloom.llm.work import save
 
 LEVELS = 8
 CROWDED = 32
+#: Grades of bad rate in which the rare children that are kept meet, so that a node has few of them.
+GRADES = 32
 MERGE_Z = 1.96
 PRIOR_WEIGHT = 20.0
 REJECT = 0.6
@@ -54,6 +57,14 @@ def _form(path: Column) -> Column:
     return F.regexp_replace(hexes, r"[0-9]+", "{n}")
 
 
+def _apart(bad: Column, labelled: Column, bad2: Column, labelled2: Column) -> Column:
+    """Whether a two-proportion test tells the bad rates apart; never where a side has no label."""
+    pooled = (bad + bad2) / F.nullif(labelled + labelled2, F.lit(0))
+    parts = 1 / F.nullif(labelled, F.lit(0)) + 1 / F.nullif(labelled2, F.lit(0))
+    gap = F.abs(bad / F.nullif(labelled, F.lit(0)) - bad2 / F.nullif(labelled2, F.lit(0)))
+    return F.coalesce(gap > MERGE_Z * F.greatest(F.sqrt(pooled * (1 - pooled) * parts), F.lit(1e-12)), F.lit(False))
+
+
 def _level(tree: DataFrame, depth: int, last: bool) -> DataFrame:
     """Move every path of ``tree`` one segment down its host's tree."""
     segment = F.when(F.size("segments") > depth, F.lit("**") if last else F.get("segments", F.lit(depth)))
@@ -61,24 +72,37 @@ def _level(tree: DataFrame, depth: int, last: bool) -> DataFrame:
     going = rows.filter("segment is not null")
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     children = save(going.groupBy("host", "node", "segment").agg(*sums))
-    nodes = save(children.groupBy("host", "node").agg(F.count("*").alias("width"), F.sum("n").alias("weight")))
-    literal = children.join(nodes, ["host", "node"]).filter((F.col("width") <= CROWDED) | (F.col("n") * CROWDED >= F.col("weight")))
-    # at most CROWDED rows a node from here on
+    all_sums = [F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")]
+    nodes = save(children.groupBy("host", "node").agg(F.count("*").alias("width"), *all_sums))
     rate = F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled"))
-    order = Window.partitionBy("host", "node").orderBy(F.col("rate").asc_nulls_first(), "segment")
-    literal = literal.withColumn("rate", rate)
-    was = {c: F.lag(c).over(order) for c in ("rate", "labelled", "bad")}
-    literal = literal.withColumns({f"was_{c}": x for c, x in was.items()})
-    pooled = (F.col("bad") + F.col("was_bad")) / (F.col("labelled") + F.col("was_labelled"))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("was_labelled")))
-    known = (F.col("labelled") > 0) & (F.col("was_labelled") > 0)
-    apart = F.when(known, (F.col("rate") - F.col("was_rate")) > MERGE_Z * F.greatest(spread, F.lit(1e-12))).otherwise(False)
-    literal = literal.withColumn("cut", F.coalesce(apart, F.lit(False)).cast("int"))
-    literal = literal.withColumn("branch_no", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    children = children.join(nodes, ["host", "node"]).withColumn("rate", rate)
+    heavy = (F.col("width") <= CROWDED) | (F.col("n") * CROWDED >= F.col("all_n"))
+    odd = _apart(F.col("bad"), F.col("labelled"), F.col("all_bad") - F.col("bad"), F.col("all_labelled") - F.col("labelled"))
+    grade = F.when(~heavy, F.floor(F.col("rate") * GRADES).cast("int"))
+    literal = save(children.filter(heavy | odd).withColumn("grade", grade).select("host", "node", "segment", "labelled", "bad", "grade"))
+    alone = literal.filter("grade is null").select("host", "node", F.lit(None).cast("int").alias("grade"), F.col("segment").alias("first"), F.lit(1).cast("long").alias("size"), "labelled", "bad")
+    light = literal.filter("grade is not null").groupBy("host", "node", "grade").agg(F.min("segment").alias("first"), F.count("*").alias("size"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    # at most CROWDED children and GRADES + 1 grades a node from here on
+    item = F.struct(rate.alias("rate"), "first", "size", "grade", "labelled", "bad")
+    ordered = alone.unionByName(light).groupBy("host", "node").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("bad"), F.array().cast("array<int>").alias("nos"))
+
+    def step_on(at: Column, x: Column) -> Column:
+        cut = _apart(x["bad"], x["labelled"], at["bad"], at["labelled"])
+        no = at["no"] + cut.cast("int")
+        held = {c: F.when(cut, x[c]).otherwise(at[c] + x[c]).cast("long") for c in ("labelled", "bad")}
+        return F.struct(no.alias("no"), held["labelled"].alias("labelled"), held["bad"].alias("bad"), F.concat(at["nos"], F.array(no)).alias("nos"))
+
+    numbered = ordered.select("host", "node", F.explode(F.arrays_zip("items", F.aggregate("items", start, step_on, lambda at: at["nos"]).alias("nos"))).alias("x"))
+    numbered = numbered.select("host", "node", F.col("x.nos").alias("branch_no"), "x.items.*")
     group = Window.partitionBy("host", "node", "branch_no")
-    names = F.array_sort(F.collect_list("segment").over(group))
-    branch = F.when(F.size(names) > 1, F.concat(F.lit("("), F.array_join(names, "|"), F.lit(")"))).otherwise(F.col("segment"))
-    branches = save(literal.select("host", "node", "segment", branch.alias("branch")))
+    label = F.when(F.col("size") > 1, F.concat("first", F.lit("|+"), F.col("size") - 1)).otherwise(F.col("first"))
+    names = F.array_sort(F.collect_list(label).over(group))
+    branch = F.when((F.size(names) > 1) | (F.col("size") > 1), F.concat(F.lit("("), F.array_join(names, "|"), F.lit(")"))).otherwise(F.col("first"))
+    named = save(numbered.select("host", "node", "first", "grade", branch.alias("branch")))
+    one = literal.filter("grade is null").join(named.filter("grade is null").select("host", "node", F.col("first").alias("segment"), "branch"), ["host", "node", "segment"])
+    many = literal.filter("grade is not null").join(named.filter("grade is not null").select("host", "node", "grade", "branch"), ["host", "node", "grade"])
+    branches = save(one.select("host", "node", "segment", "branch").union(many.select("host", "node", "segment", "branch")))
     moved = rows.join(branches, ["host", "node", "segment"], "left")
     step = F.concat(F.lit("/"), F.coalesce("branch", F.lit("*")))
     return moved.withColumn("node", F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat("node", step))).drop("segment", "branch")
