@@ -154,3 +154,43 @@ def test_text_helpers(spark):
     assert rows[0]["n"] == "x" * 60 and rows[1]["n"].endswith("...") and len(rows[1]["n"]) <= 60
     assert (rows[0]["d"], rows[1]["d"]) == (9000.0, 90.0)
     assert (rows[0]["f"], rows[1]["f"]) == ("ab", "file") and rows[0]["m"] == {"name": "n", "k": "a: b"}
+
+
+def _conversation(spark, folder, n):
+    rows = [(1, k, "user" if k % 2 else "assistant", "x") for k in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return {t: {f for f in (t - 1, t - 2, 0 if t > 4 else t - 1) if f >= 0} for t in range(n)}
+
+
+def test_walks_over_a_thread_longer_than_the_cap(spark, tmp_path):
+    from threadloom.plans import catalog
+
+    n, run = 68, catalog.queries()
+    before = _conversation(spark, tmp_path, n)
+    hops, fresh = {n - 1: 0}, [n - 1]
+    for t in fresh:
+        for f in before[t] - hops.keys():
+            hops[f] = hops[t] + 1
+            fresh.append(f)
+    best = sorted((h, f"c1-{t}") for t, h in hops.items() if h)
+    got = {(r["hops"], r["id"]) for r in run["prov_reach"](spark, str(tmp_path)).collect()}
+    assert len(best) == 67 and got == set(best[:64])
+    near = {(h, i) for h, i in best if 0.9**h >= 0.5}
+    assert {(r["hops"], r["id"]) for r in run["traverse_select"](spark, str(tmp_path)).collect()} == near
+    assert {r["id"] for r in run["traverse_exclusions"](spark, str(tmp_path)).collect()} == {f"c1-{f}" for f in before[n - 1]}
+
+
+def test_mass_of_a_thread_longer_than_thirteen_messages(spark, tmp_path):
+    from threadloom.plans import catalog
+
+    n, run = 16, catalog.queries()
+    before = _conversation(spark, tmp_path, n)
+    mass = {n - 1: 1.0}
+    for t in range(n - 1, -1, -1):
+        for f in before[t]:
+            mass[f] = mass.get(f, 0.0) + mass[t] * 0.9
+    want = {f"c1-{t}": m for t, m in mass.items() if t < n - 1}
+    got = {r["id"]: r["mass"] for r in run["prov_mass_paths"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - m) < 1e-4 for i, m in want.items())
+    places = {r["id"]: r["place"] for r in run["mass_rank_bits"](spark, str(tmp_path)).collect()}
+    assert sorted(places.values()) == list(range(1, n)) and places[max(want, key=want.get)] == 1

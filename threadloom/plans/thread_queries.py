@@ -175,7 +175,7 @@ def prov_edge_count(spark, d):
 
 
 def _anchors(spark, d) -> DataFrame:
-    m = threads.latest(src.messages(spark, d)).filter("position <= 12")
+    m = threads.latest(src.messages(spark, d))
     return m.select(F.col("thread_id").alias("event_id"), "id")
 
 
