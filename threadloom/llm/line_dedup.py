@@ -112,7 +112,7 @@ def edit_distance(a: str, b: str, limit: int | None = None) -> int:
         places[c] = places.get(c, 0) | 1 << k
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = every, 0, len(a)
-    most = len(a) + len(b) if limit is None else limit + len(b)
+    most = len(b) + (len(a) + len(b) if limit is None else limit)
     for c in b:
         equal = places.get(c, 0)
         diagonal = (((equal & up) + up) ^ up) | equal | down
