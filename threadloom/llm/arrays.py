@@ -33,6 +33,20 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
+def hashed_runs(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end of every maximal run of bytes of ``raw`` that is ``inside``."""
+    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    sizes = ends - starts
+    byte_at = np.flatnonzero(inside)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(byte_at)) - np.repeat(first, sizes)
+    value = _BYTE_CODES[raw[byte_at]] * _powers(int(sizes.max()))[place]
+    return mix(np.add.reduceat(value, first)), starts, ends
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of every text, and the offsets of each text's words.
 
@@ -40,19 +54,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"\n".join(blobs) + b"\n", dtype=np.uint8)
-    inside = ~_SEPARATOR[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    bounds = np.cumsum([0, *(len(b) + 1 for b in blobs)])
-    offsets = np.searchsorted(starts, bounds)
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
-    sizes = ends - starts
-    byte_at = np.flatnonzero(inside)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(byte_at)) - np.repeat(first, sizes)
-    value = _BYTE_CODES[_LOWER_ASCII[raw[byte_at]]] * _powers(int(sizes.max()))[place]
-    return mix(np.add.reduceat(value, first)), offsets
+    hashes, starts, _ = hashed_runs(_LOWER_ASCII[raw], ~_SEPARATOR[raw])
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(b) + 1 for b in blobs)]))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,95 +1,157 @@
 """Fuzzy line deduplication across documents.
 
-Lines are normalised (lower case, everything but letters and digits is a space). Candidates share a
-join key, and the edit similarity of the normalised lines alone decides on them. With ``max_bits``
-None, as the queries use it, the keys are ``BANDS`` pairs of MinHashes of the line's word bigrams
-(with its start and end), and nothing but the lengths is looked at before the edit check. With a
-number the keys are the ten pairs of five blocks of a 64-bit SimHash of the distinct words, and
-candidates must also differ in at most so many bits, which loses most edits of short lines.
-Of every connected group one occurrence stays, the first
-by (doc_id, text hash, line number). Equal lines are one node before any join, and texts are read
-again only for lines of candidate pairs.
+Lines are normalised (lower case, everything but letters and digits is a space). A SimHash of the
+words is computed for every piece of a line: pieces begin at words whose hash is smaller than
+those around it, so an edit changes the pieces next to it and no others. Each piece's SimHash is
+one pigeonhole block and a join key; lines of up to ``SHORT`` words have blocks of finer pieces
+too, and lines of up to ``TINY`` words their two halves. The SimHash of the whole line, the sum
+of its pieces, bounds candidates by Hamming distance inside the join. Edit similarity of the
+normalised lines decides. Of every connected group one occurrence stays, the first by
+(doc_id, text hash, line number).
+
+Candidates of more than ``SHORT`` words share at least a quarter of their blocks. Such lines
+therefore share one of their rarest blocks (all but a quarter, less one), so only those are joined
+on: a passage that many long lines quote doesn't bring all of these together. Which links this can
+lose is measured in the README. Texts are read again only for lines of candidate pairs.
 
 Defined cases: lines with fewer than ``min_words`` words always stay; so do line breaks of kept
 lines; null and empty texts come back as they are; a document may lose all lines and then is the
 empty text; rows that repeat doc_id and text count as one document and are treated alike; rows
 without doc_id are documents of their own, first in order; an empty table gives an empty table;
-extra columns are kept.
+extra columns are kept, whatever their names (but ``n_dropped`` is replaced).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrays import mix, slices, word_hashes
+from threadloom.llm.arrays import hashed_runs, mix, slices
 from threadloom.llm.linking import link_buckets
-from threadloom.llm.work import save
+from threadloom.llm.work import save, scratch
 
 MIN_WORDS = 5
 SIMILARITY_PERCENT = 80
-MAX_BITS = 3
-#: Blocks of the SimHash as (first bit, bits); two lines within MAX_BITS agree in two of them.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: MinHash pairs of a line; two lines whose bigram sets have Jaccard j share one with 1 - (1 - j * j) ** BANDS.
-BANDS = 20
-_HASHES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, (2 * BANDS, 2), dtype=np.uint64) | np.uint64(1)
+#: Words up to which a line has blocks of finer pieces, and of its halves.
+SHORT, TINY = 24, 16
+#: One of so many blocks at least is shared by candidates longer than that.
+SHARE = 4
+#: Differing SimHash bits of candidates at most, from ``BOUND_WORDS`` words on.
+MAX_BITS, BOUND_WORDS = 26, 12
+_ASCII_GAPS = bytes(c if c == 10 or chr(c).isalnum() or c > 127 else 32 for c in range(256))
+_ODD = re.compile(r"[^\w\x00-\x7f]")
 _GAP = re.compile(r"[\W_]+")
+_PLACES = np.uint64(0x9E3779B97F4A7C15)
+_FAMILIES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, 3, dtype=np.uint64)
 
 
 def normalise(line: str) -> str:
     return _GAP.sub(" ", line.lower()).strip()
 
 
-def simhash(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of the words of every (normalised, not blank) line, as int64.
+def _cleared(text: str) -> bytes:
+    """The text in lower case with spaces for all that is no letter, digit or line break."""
+    text = text.lower()
+    if not text.isascii():
+        text = _ODD.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_ASCII_GAPS)
+
+
+def _lowest(words: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a word's hash is smaller than those of the ``reach`` words on either side in its line."""
+    low = np.ones(len(words), bool)
+    for d in range(1, reach + 1):
+        if d >= len(words):
+            break
+        same = line[d:] == line[:-d]
+        low[d:] &= ~same | (words[d:] < words[:-d])
+        low[:-d] &= ~same | (words[:-d] <= words[d:])
+    return low
+
+
+def _votes(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 64-bit SimHash from each row of bit sums: the bits that more than half of the words have."""
+    return np.packbits(2 * sums > counts[:, None], axis=1).view(np.uint64).ravel()
 
-    Each word counts once: repeated frequent words would make a language's lines alike.
-    """
-    words, at = word_hashes(lines)
-    out = np.zeros(len(lines), np.int64)
-    first = 0
-    while first < len(lines):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + 20_000, "right")) - 1)
-        last = min(last, len(lines))
-        part, line = words[at[first] : at[last]], np.repeat(np.arange(last - first), np.diff(at[first : last + 1]))
-        order = np.lexsort((part, line))
-        part, line = part[order], line[order]
-        fresh = np.append(True, (part[1:] != part[:-1]) | (line[1:] != line[:-1]))
-        part, line = part[fresh], line[fresh]
-        place = np.searchsorted(line, np.arange(last - first + 1))
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-        sums = np.add.reduceat(bits, place[:-1], axis=0)
-        out[first:last] = np.packbits(2 * sums > np.diff(place)[:, None], axis=1).view(np.int64).ravel()
-        first = last
-    return out
 
+def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash of every line, and (line, block key) of its pieces.
 
-def bands(lines: list[str]) -> np.ndarray:
-    """``BANDS`` 32-bit keys of every (normalised) line, a row each: pairs of MinHashes of its word bigrams."""
-    words, at = word_hashes(lines)
-    out = np.empty((len(lines), BANDS), np.int32)
-    first = 0
-    while first < len(lines):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + 100_000, "right")) - 1)
-        last = min(last, len(lines))
-        starts = at[first:last] - at[first]
-        # a zero before each line is its start and the end of the line before
-        row = np.append(np.insert(words[at[first] : at[last]], starts, np.uint64(0)), np.uint64(0))
-        grams = mix(row[:-1] * _HASHES[0, 0] + mix(row[1:] + np.uint64(1)))
-        starts = starts + np.arange(last - first)
-        for band in range(BANDS):
-            a, b = (np.minimum.reduceat((grams ^ x) * m, starts) for x, m in _HASHES[2 * band : 2 * band + 2])
-            out[first:last, band] = (mix(mix(a) + b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        first = last
+    ``words``: the word hashes of all lines; ``first``: where each line's begin; ``n``: how many.
+    """
+    line = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(words)) - first[line]
+    rest = n[line] - place
+    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+    lines, keys = [], []
+
+    def add(of: np.ndarray, starts: np.ndarray, family: int) -> np.ndarray:
+        counts = np.diff(starts, append=len(of))
+        sums = np.add.reduceat(bits if len(of) == len(words) else bits[of], starts, axis=0, dtype=np.int32)
+        lines.append(line[of[starts]])
+        keys.append(mix(_votes(sums, counts) + counts.astype(np.uint64) * _PLACES + _FAMILIES[family]))
+        return sums
+
+    every = np.arange(len(words))
+    pieces = np.flatnonzero((place == 0) | (_lowest(words, line, 2) & (place >= 3) & (rest >= 3)))
+    sums = add(every, pieces, 0)
+    simhash = _votes(np.add.reduceat(sums, np.searchsorted(pieces, first), axis=0), n)
+    short = every[n[line] <= SHORT]
+    if len(short):
+        cut = (place == 0) | (_lowest(words, line, 1) & (place >= 2) & (rest >= 2))
+        add(short, np.flatnonzero(cut[short]), 1)
+    tiny = every[n[line] <= TINY]
+    if len(tiny):
+        add(tiny, np.flatnonzero((place == 0)[tiny] | (place == n[line] // 2)[tiny]), 2)
+    return simhash, np.concatenate(lines), np.concatenate(keys)
+
+
+def signed_lines(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
+    """Of all long enough lines: text ``row`` and line ``no``, hash ``h``, ``words``, ``chars``, ``sig`` and blocks.
+
+    ``blocks`` of the line k are ``keys[at[k] : at[k + 1]]``, sorted and distinct.
+    """
+    blobs = [_cleared(t) for t in texts]
+    raw = np.frombuffer(b"\n".join(blobs) + b"\n", dtype=np.uint8)
+    breaks = np.flatnonzero(raw == 10)
+    words, starts, ends = hashed_runs(raw, raw > 32)
+    ends_of_text = np.cumsum([len(b) + 1 for b in blobs]) - 1
+    row = np.searchsorted(ends_of_text, breaks)
+    first_break = np.searchsorted(breaks, np.append(0, ends_of_text[:-1] + 1))
+    line = np.searchsorted(breaks, starts)
+    n = np.bincount(line, minlength=len(breaks))
+    wide = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    chars = wide[ends] - wide[starts]
+    good = np.flatnonzero(n >= min_words)
+    kept = n[line] >= min_words
+    words, chars, n = words[kept], chars[kept], n[good]
+    first = np.cumsum(n) - n
+    out = {"row": row[good], "no": good - first_break[row[good]], "words": n}
+    if not len(n):
+        return out | {k: np.zeros(0, np.uint64) for k in ("h", "sig", "keys")} | {"chars": n, "at": np.zeros(1, np.int64)}
+    place = (np.arange(len(words)) - np.repeat(first, n)).astype(np.uint64)
+    out["h"] = mix(np.add.reduceat(mix(words + (place + np.uint64(1)) * _PLACES), first) + n.astype(np.uint64))
+    out["chars"] = np.add.reduceat(chars, first) + n - 1
+    sigs, lines, keys, lo = [], [], [], 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 100_000)))
+        sig, at, key = _blocks(words[first[lo] : first[hi - 1] + n[hi - 1]], first[lo:hi] - first[lo], n[lo:hi])
+        sigs.append(sig)
+        lines.append(at + lo)
+        keys.append(key)
+        lo = hi
+    line, key = np.concatenate(lines), np.concatenate(keys)
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    fresh = np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1]))
+    line, out["keys"], out["sig"] = line[fresh], key[fresh], np.concatenate(sigs)
+    out["at"] = np.searchsorted(line, np.arange(len(n) + 1))
     return out
 
 
@@ -135,44 +197,32 @@ def similar(a: str, b: str, percent: int) -> bool:
     return edit_distance(a, b, limit) <= limit
 
 
-def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple]:
-    """The batch, and row, number and normalised text of its long enough lines, with their hashes."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        for lo, hi in slices(texts):
-            rows, numbers, lines = [], [], []
-            for k in range(lo, hi):
-                for no, line in enumerate(texts[k].split("\n")):
-                    line = normalise(line)
-                    if line.count(" ") + 1 >= min_words:
-                        rows.append(k)
-                        numbers.append(no)
-                        lines.append(line)
-            if lines:
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-                yield batch, rows, numbers, lines, hashes.view(np.int64)
-
-
-def _occurrences(min_words: int, sign: bool):
-    """Occurrences with what is compared before texts: the SimHash, or else the length."""
-    names = ["doc_id", "text_hash", "line_no", "h", "sig"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, numbers, lines, hashes in _lines(batches, min_words):
-            at = pa.array(rows)
-            sig = simhash(lines) if sign else np.fromiter(map(len, lines), np.int64, len(lines))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(hashes), pa.array(sig)], names)
-
-    return run
-
+def _occurrences(min_words: int):
+    """Every long enough line; blocks only where the task has not just seen an equal line."""
+    names = ["doc_id", "text_hash", "line_no", "h", "words", "chars", "sig", "blocks"]
 
-def _banded(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, lines, hashes in _lines(batches, min_words):
-            hashes, first = np.unique(hashes, return_index=True)
-            keys = pa.array(bands([lines[k] for k in first]).ravel())
-            at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS)
-            yield pa.record_batch([pa.array(hashes), pa.ListArray.from_arrays(at, keys)], ["h", "bands"])
+        seen: set[int] = set()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for lo, hi in slices(texts):
+                x = signed_lines(texts[lo:hi], min_words)
+                if not len(x["row"]):
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                before = len(seen)
+                fresh = np.zeros(len(x["h"]), bool)
+                for k, h in enumerate(x["h"].tolist()):
+                    seen.add(h)
+                    fresh[k] = len(seen) > before
+                    before = len(seen)
+                sizes = np.diff(x["at"])
+                keys = x["keys"][np.repeat(fresh, sizes)].view(np.int64)
+                at = np.concatenate(([0], np.cumsum(np.where(fresh, sizes, 0)))).astype(np.int32)
+                rows = pa.array(x["row"] + lo)
+                numbers = (pa.array(x[c].astype(np.int32)) for c in ("words", "chars"))
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x["no"].astype(np.int32)), pa.array(x["h"].view(np.int64)), *numbers, pa.array(x["sig"].view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))], names)
 
     return run
 
@@ -196,61 +246,74 @@ def _similar_lines(percent: int):
     return check
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT, max_bits: int | None = MAX_BITS) -> DataFrame:
-    """``doc_id, text_hash, lines`` (sorted numbers, from 0) of the lines that go."""
-    sign = max_bits is not None
-    if sign and max_bits > len(BLOCKS) - 2:
-        raise ValueError(f"{len(BLOCKS)} blocks find all lines within {len(BLOCKS) - 2} bits")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    occurrences = save(rows.mapInArrow(_occurrences(min_words, sign), "doc_id long, text_hash long, line_no int, h long, sig long").distinct())
-    place = F.struct("doc_id", "text_hash", "line_no")
-    nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig")))
-    if sign:
-        block = [F.shiftrightunsigned("sig", low).bitwiseAND((1 << bits) - 1) for low, bits in BLOCKS]
-        keys = [F.lit(k << 26) + F.shiftleft(block[i], 13) + block[j] for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-        members = nodes.select(F.explode(F.array(*keys)).alias("key"), F.col("h").alias("id"))
-    else:
-        banded = save(rows.mapInArrow(_banded(min_words), "h long, bands array<int>").dropDuplicates(["h"]))
-        banded = banded.select(F.col("h").alias("id"), F.posexplode("bands").alias("band", "key"))
-        members = banded.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"), "id")
+def _bound(percent: int):
+    """Whether two marks (words, chars, sig) leave room for similar lines."""
 
     def possible(a: Column, b: Column) -> Column:
-        if sign:
-            return F.bit_count(a.bitwiseXOR(b)) <= max_bits
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sig = nodes.select(F.col("h"), "sig")
-        near = pairs.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v")
-        near = save(near.filter(possible(F.col("a"), F.col("b"))).select("u", "v"))
-        ids = save(near.select(F.col("u").alias("h")).union(near.select(F.col("v").alias("h"))).distinct())
-        wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
-        texts = _with_key(docs, save(wanted), "inner").dropDuplicates(["doc_id", "_th"]).select(F.col("text").cast("string"), "wanted")
-        lines = save(texts.mapInArrow(_wanted_lines, "id long, line string"))
-        both = near.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
-        return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
-
-    labels = link_buckets(members, verify, nodes.select(F.col("h").alias("id"), F.col("sig").alias("mark")), possible)
-    labels = labels.union(labels.select("component", "component").distinct())
-    tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
-    tagged = save(tagged.select("h", "first", F.coalesce("component", "h").alias("part")))
-    kept = save(tagged.groupBy("part").agg(F.min("first").alias("kept")))
-    gone = occurrences.join(save(tagged.join(kept, "part").select("h", "kept")), "h").filter(~place.eqNullSafe(F.col("kept")))
-    gone = save(gone.select("doc_id", "text_hash", "line_no"))
-    return save(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line_no")).alias("lines")))
+        lengths = 100 * F.least(a["chars"], b["chars"]) >= percent * F.greatest(a["chars"], b["chars"])
+        bits = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= MAX_BITS
+        return lengths & ((F.least(a["words"], b["words"]) < BOUND_WORDS) | bits)
+
+    return possible
+
+
+def _members(occurrences: DataFrame) -> DataFrame:
+    """``key, id, mark`` of the blocks to join on, by the rarest ones of each line."""
+    entries = occurrences.select("h", F.explode("blocks").alias("key"))
+    counts = entries.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c"))
+    shared = save(counts.filter("lo < hi").select("key", "c"))
+    met = entries.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.collect_set(F.struct("c", "key")).alias("met"))
+    lines = occurrences.filter(F.size("blocks") > 0).select("h", F.size("blocks").alias("n_blocks"), F.struct("words", "chars", "sig").alias("mark"))
+    lines = save(met).join(lines, "h").dropDuplicates(["h"])
+    asked = F.when(F.col("mark.words") > SHORT, F.ceil(F.col("n_blocks") / SHARE)).otherwise(1)
+    # blocks of no other line are the rarest of all
+    joined = F.greatest(F.size("met") - asked + 1, F.lit(0)).cast("int")
+    rarest = F.slice(F.sort_array("met"), F.lit(1), joined)
+    return save(lines.select("h", "mark", F.explode(rarest).alias("x")).select("x.key", F.col("h").alias("id"), "mark"))
+
+
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """``doc_id, text_hash, lines`` (sorted numbers, from 0) of the lines that go."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    with scratch() as kept:
+        schema = "doc_id long, text_hash long, line_no int, h long, words int, chars int, sig long, blocks array<long>"
+        occurrences = save(rows.mapInArrow(_occurrences(min_words), schema))
+        place = F.struct("doc_id", "text_hash", "line_no")
+        nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            ids = save(pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct())
+            wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
+            texts = _with_key(docs, save(wanted), "inner").dropDuplicates(["_d", "_t"]).select(F.col("text").cast("string"), "wanted")
+            lines = save(texts.mapInArrow(_wanted_lines, "id long, line string"))
+            both = pairs.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
+            return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
+
+        labels = link_buckets(_members(occurrences), verify, _bound(percent))
+        labels = labels.union(labels.select("component", "component").distinct())
+        tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
+        tagged = save(tagged.select("h", "first", F.coalesce("component", "h").alias("part")))
+        stays = save(tagged.groupBy("part").agg(F.min("first").alias("kept")))
+        gone = occurrences.join(save(tagged.join(stays, "part").select("h", "kept")), "h").filter(~place.eqNullSafe(F.col("kept")))
+        out = save(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
+        kept.append(out)
+    return out
 
 
 def _with_key(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined to ``other`` on doc_id and text hash; nulls meet nulls."""
-    keyed = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    """``docs`` joined to ``other (doc_id, text_hash, ...)``, which keeps the names ``_d`` and ``_t``; nulls meet nulls."""
     other = other.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    return keyed.join(other, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), how).drop("_d", "_t")
+    same_id = docs["doc_id"].cast("long").eqNullSafe(other["_d"])
+    return docs.join(other, same_id & (F.xxhash64(docs["text"].cast("string")) == other["_t"]), how)
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT, max_bits: int | None = MAX_BITS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """``docs`` with texts that leave the dropped lines out, and ``n_dropped``, how many went."""
-    docs = docs.drop("n_dropped", "lines", "_th", "_d", "_t")
-    out = _with_key(docs, dropped_lines(docs, min_words, percent, max_bits), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col("lines"), k))
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return out.withColumns({"text": text, "n_dropped": F.coalesce(F.size("lines"), F.lit(0)).cast("long")}).select(*docs.columns, "n_dropped")
+    docs = docs.drop("n_dropped")
+    gone = dropped_lines(docs, min_words, percent)
+    out = _with_key(docs, gone, "left")
+    lines, text = gone["lines"], docs["text"]
+    left = F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(lines, k))
+    text = F.when(lines.isNull(), text).otherwise(F.array_join(left, "\n")).alias("text")
+    others = [text if c == "text" else docs[c] for c in docs.columns]
+    return out.select(*others, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_dropped"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.work import save
+from threadloom.llm.work import free, save, scratch
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -40,72 +40,90 @@ def components(edges: DataFrame) -> DataFrame:
 
     The smallest ids themselves have no row.
 
-    Alternating large-star and small-star steps; each step is written to shared storage.
-    Self-loops and repeated edges change nothing; an empty table gives an empty table.
+    Alternating large-star and small-star steps; each step is written to shared storage and
+    deleted after the next. Self-loops and repeated edges change nothing; an empty table gives an
+    empty table.
     """
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = save(down.distinct())
     while not _settled(now):
-        now = save(_small_star(save(_large_star(now))))
+        before = now
+        with scratch() as kept:
+            now = save(_small_star(save(_large_star(before))))
+            kept.append(now)
+        free(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def link_buckets(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    marks: DataFrame,
     possible: Callable[[Column, Column], Column],
+    marks: DataFrame | None = None,
 ) -> DataFrame:
     """Components over all verified links between ids that share a bucket.
 
-    ``members (key, id)``: distinct rows. ``verify`` keeps the true links of distinct pairs
-    ``(u, v)`` with u < v. First every member meets its bucket's lowest id, then twice a
-    random member of each bucket (buckets differ, so it meets many), then every pair of a bucket
-    that is not yet in one component and not yet tried. Links within a component that is already
-    connected change no component, so groups of thousands of alike members cost a few pairs each,
-    and no link is lost. The last join compares ``marks (id, mark)`` of the two sides and passes
-    only the pairs on whose marks ``possible`` does not rule a link out; it must never rule out
-    a true one, and a null mark rules out nothing. Those comparisons are as many as the pairs, but they are no rows.
-    Returns ``(id, component)`` of the linked ids other than their component's smallest.
+    ``members (key, id, mark)``: distinct rows, the mark depends on the id alone. ``verify`` keeps
+    the true links of distinct pairs ``(u, v)`` with u < v. First every member meets its bucket's
+    lowest id, then a random member of its bucket (buckets differ, so it meets several), then every
+    pair of a bucket of three or more that is not yet in one component and not yet tried. Links
+    within a component that is already connected change no component, so groups of thousands of
+    alike members cost a few pairs each, and no link is lost.
+
+    Every one of these joins compares the marks of both sides inside the join and passes only
+    pairs on whose marks ``possible`` does not rule a link out; a null mark rules out nothing. So
+    chance meetings are comparisons, but no rows. Large marks come as ``marks (id, mark)`` instead
+    and are compared in the last join only. Returns ``(id, component)`` of the linked ids other
+    than their component's smallest.
     """
     spark = members.sparkSession
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    members = save(members.join(save(shared), "key"))
-    tried = edges = labels = None
-    for turn in ("low", "mixed", "mixed again", "all"):
-        now = members.withColumn("part", F.col("id"))
-        if labels is not None:
-            now = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        order = F.col("id") if turn == "low" else F.xxhash64("id", "key", F.lit(turn))
-        pick, of = F.min_by("id", order), F.min_by("part", order)
-        now = save(now) if labels is not None else now
-        mixed = save(
-            now.groupBy("key")
-            .agg(F.min("part").alias("p0"), F.max("part").alias("p1"), pick.alias("pivot"), of.alias("pivot_part"))
-            .filter("p0 < p1")
-            .select("key", "pivot", "pivot_part")
-        )
-        if mixed.isEmpty():
-            break
-        if turn == "all":
-            left = save(now.join(mixed.select("key"), "key").join(marks, "id"))
-            right = left.select("key", F.col("id").alias("id2"), F.col("part").alias("part2"), F.col("mark").alias("mark2"))
-            apart = F.expr("id < id2 and part <> part2") & F.coalesce(possible(F.col("mark"), F.col("mark2")), F.lit(True))
-            pairs = left.join(right, "key").filter(apart)
-            pairs = pairs.select(F.col("id").alias("u"), F.col("id2").alias("v"))
-        else:
-            pairs = now.join(mixed, "key").filter("part <> pivot_part")
-            pairs = pairs.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = save(pairs)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        found = save(verify(pairs))
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-    if labels is None:
-        return spark.createDataFrame([], "id long, component long")
+    early = marks is None
+    with scratch() as kept:
+        members = members if early else members.withColumn("mark", F.lit(None).cast("int"))
+        sizes = save(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+        members = save(members.join(sizes, "key"))
+        free(sizes)
+        tried = edges = labels = None
+        for turn in ("low", "mixed", "all"):
+            now = members.withColumn("part", F.col("id"))
+            if turn != "low":
+                now = now.filter("c > 2")
+            if labels is not None:
+                now = now.drop("part").join(labels, "id", "left").select("key", "id", "mark", F.coalesce("component", "id").alias("part"))
+                now = save(now)
+            order = F.col("id") if turn == "low" else F.xxhash64("id", "key", F.lit(turn))
+            pivot = F.min_by(F.struct("id", "part", "mark"), order).alias("pivot")
+            mixed = now.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), pivot).filter("p0 < p1")
+            mixed = save(mixed.select("key", F.col("pivot.id").alias("id2"), F.col("pivot.part").alias("part2"), F.col("pivot.mark").alias("mark2")))
+            if mixed.isEmpty():
+                break
+            compared = early or turn == "all"
+            apart = F.coalesce(possible(F.col("mark"), F.col("mark2")), F.lit(True)) if compared else F.lit(True)
+            if turn == "all":
+                left = now.join(mixed.select("key"), "key").select("key", "id", "part", "mark")
+                left = save(left if early else left.drop("mark").join(marks, "id"))
+                right = left.select("key", F.col("id").alias("id2"), F.col("part").alias("part2"), F.col("mark").alias("mark2"))
+                pairs = left.join(right, "key").filter(F.expr("id < id2 and part <> part2") & apart)
+            else:
+                pairs = now.join(mixed, "key").filter(F.expr("part <> part2") & apart)
+            pairs = pairs.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            pairs = save(pairs)
+            if pairs.isEmpty():
+                continue
+            tried = pairs if tried is None else tried.union(pairs)
+            with scratch() as links:
+                found = save(verify(pairs))
+                links.append(found)
+            edges = found if edges is None else edges.union(found)
+            before = labels
+            with scratch() as links:
+                labels = save(components(edges))
+                links.append(labels)
+            if before is not None:
+                free(before)
+        if labels is None:
+            return spark.createDataFrame([], "id long, component long")
+        kept.append(labels)
     return labels

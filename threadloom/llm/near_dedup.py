@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import mix, shingle_sets, slices
 from threadloom.llm.linking import components, link_buckets
-from threadloom.llm.work import save
+from threadloom.llm.work import free, save, scratch
 
 BUCKET_BITS = 9
 REGISTERS = 1 << BUCKET_BITS
@@ -162,11 +162,13 @@ def _plausible(least: float):
     def check(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         if not len(sa):
             return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(x), dtype=np.uint16).reshape(-1, REGISTERS) for x in (sa, sb))
-        value, used = estimate(a, b, na.to_numpy(), nb.to_numpy())
+        known = sa.notna() & sb.notna()
+        blank = bytes(2 * REGISTERS)
+        a, b = (np.frombuffer(b"".join(x.where(known, blank)), dtype=np.uint16).reshape(-1, REGISTERS) for x in (sa, sb))
+        value, used = estimate(a, b, na.fillna(1).to_numpy(), nb.fillna(1).to_numpy())
         # six standard errors: no true link is lost to the estimate
         margin = 6 * math.sqrt(least * (1 - least)) / np.sqrt(np.maximum(used, 1)) + 0.01
-        return pd.Series(value >= least - margin)
+        return pd.Series(value >= least - margin) | ~known
 
     return check
 
@@ -181,39 +183,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Documents link where 100 * |intersection| >= percent * |union| of their ``size``-word shingle
     sets; ``component_id`` is the smallest doc_id that links reach and ``kept`` marks it.
     """
-    made = save(profiles(docs, size))
-    full = made.filter("n_shingles > 0 and doc_id is not null")
-    nodes = save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
-    members = nodes.select("rep", "sketch").mapInArrow(_bands, "key long, id long").distinct()
-    repeats = _repeats(nodes)
-    sketches = nodes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")) if repeats else nodes.select("rep", "n", "sketch")
-    marks = nodes.select(F.col("rep").alias("id"), F.struct("n", "parity").alias("mark"))
-    if repeats:
-        marks = marks.groupBy("id").agg(F.when(F.count("*") == 1, F.first("mark")).alias("mark"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("rep").alias("u"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("rep").alias("v"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        near = pairs.join(a, "u").join(b, "v").filter(_ratio(percent, "na", "nb"))
-        near = save(near.filter(_plausible(percent / 100)("sa", "sb", "na", "nb")).select("u", "v"))
-        ids = near.select(F.col("u").alias("doc_id")).union(near.select(F.col("v").alias("doc_id"))).distinct()
-        texts = docs.select("doc_id", "text").join(save(ids), "doc_id", "left_semi")
-        sets = save(texts.mapInArrow(_sets(size), "id long, items array<long>"))
-        left = sets.select(F.col("id").alias("u"), F.col("items").alias("x"))
-        right = sets.select(F.col("id").alias("v"), F.col("items").alias("y"))
-        both = near.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("x", "y")))
-        return both.filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("u", "v").distinct()
-
-    labels = link_buckets(members, verify, marks, _within(percent))
-    # a doc_id on rows with different texts ties their sets together
-    ties = full.groupBy("doc_id").agg(F.min("f1").alias("g1"), F.max("f1").alias("g2")).filter("g1 <> g2").select("doc_id")
-    tied = full.join(save(ties), "doc_id").select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "rep"), ["f1", "f2"])
-    tied = save(tied.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    if not tied.isEmpty():
-        labels = components(tied.union(labels.select(F.col("id").alias("u"), F.col("component").alias("v"))))
-    groups = nodes.select("f1", "f2", "rep", "last").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    groups = save(groups.filter("component is not null or last <> rep").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")))
-    out = made.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2"], "left")
+    with scratch() as kept:
+        made = save(profiles(docs, size))
+        names = save(made.select("doc_id", "n_shingles", "f1", "f2"))
+        full = names.filter("n_shingles > 0 and doc_id is not null")
+        nodes = made.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
+        nodes = save(nodes.agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+        free(made)
+        members = nodes.select("rep", "sketch").mapInArrow(_bands, "key long, id long").distinct()
+        sketches = nodes.select(F.col("rep").alias("id"), "n", "sketch", F.struct("n", "parity").alias("mark"))
+        if _repeats(nodes):
+            # a doc_id that stands for several sets has no sketch of its own: only full sets decide on it
+            one = F.count("*") == 1
+            sketches = sketches.groupBy("id").agg(*[F.when(one, F.first(c)).alias(c) for c in ("n", "sketch", "mark")])
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            a = sketches.select(F.col("id").alias("u"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+            b = sketches.select(F.col("id").alias("v"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+            near = pairs.join(a, "u").join(b, "v").filter(F.coalesce(_ratio(percent, "na", "nb"), F.lit(True)))
+            near = save(near.filter(_plausible(percent / 100)("sa", "sb", "na", "nb")).select("u", "v"))
+            ids = near.select(F.col("u").alias("doc_id")).union(near.select(F.col("v").alias("doc_id"))).distinct()
+            texts = docs.select("doc_id", "text").join(save(ids), "doc_id", "left_semi")
+            sets = save(texts.mapInArrow(_sets(size), "id long, items array<long>"))
+            left = sets.select(F.col("id").alias("u"), F.col("items").alias("x"))
+            right = sets.select(F.col("id").alias("v"), F.col("items").alias("y"))
+            both = near.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("x", "y")))
+            return both.filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("u", "v").distinct()
+
+        labels = link_buckets(members, verify, _within(percent), sketches.select("id", "mark"))
+        # a doc_id on rows with different texts ties their sets together
+        ties = full.groupBy("doc_id").agg(F.min("f1").alias("g1"), F.max("f1").alias("g2")).filter("g1 <> g2").select("doc_id")
+        tied = full.join(save(ties), "doc_id").select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "rep"), ["f1", "f2"])
+        tied = save(tied.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+        if not tied.isEmpty():
+            labels = components(tied.union(labels.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        groups = nodes.select("f1", "f2", "rep", "last").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        groups = save(groups.filter("component is not null or last <> rep").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")))
+        kept += [names, groups]
+    out = names.join(groups, ["f1", "f2"], "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
@@ -225,5 +232,7 @@ def _repeats(nodes: DataFrame) -> bool:
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is its component's smallest id; others go."""
-    gone = near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(save(gone), "doc_id", "left_anti")
+    with scratch() as kept:
+        gone = save(near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct())
+        kept.append(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
