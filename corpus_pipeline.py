@@ -15,7 +15,7 @@ from threadloom.llm.line_dedup import drop_repeated_lines
 from threadloom.llm.near_dedup import drop_near_duplicates
 from threadloom.llm.packing import pack
 from threadloom.llm.queries import tokenizer_path
-from threadloom.llm.work import save
+from threadloom.llm.work import free, save, scratch
 
 #: SQL has no n-gram classifiers, SimHash or tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that others already have; n_chars follows the text."""
-    out = drop_repeated_lines(docs, max_bits=None)
+    out = drop_repeated_lines(docs)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(docs.columns)
 
@@ -61,5 +61,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch() as kept:
+            docs = save(stage(spark, before, sf_dir))
+            kept.append(docs)
+        free(before)
     return docs
