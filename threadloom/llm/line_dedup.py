@@ -3,16 +3,15 @@
 Lines are normalised (lower case, everything but letters and digits is a space). A SimHash of the
 words is computed for every piece of a line: pieces begin at words whose hash is smaller than
 those around it, so an edit changes the pieces next to it and no others. Each piece's SimHash is
-one pigeonhole block and a join key; lines of up to ``SHORT`` words have blocks of finer pieces
-too, and lines of up to ``TINY`` words their two halves. The SimHash of the whole line, the sum
-of its pieces, bounds candidates by Hamming distance inside the join. Edit similarity of the
-normalised lines decides. Of every connected group one occurrence stays, the first by
-(doc_id, text hash, line number).
+one pigeonhole block and a join key; lines of up to ``HALVED`` and ``THIRDED`` words have blocks of
+their halves and thirds too. The SimHash of the whole line, the sum of its pieces, bounds
+candidates by Hamming distance inside the join. Edit similarity of the normalised lines decides.
+Of every connected group one occurrence stays, the first by (doc_id, text hash, line number).
 
-Candidates of more than ``SHORT`` words share at least a quarter of their blocks. Such lines
-therefore share one of their rarest blocks (all but a quarter, less one), so only those are joined
-on: a passage that many long lines quote doesn't bring all of these together. Which links this can
-lose is measured in the README. Texts are read again only for lines of candidate pairs.
+Candidates of more than ``THIRDED`` words share at least one in ``SHARE`` of their blocks. Such
+lines therefore share one of their rarest blocks, so only those are joined on: a passage that many
+long lines quote doesn't bring all of these together. Which links the blocks lose is measured in
+the README. Texts are read once more, for lines that share a block.
 
 Defined cases: lines with fewer than ``min_words`` words always stay; so do line breaks of kept
 lines; null and empty texts come back as they are; a document may lose all lines and then is the
@@ -38,12 +37,17 @@ from threadloom.llm.work import save, scratch
 
 MIN_WORDS = 5
 SIMILARITY_PERCENT = 80
-#: Words up to which a line has blocks of finer pieces, and of its halves.
-SHORT, TINY = 24, 16
+#: Words up to which a line has blocks of its halves and thirds.
+HALVED, THIRDED = 12, 24
 #: One of so many blocks at least is shared by candidates longer than that.
-SHARE = 4
-#: Differing SimHash bits of candidates at most, from ``BOUND_WORDS`` words on.
-MAX_BITS, BOUND_WORDS = 26, 12
+SHARE = 6
+#: Differing SimHash bits of candidates at most.
+MAX_BITS = 20
+#: Words of a piece at most, so that the votes on a bit fit in a byte.
+LONGEST_PIECE = 240
+#: Characters up to which Spark's own edit distance is faster than the one here.
+NATIVE_CHARS = 600
+_LANES = np.uint64(0x0101010101010101)
 _ASCII_GAPS = bytes(c if c == 10 or chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _ODD = re.compile(r"[^\w\x00-\x7f]")
 _GAP = re.compile(r"[\W_]+")
@@ -80,6 +84,15 @@ def _votes(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums > counts[:, None], axis=1).view(np.uint64).ravel()
 
 
+def _bit_sums(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many words of each run have each bit, 64 counts a row; runs have fewer than 256 words.
+
+    Eight bits at a time are added up in the bytes of one integer.
+    """
+    lanes = [np.add.reduceat((words >> np.uint64(k)) & _LANES, starts) for k in range(8)]
+    return np.stack(lanes, axis=1).view(np.uint8)
+
+
 def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """SimHash of every line, and (line, block key) of its pieces.
 
@@ -88,27 +101,24 @@ def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.nda
     line = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(words)) - first[line]
     rest = n[line] - place
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
     lines, keys = [], []
 
-    def add(of: np.ndarray, starts: np.ndarray, family: int) -> np.ndarray:
+    def add(of: np.ndarray, cut: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(cut[of])
         counts = np.diff(starts, append=len(of))
-        sums = np.add.reduceat(bits if len(of) == len(words) else bits[of], starts, axis=0, dtype=np.int32)
+        sums = _bit_sums(words[of], starts).astype(np.int32)
         lines.append(line[of[starts]])
         keys.append(mix(_votes(sums, counts) + counts.astype(np.uint64) * _PLACES + _FAMILIES[family]))
-        return sums
-
-    every = np.arange(len(words))
-    pieces = np.flatnonzero((place == 0) | (_lowest(words, line, 2) & (place >= 3) & (rest >= 3)))
-    sums = add(every, pieces, 0)
-    simhash = _votes(np.add.reduceat(sums, np.searchsorted(pieces, first), axis=0), n)
-    short = every[n[line] <= SHORT]
-    if len(short):
-        cut = (place == 0) | (_lowest(words, line, 1) & (place >= 2) & (rest >= 2))
-        add(short, np.flatnonzero(cut[short]), 1)
-    tiny = every[n[line] <= TINY]
-    if len(tiny):
-        add(tiny, np.flatnonzero((place == 0)[tiny] | (place == n[line] // 2)[tiny]), 2)
+        return sums, lines[-1]
+
+    cut = (place % LONGEST_PIECE == 0) | (_lowest(words, line, 2) & (place >= 3) & (rest >= 3))
+    sums, of = add(np.arange(len(words)), cut, 0)
+    simhash = _votes(np.add.reduceat(sums, np.searchsorted(of, np.arange(len(n))), axis=0), n)
+    for family, (parts, most) in enumerate(((2, HALVED), (3, THIRDED)), 1):
+        short = np.flatnonzero(n[line] <= most)
+        if len(short):
+            bounds = [place == n[line] * j // parts for j in range(parts)]
+            add(short, np.logical_or.reduce(bounds), family)
     return simhash, np.concatenate(lines), np.concatenate(keys)
 
 
@@ -238,7 +248,7 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
 
-def _similar_lines(percent: int):
+def _similar_long(percent: int):
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y, percent) for x, y in zip(a, b)], dtype=bool)
@@ -247,29 +257,30 @@ def _similar_lines(percent: int):
 
 
 def _bound(percent: int):
-    """Whether two marks (words, chars, sig) leave room for similar lines."""
+    """Whether two marks (chars, sig) leave room for similar lines."""
 
     def possible(a: Column, b: Column) -> Column:
         lengths = 100 * F.least(a["chars"], b["chars"]) >= percent * F.greatest(a["chars"], b["chars"])
-        bits = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= MAX_BITS
-        return lengths & ((F.least(a["words"], b["words"]) < BOUND_WORDS) | bits)
+        return lengths & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= MAX_BITS)
 
     return possible
 
 
 def _members(occurrences: DataFrame) -> DataFrame:
-    """``key, id, mark`` of the blocks to join on, by the rarest ones of each line."""
+    """``key, id, mark, c``: the blocks to join on, the rarest ones of each line, that ``c`` > 1 lines have."""
     entries = occurrences.select("h", F.explode("blocks").alias("key"))
     counts = entries.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c"))
     shared = save(counts.filter("lo < hi").select("key", "c"))
     met = entries.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.collect_set(F.struct("c", "key")).alias("met"))
-    lines = occurrences.filter(F.size("blocks") > 0).select("h", F.size("blocks").alias("n_blocks"), F.struct("words", "chars", "sig").alias("mark"))
+    lines = occurrences.filter(F.size("blocks") > 0).select("h", "words", F.size("blocks").alias("n_blocks"), F.struct("chars", "sig").alias("mark"))
     lines = save(met).join(lines, "h").dropDuplicates(["h"])
-    asked = F.when(F.col("mark.words") > SHORT, F.ceil(F.col("n_blocks") / SHARE)).otherwise(1)
+    asked = F.when(F.col("words") > THIRDED, F.ceil(F.col("n_blocks") / SHARE)).otherwise(1)
     # blocks of no other line are the rarest of all
     joined = F.greatest(F.size("met") - asked + 1, F.lit(0)).cast("int")
     rarest = F.slice(F.sort_array("met"), F.lit(1), joined)
-    return save(lines.select("h", "mark", F.explode(rarest).alias("x")).select("x.key", F.col("h").alias("id"), "mark"))
+    rows = save(lines.select("h", "mark", F.explode(rarest).alias("x")).select("x.key", F.col("h").alias("id"), "mark"))
+    sizes = save(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    return save(rows.join(sizes, "key"))
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -281,15 +292,21 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
         place = F.struct("doc_id", "text_hash", "line_no")
         nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
 
+        members = _members(occurrences)
+        ids = members.select(F.col("id").alias("h")).distinct()
+        wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
+        texts = _with_key(docs, save(wanted), "inner").dropDuplicates(["_d", "_t"]).select(F.col("text").cast("string"), "wanted")
+        lines = save(texts.mapInArrow(_wanted_lines, "id long, line string"))
+
         def verify(pairs: DataFrame) -> DataFrame:
-            ids = save(pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct())
-            wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
-            texts = _with_key(docs, save(wanted), "inner").dropDuplicates(["_d", "_t"]).select(F.col("text").cast("string"), "wanted")
-            lines = save(texts.mapInArrow(_wanted_lines, "id long, line string"))
             both = pairs.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
-            return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
+            longer = F.greatest(F.length("x"), F.length("y"))
+            limit = F.floor(longer * (100 - percent) / 100).cast("int")
+            near = F.call_function("levenshtein", F.col("x"), F.col("y"), limit) >= 0
+            short = both.filter(longer <= NATIVE_CHARS).filter(near)
+            return short.select("u", "v").unionByName(both.filter(longer > NATIVE_CHARS).filter(_similar_long(percent)("x", "y")).select("u", "v"))
 
-        labels = link_buckets(_members(occurrences), verify, _bound(percent))
+        labels = link_buckets(members, verify, _bound(percent))
         labels = labels.union(labels.select("component", "component").distinct())
         tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
         tagged = save(tagged.select("h", "first", F.coalesce("component", "h").alias("part")))

@@ -63,7 +63,8 @@ def link_buckets(
 ) -> DataFrame:
     """Components over all verified links between ids that share a bucket.
 
-    ``members (key, id, mark)``: distinct rows, the mark depends on the id alone. ``verify`` keeps
+    ``members (key, id, mark)``: distinct rows, the mark depends on the id alone; with ``c``, the
+    size of the bucket, there are no buckets of one. ``verify`` keeps
     the true links of distinct pairs ``(u, v)`` with u < v. First every member meets its bucket's
     lowest id, then a random member of its bucket (buckets differ, so it meets several), then every
     pair of a bucket of three or more that is not yet in one component and not yet tried. Links
@@ -80,9 +81,10 @@ def link_buckets(
     early = marks is None
     with scratch() as kept:
         members = members if early else members.withColumn("mark", F.lit(None).cast("int"))
-        sizes = save(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-        members = save(members.join(sizes, "key"))
-        free(sizes)
+        if "c" not in members.columns:
+            sizes = save(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+            members = save(members.join(sizes, "key"))
+            free(sizes)
         tried = edges = labels = None
         for turn in ("low", "mixed", "all"):
             now = members.withColumn("part", F.col("id"))
