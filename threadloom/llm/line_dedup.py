@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import hashed_runs, mix, slices
+from threadloom.llm.edits import similar
 from threadloom.llm.linking import link_buckets
 from threadloom.llm.work import save, scratch
 
@@ -45,8 +46,6 @@ SHARE = 6
 MAX_BITS = 20
 #: Words of a piece at most, so that the votes on a bit fit in a byte.
 LONGEST_PIECE = 240
-#: Characters up to which Spark's own edit distance is faster than the one here.
-NATIVE_CHARS = 600
 _LANES = np.uint64(0x0101010101010101)
 _ASCII_GAPS = bytes(c if c == 10 or chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _ODD = re.compile(r"[^\w\x00-\x7f]")
@@ -165,48 +164,6 @@ def signed_lines(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
     return out
 
 
-def edit_distance(a: str, b: str, limit: int | None = None) -> int:
-    """Levenshtein distance by bit-parallel columns over one long integer.
-
-    Past ``limit`` the columns end as soon as the rest cannot bring it back: some number above it.
-    """
-    start, least = 0, min(len(a), len(b))
-    while start < least and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < least - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a or not b:
-        return len(a) + len(b)
-    places: dict[str, int] = {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = every, 0, len(a)
-    most = len(b) + (len(a) + len(b) if limit is None else limit)
-    for c in b:
-        equal = places.get(c, 0)
-        diagonal = (((equal & up) + up) ^ up) | equal | down
-        grow, shrink = down | (every & ~(diagonal | up)), up & diagonal
-        score += bool(grow & top) - bool(shrink & top)
-        most -= 1
-        if score > most:
-            return score
-        grow, shrink = (grow << 1 | 1) & every, (shrink << 1) & every
-        up, down = shrink | (every & ~(diagonal | grow)), grow & diagonal
-    return score
-
-
-def similar(a: str, b: str, percent: int) -> bool:
-    """Whether 100 * (1 - distance / longer length) is at least ``percent``."""
-    longer = max(len(a), len(b))
-    if 100 * min(len(a), len(b)) < percent * longer:
-        return False
-    limit = (100 - percent) * longer // 100
-    return edit_distance(a, b, limit) <= limit
-
-
 def _occurrences(min_words: int):
     """Every long enough line; blocks only where the task has not just seen an equal line."""
     names = ["doc_id", "text_hash", "line_no", "h", "words", "chars", "sig", "blocks"]
@@ -248,7 +205,7 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
 
-def _similar_long(percent: int):
+def _similar_lines(percent: int):
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y, percent) for x, y in zip(a, b)], dtype=bool)
@@ -300,11 +257,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
 
         def verify(pairs: DataFrame) -> DataFrame:
             both = pairs.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
-            longer = F.greatest(F.length("x"), F.length("y"))
-            limit = F.floor(longer * (100 - percent) / 100).cast("int")
-            near = F.call_function("levenshtein", F.col("x"), F.col("y"), limit) >= 0
-            short = both.filter(longer <= NATIVE_CHARS).filter(near)
-            return short.select("u", "v").unionByName(both.filter(longer > NATIVE_CHARS).filter(_similar_long(percent)("x", "y")).select("u", "v"))
+            return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
 
         labels = link_buckets(members, verify, _bound(percent))
         labels = labels.union(labels.select("component", "component").distinct())
