@@ -1,11 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Documents are partitioned by the bit length of their number of distinct shingles. Each document
-gets a one-permutation MinHash signature whose number of bins grows with its partition, so that
-the chance of an item's shingle being hidden by a smaller hash in its bin stays below a bound set
-by the recall target and the smallest item. A short test item inside a long document therefore
-still meets it in many bins. Items probe with all their shingles; pairs with too few hits go, and
-the rest are verified by exact containment of shingle sets. DataFrame expressions only.
+gets a one-permutation MinHash signature: the smallest hash of each of 2^(size class + level) bins.
+Bins follow hash prefixes, so a signature of fewer bins is part of one with more. Items are
+partitioned by size as well: an item of n shingles that reaches the threshold has at least
+``percent`` of n in the document, and its level is the lowest at which all of these are hidden
+behind smaller hashes with a chance of ``miss`` at most. Short items need many bins, longer ones
+few; a document keeps one signature for the level of the shortest item. Items probe with all
+their shingles, and each pair that meets is verified by exact containment of shingle sets.
+DataFrame expressions only.
 
 Defined cases: case and punctuation don't count; null or empty texts and items match nothing; an
 item of fewer than ``words`` words is searched as one shingle of its own length; rows that repeat
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.native import with_shingles
@@ -26,7 +29,10 @@ from threadloom.llm.work import save
 
 WORDS = 5
 PERCENT = 80
-MISS = 1e-9
+#: Chance that an item which just reaches the threshold is not met; whole copies are met more surely.
+MISS = 0.01
+#: Levels of bins: 2^-6 to 2^6 times the size class.
+LEVELS = tuple(range(-6, 7))
 #: Probe keys of the benchmark are broadcast up to this many (16 bytes each); else they are shuffled.
 BROADCAST_KEYS = 2_000_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -37,22 +43,48 @@ def _grams(df: DataFrame, words: int) -> DataFrame:
     return df.withColumn("grams", F.array_distinct("_g")).drop("_g", "text")
 
 
-def _bin_bits(least_hits: int, miss: float) -> int:
-    """Bins per shingle, as bits: a shingle loses its bin with chance 2^-(bits+1) at most."""
-    return max(6, math.ceil(-math.log2(2 * miss ** (1 / least_hits))))
+def kept_share(level: int) -> float:
+    """The least share of a document's shingles that 2^(size class + level) bins keep."""
+    bins = 2.0**level
+    return bins * -math.expm1(-1 / bins)
 
 
-def _signature(docs: DataFrame, spare: int) -> DataFrame:
-    """The smallest hash of every bin; 2^(size class + spare) bins."""
-    sized = docs.withColumn("_s", F.sort_array("grams")).withColumn("_bits", F.length(F.bin(F.size("grams"))) + spare)
-    shift = F.greatest(F.lit(64) - F.col("_bits"), F.lit(0))
-    bins = F.transform("_s", lambda h: F.call_function("shiftright", h, shift))
-    sized = sized.withColumn("_b", bins)
-    first = F.filter("_s", lambda h, i: (i == 0) | (F.get("_b", i) != F.get("_b", i - 1)))
-    return sized.select("doc_id", first.alias("signature"))
+def level_of(shingles: int, percent: int = PERCENT, miss: float = MISS) -> int:
+    """The lowest level at which an item of so many shingles is met with a chance of 1 - ``miss``.
 
+    The highest level where none is enough: then nearly all shingles are kept.
+    """
+    common = max(1, math.ceil(shingles * percent / 100))
+    return next((v for v in LEVELS if (1 - kept_share(v)) ** common <= miss), LEVELS[-1])
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+
+def signature(docs: DataFrame, levels: list[int]) -> DataFrame:
+    """``doc_id, signature``: the hashes that are the smallest of their bin at the highest of ``levels``.
+
+    Each comes with the lowest of ``levels`` at which it is so.
+    """
+    sized = docs.withColumn("_s", F.sort_array("grams")).withColumn("_class", F.length(F.bin(F.greatest(F.size("grams") - 1, F.lit(0)))))
+
+    def first_in_bin(h: Column, i: Column, level: int) -> Column:
+        shift = F.least(F.greatest(64 - F.col("_class") - level, F.lit(0)), F.lit(63))
+        cut = lambda x: F.call_function("shiftright", x, shift)
+        # no bits at all are one bin, whatever the sign
+        return (i == 0) | ((F.col("_class") + level > 0) & (cut(h) != cut(F.get("_s", i - 1))))
+
+    kept = F.filter("_s", lambda h, i: first_in_bin(h, i, max(levels)))
+    sized = sized.withColumn("_s", kept)
+    # what is between two kept hashes lies in the bin of the first, so neighbours still tell bins apart
+
+    def lowest(h: Column, i: Column) -> Column:
+        out = F.lit(max(levels))
+        for level in sorted(levels, reverse=True)[1:]:
+            out = F.when(first_in_bin(h, i, level), level).otherwise(out)
+        return F.struct(h.alias("h"), out.alias("level"))
+
+    return sized.select("doc_id", F.transform("_s", lowest).alias("signature"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment`` of every leaked item."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -61,23 +93,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: in
     lengths = sorted(r["_n"] for r in items.select("_n").distinct().collect())
     found = None
     for n in lengths:
-        part = _leaks(docs, items.filter(F.col("_n") == n).drop("_n"), n, percent)
+        part = _leaks(docs, items.filter(F.col("_n") == n).drop("_n"), n, percent, miss)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles int, n_found int, containment double")
     return found
 
 
-def _leaks(docs: DataFrame, items: DataFrame, words: int, percent: int) -> DataFrame:
+def _leaks(docs: DataFrame, items: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     items = save(_grams(items, words).withColumn("n", F.size("grams")))
-    probes = save(items.select("item_id", "n", F.explode("grams").alias("h")))
-    size = probes.agg(F.count("*").alias("keys"), F.min("n").alias("least")).first()
-    spare = _bin_bits(max(1, math.ceil(size["least"] * percent / 100)), MISS)
-    near = F.broadcast(probes) if size["keys"] <= BROADCAST_KEYS else probes
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]
+    level = {n: level_of(n, percent, miss) for n in sizes}
+    levels = sorted(set(level.values()))
+    table = F.create_map(*[F.lit(x) for kv in level.items() for x in kv])
+    probes = save(items.select("item_id", F.explode("grams").alias("h"), F.element_at(table, F.col("n")).alias("item_level")))
+    near = F.broadcast(probes) if probes.count() <= BROADCAST_KEYS else probes
     # the outer form infers no filter on the array, which would compute the signature twice
-    bins = _signature(_grams(docs, words), spare).select("doc_id", F.explode_outer("signature").alias("h"))
-    hits = bins.join(near, "h").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("hits"))
-    pairs = save(hits.filter(F.col("hits") * 200 >= F.col("n") * percent).select("doc_id", "item_id"))
+    bins = signature(_grams(docs, words), levels).select("doc_id", F.explode_outer("signature").alias("x")).select("doc_id", "x.h", "x.level")
+    pairs = save(bins.join(near, "h").filter("level <= item_level").select("doc_id", "item_id").distinct())
     some = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     both = _grams(some, words).join(pairs, "doc_id").join(items.withColumnRenamed("grams", "wanted"), "item_id")
     both = both.withColumn("n_found", F.size(F.array_intersect("grams", "wanted")))
