@@ -3,11 +3,11 @@
 Because the threshold is fixed, fingerprints of parts merge by union, and two fingerprints
 estimate containment whatever the sizes of their documents. DataFrame expressions only.
 
-Defined cases: null is the empty text; it has an empty fingerprint and a likeness of 0 to others
-and 1 to another empty one; a text none of whose hashes falls below the threshold keeps its single
-smallest hash; equal texts have equal fingerprints; rows that repeat a doc_id follow each other
-in text order; rows without doc_id come last; an empty table gives an empty table; extra columns
-are ignored.
+Defined cases: null is the empty text; a text without shingles, or none of whose hashes falls
+below the threshold (one in 1.3 texts of one shingle, one in 18 of ten), has an empty fingerprint,
+which tells nothing: its likeness is 0 to all but the fingerprint of an equal text, to which it is
+1; equal texts have equal fingerprints; rows that repeat a doc_id follow each other in text order;
+rows without doc_id come last; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.native import with_shingles
+from threadloom.llm.ranges import LOWEST, range_of, shuffle_partitions
 
 #: One of this many hashes is kept.
-SCALE = 8
+SCALE = 4
+#: Ranges of doc_id that are dealt to each shuffle partition.
+RANGES = 4
 WORDS = 5
 _LOWEST = -(2**63)
 
@@ -29,9 +32,7 @@ def with_sketch(df: DataFrame, text: Column, out: str, scale: int = SCALE, words
     """Add ``out``: the sorted distinct shingle hashes below ``1/scale`` of the hash range."""
     ceiling = F.lit(_LOWEST + 2**64 // scale)
     df = with_shingles(df, text, words, "_all")
-    kept = F.filter("_all", lambda h: h < ceiling)
-    df = df.withColumn("_kept", kept).withColumn("_all", F.when((F.size("_kept") > 0) | (F.size("_all") == 0), F.col("_kept")).otherwise(F.array(F.array_min("_all"))))
-    return df.withColumn(out, F.sort_array(F.array_distinct("_all"))).drop("_all", "_kept")
+    return df.withColumn(out, F.sort_array(F.array_distinct(F.filter("_all", lambda h: h < ceiling)))).drop("_all")
 
 
 def merged(*sketches: str) -> Column:
@@ -39,15 +40,14 @@ def merged(*sketches: str) -> Column:
     return F.sort_array(reduce(F.array_union, map(F.col, sketches)))
 
 
-def containment(a: str, b: str) -> Column:
-    """Share of the smaller sketch that the other holds, 0 to 1."""
+def containment(a: str, b: str, same: Column | bool = False) -> Column:
+    """Share of the smaller sketch that the other holds, 0 to 1; an empty one holds nothing.
+
+    ``same`` says that both belong to equal texts, so that the likeness is 1.
+    """
     least = F.least(F.size(a), F.size(b))
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
-        .when(least == 0, 0.0)
-        .otherwise(F.size(F.array_intersect(a, b)) / least)
-        .cast("double")
-    )
+    same = F.lit(same) if isinstance(same, bool) else same
+    return F.when(same, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least).cast("double")
 
 
 def printed(sketch: str) -> Column:
@@ -57,33 +57,22 @@ def printed(sketch: str) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``next_<c>`` of the document with the next smaller doc_id; after the last, of the first.
 
-    Rows are dealt by ranges of doc_id whose approximate quantiles, one per shuffle partition, are
-    the only thing that the driver sees. The first row of each range is copied to the end of the
-    range before it, so that no row needs a global window.
+    Rows are dealt by ranges of doc_id, several for each shuffle partition, of which the driver
+    sees the approximate quantiles and the highest id. The first row of each range is copied to
+    the end of the range before it, so that no row needs a global window.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = keyed.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or [0]))
-    steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
-    table = F.lit(cuts)
-
-    def seek(at: Column, step: Column) -> Column:
-        fits = (at + step <= len(cuts)) & (F.get(table, at + step - 1) < F.col("_k"))
-        return at + F.when(fits, step).otherwise(0)
-
-    keyed = keyed.withColumn("_range", F.aggregate(F.lit(steps), F.lit(0), seek))
-    heads = sorted((r["_range"], r["h"]) for r in keyed.groupBy("_range").agg(F.max("_k").alias("h")).collect())
-    if not heads:
+    lowest = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+    keyed = docs.withColumns({"_k": lowest, "_range": range_of(docs, F.col("doc_id"), RANGES * shuffle_partitions(docs))})
+    tops = sorted((r["_range"], r["h"]) for r in keyed.groupBy("_range").agg(F.max("_k").alias("h")).collect())
+    if not tops:
         return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
-    ranges = [r for r, _ in heads]
-    before = dict(zip([h for _, h in heads], [*ranges[1:], ranges[0]]))
-    pairs = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    own = F.struct(F.col("_range").cast("long").alias("r"), F.lit(False).alias("ghost"))
-    copy = F.struct(F.get(F.filter(F.map_entries(pairs), lambda e: e["key"] == F.col("_k")), F.lit(0))["value"].alias("r"), F.lit(True).alias("ghost"))
-    at = F.explode(F.when(F.col("_k").isin(list(before)), F.array(own, copy)).otherwise(F.array(own))).alias("_at")
-    dealt = keyed.select(*docs.columns, "_k", at)
+    ranges = [r for r, _ in tops]
+    before = spark.createDataFrame(list(zip([h for _, h in tops], [*ranges[1:], ranges[0]])), "_k long, _copy int")
+    own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost"))
+    copy = F.struct(F.col("_copy").alias("r"), F.lit(True).alias("ghost"))
+    at = F.explode(F.when(F.col("_copy").isNotNull(), F.array(own, copy)).otherwise(F.array(own))).alias("_at")
+    dealt = keyed.join(F.broadcast(before), "_k", "left").select(*docs.columns, "_k", at)
     order = Window.partitionBy("_at.r").orderBy("_at.ghost", F.desc("_k"), columns[0])
     ahead = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return ahead.filter("not _at.ghost").drop("_k", "_at")
@@ -100,13 +89,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     head = F.col("text").substr(F.lit(1), (F.col("n_chars") - third).cast("int"))
     rows = rows.withColumn("edited", F.concat(head, F.col("next_text").substr(F.lit(1), third)))
-    rows = with_sketch(rows.drop("text", "next_text"), F.col("edited"), "edited_sketch")
+    rows = with_sketch(rows, F.col("edited"), "edited_sketch")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         printed("sketch").alias("fingerprint"),
         printed("edited_sketch").alias("edited_fingerprint"),
-        containment("sketch", "edited_sketch").alias("near_edited"),
-        containment("sketch", "next_sketch").alias("near_next"),
+        containment("sketch", "edited_sketch", F.col("text") == F.col("edited")).alias("near_edited"),
+        containment("sketch", "next_sketch", F.col("text") == F.col("next_text")).alias("near_next"),
     )
