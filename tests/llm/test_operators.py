@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import arrays, langid, line_dedup, near_dedup, packing, token_files, warc
+from threadloom.llm import arrays, edits, langid, line_dedup, near_dedup, packing, token_files, warc
 from threadloom.llm.decontaminate import drop_leaks, leaks
 from threadloom.llm.fingerprint import fingerprints
 from threadloom.llm.linking import components
@@ -127,7 +127,16 @@ def test_edit_distance():
     rng = random.Random(1)
     for _ in range(200):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
-        assert line_dedup.edit_distance(a, b) == distance(a, b)
+        assert edits.edit_distance(a, b) == distance(a, b)
+
+
+def test_bound_of_the_edit_distance():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = prose(rng.randrange(1, 9), rng)
+        b = rng.choice([edited(a, 2, rng), a + " " + prose(2, rng), " ".join(a.split()[1:]), prose(4, rng)])
+        assert edits.at_most(a, b) >= distance(a, b)
+        assert edits.similar(a, b, 80) == (100 * distance(a, b) <= 20 * max(len(a), len(b)))
 
 
 def test_lines_equal_brute_force(spark):
@@ -143,7 +152,7 @@ def test_lines_equal_brute_force(spark):
             if len(line.split()) >= 5:
                 first.setdefault(line, (i, no))
     names = list(first)
-    links = [(a, b) for a, b in combinations(range(len(names)), 2) if line_dedup.similar(names[a], names[b], 80)]
+    links = [(a, b) for a, b in combinations(range(len(names)), 2) if edits.similar(names[a], names[b], 80)]
     part = groups(links, range(len(names)))
     keep = {}
     for k, line in enumerate(names):
@@ -161,7 +170,7 @@ def test_edited_lines_are_linked_by_similarity_alone(spark):
     lines = [prose(n, rng) for n in (6, 8, 12, 16, 24, 40, 60, 100) for _ in range(5)]
     rows = [(k, x) for k, x in enumerate(lines)] + [(100 + k, edited(x, max(1, len(x.split()) // 12), rng)) for k, x in enumerate(lines)]
     texts = dict(rows)
-    found = {i for i in range(100, 100 + len(lines)) if line_dedup.similar(texts[i], texts[i - 100], 80)}
+    found = {i for i in range(100, 100 + len(lines)) if edits.similar(texts[i], texts[i - 100], 80)}
     assert len(found) >= 36
     expected = {i: "" if i in found else t for i, t in texts.items()}
     docs = frame(spark, rows)
@@ -390,3 +399,164 @@ def test_pipeline_stages_chain(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_signature_is_bounded_and_finds_items(spark):
+    from threadloom.llm import decontaminate as D
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    levels = sorted({D.level_of(n) for n in (11, 20, 40)})
+    made = D.signature(D._grams(docs, 5), levels).selectExpr("doc_id", "size(signature) as n", "size(filter(signature, x -> x.level = %d)) as low" % levels[0])
+    sizes = D._grams(docs, 5).selectExpr("doc_id", "size(grams) as all")
+    sums = made.join(sizes, "doc_id").selectExpr("sum(n) / sum(all) as share", "sum(low) / sum(all) as low").first()
+    assert 0.3 < sums["share"] < 0.75 and 0.1 < sums["low"] < 0.45
+    word = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    holders = {}
+    for i, t in docs.collect():
+        w = word(t)
+        for k in range(len(w) - 4):
+            holders.setdefault(tuple(w[k : k + 5]), set()).add(i)
+    want = set()
+    for item, t in bench.collect():
+        grams = {tuple(word(t)[k : k + 5]) for k in range(len(word(t)) - 4)}
+        hits = Counter(i for g in grams for i in holders.get(g, ()))
+        want |= {(i, item) for i, n in hits.items() if 100 * n >= 80 * len(grams)}
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 10
+
+
+def test_levels_hold_their_chance():
+    from threadloom.llm import decontaminate as D
+
+    for n in (1, 5, 11, 16, 40, 200):
+        level, common = D.level_of(n), -(-n * 80 // 100)
+        assert level == D.LEVELS[-1] or (1 - D.kept_share(level)) ** common <= D.MISS
+        assert level == D.LEVELS[0] or (1 - D.kept_share(level - 1)) ** common > D.MISS
+    assert D.level_of(11) > D.level_of(40)
+
+
+def _spark_shingles(text, n=5):
+    import xxhash
+
+    seed = lambda h: h % 2**64
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"\s+", (text or "").lower()) if w]
+    out = set()
+    for k in range(max(1, len(words) - n + 1)) if words else []:
+        h = 42
+        for w in words[k : k + n]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed(h))
+        out.add(h)
+    return out
+
+
+def _kept_hashes(hashes, scale):
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    return {h for h in hashes if signed(h) < -(2**63) + 2**64 // scale}
+
+
+def test_fingerprints_equal_brute_force(spark):
+    from threadloom.llm.fingerprint import SCALE, fingerprints
+
+    rows = sorted([(i, t) for i, t in dict(sample()).items() if i is not None and i not in (202, 206)], reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints(frame(spark, rows)).collect()}
+    show = lambda s: "".join(f"{h:016x}" for h in sorted(s, key=lambda h: h - 2**64 if h >= 2**63 else h))
+
+    def near(a, b, same):
+        return 1.0 if same else 0.0 if not a or not b else len(a & b) / min(len(a), len(b))
+
+    for (i, t), (j, u) in zip(rows, rows[1:] + rows[:1]):
+        t, u = t or "", u or ""
+        third = len(t) // 3
+        edit = t[: len(t) - third] + u[:third]
+        own, other, changed = (_kept_hashes(_spark_shingles(x), SCALE) for x in (t, u, edit))
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (show(own), show(changed))
+        assert r["near_edited"] == pytest.approx(near(own, changed, t == edit)) and r["near_next"] == pytest.approx(near(own, other, t == u))
+
+
+def test_merged_sketch_is_the_sketch_of_the_union(spark):
+    from threadloom.llm.fingerprint import SCALE, merged, with_sketch
+
+    rng = random.Random(6)
+    a, b = prose(400, rng), prose(3, rng)
+    rows = with_sketch(with_sketch(spark.createDataFrame([(a, b)], "a string, b string"), F.col("a"), "x"), F.col("b"), "y")
+    got = [h % 2**64 for h in rows.select(merged("x", "y").alias("m")).first()["m"]]
+    assert set(got) == _kept_hashes(_spark_shingles(a) | _spark_shingles(b), SCALE) and len(got) > 40
+
+
+def _tree_by_hand(urls, labels, levels=8, crowded=32):
+    """The template tree on Python lists: host and form of each url to its template."""
+    from threadloom.llm import url_filter as U
+
+    def apart(b, n, b2, n2):
+        if not n or not n2:
+            return False
+        p = (b + b2) / (n + n2)
+        return abs(b / n - b2 / n2) > U.MERGE_Z * max((p * (1 - p) * (1 / n + 1 / n2)) ** 0.5, 1e-12)
+
+    forms = {}
+    for k, u in enumerate(urls):
+        host, path = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u).groups()
+        form = re.sub(r"[0-9]+", "{n}", re.sub(r"(?i)\b(?=[a-f]*[0-9])[0-9a-f]{8,}\b", "{h}", path))
+        sums = forms.setdefault((host.lower(), form), [0, 0, 0])
+        sums[0] += 1
+        if k in labels:
+            sums[1] += 1
+            sums[2] += labels[k]
+    node = {f: "" for f in forms}
+    parts = {f: [s for s in f[1].split("/") if s] for f in forms}
+    for depth in range(min(levels, max(map(len, parts.values())))):
+        children = {}
+        for f, sums in forms.items():
+            if len(parts[f]) > depth:
+                kid = children.setdefault((f[0], node[f]), {}).setdefault(parts[f][depth], [0, 0, 0])
+                for x in range(3):
+                    kid[x] += sums[x]
+        branch = {}
+        for at, kids in children.items():
+            assert len(kids) <= crowded
+            groups = []
+            for name, (_, n, b) in sorted(kids.items(), key=lambda kv: (kv[1][2] / kv[1][1] if kv[1][1] else -1, kv[0])):
+                g = groups[-1] if groups else None
+                if g is None or (g[1] == 0 and n > 0) or apart(b, n, g[2], g[1]):
+                    groups.append([[name], n, b])
+                else:
+                    g[0].append(name)
+                    g[1] += n
+                    g[2] += b
+            for names, _, _ in groups:
+                text = f"({'|'.join(sorted(names))})" if len(names) > 1 else names[0]
+                branch |= {(*at, name): text for name in names}
+        for f in forms:
+            if len(parts[f]) > depth:
+                node[f] = f"{node[f]}/{branch[(f[0], node[f], parts[f][depth])]}"
+    return node
+
+
+def test_templates_equal_a_tree_by_hand(spark):
+    from threadloom.llm.url_filter import templates
+
+    rng, urls, labels = random.Random(12), [], {}
+    rates = {"spam": 0.9, "buy": 0.85, "news": 0.1, "blog": 0.15, "wiki": 0.0, "tag": 0.5}
+    for k in range(600):
+        top = rng.choice([*rates, "new"])
+        urls.append(f"http://{rng.choice('ab')}.info/{top}/{rng.choice(['x', 'y', str(rng.randrange(99)), 'deadbeef0123'])}" + rng.choice(["", "/z", ".html?q"]))
+        if top in rates and rng.random() < 0.8:
+            labels[k] = int(rng.random() < rates[top])
+    rows = [(*re.match(r"^.*?://([^/?#]*)([^?#]*)", u).groups(), labels.get(k)) for k, u in enumerate(urls)]
+    got = {(r["host"], r["form"]): r["template"] for r in templates(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
+    want = _tree_by_hand(urls, labels)
+    assert got == want and len(set(want.values())) >= 8
+    assert any(t.startswith("/new/") for t in want.values())
+
+
+def test_page_labels_come_from_the_documents_shown(spark):
+    from threadloom.llm.url_filter import page_labels
+
+    a, b, both = "one two three four five six", "seven eight nine ten eleven", "same line in two documents here"
+    docs = spark.createDataFrame([(1, f"{a}\n{both}"), (2, f"{b}\n{both}"), (3, "unlabelled words stand here alone"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (None, 1)], "doc_id long, toxic int")
+    html = [(10, f"<p>{a}</p><p>{both}</p>"), (11, f"<script>{a}</script><p class='x'><b>seven</b> eight\n nine ten eleven<br>"), (12, f"<p>{both}</p>"), (13, None), (14, "<p>unlabelled words stand here alone"), (15, f"<p>{a}</p><p>{b}</p>"), (None, f"<p>{a}</p>")]
+    got = page_labels(spark.createDataFrame(html, "page_id long, html string"), docs, labels).collect()
+    assert {r["page_id"]: r["bad"] for r in got} == {10: 1, 11: 0, 15: 1}

@@ -15,9 +15,9 @@ from threadloom.llm.near_dedup import near_duplicates
 from threadloom.llm.packing import pack
 from threadloom.llm.sharding import assign_shards
 from threadloom.llm.token_files import read_token_files, write_token_files
-from threadloom.llm.url_filter import judge
+from threadloom.llm.url_filter import judge, page_labels
 from threadloom.llm.warc import read_warc, write_warc
-from threadloom.llm.work import shared_dir, text_or_empty
+from threadloom.llm.work import save, shared_dir, text_or_empty
 
 #: Rules of the URL filter: a host, a slash and the start of the path.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -47,9 +47,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page counts as labelled by the label row of the same number; toxic is bad."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
-    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    """Pages are labelled by the documents that they show; toxic is bad."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = save(page_labels(pages.select("page_id", "html"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+    return judge(pages.select("page_id", "url"), labels, URL_RULES)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,13 @@ Paths are first generalised by form (runs of digits, long hexadecimal names). Th
 and per host, the rare children of a crowded tree node become one wildcard branch, except those whose
 labelled bad rate a two-proportion test tells apart from the rest of the node: these meet in grades
 of their rate. In order of rate, children and grades join the branch before them where the test
-can't tell them apart from that branch as a whole. A root-to-leaf template is rejected where its bad rate, smoothed towards the corpus rate, reaches a bound. Fixed
-host and path rules go before templates. DataFrame expressions only.
+can't tell them apart from that branch as a whole; children without labels are a branch of their
+own. A root-to-leaf template is rejected where its bad rate, smoothed towards the corpus rate,
+reaches a bound. Fixed host and path rules go before templates. DataFrame expressions only.
+
+Pages have no labels of their own. ``page_labels`` takes those of the documents whose lines a page
+shows: each paragraph that is the line of just one labelled document has that document's label,
+and a page is bad where at least half of such paragraphs are.
 
 Defined cases: a null url or one without ``://`` has empty host and path and its own template; a
 template without labels takes the corpus rate; segments below the deepest level of the tree form
@@ -88,7 +93,8 @@ def _level(tree: DataFrame, depth: int, last: bool) -> DataFrame:
     start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("bad"), F.array().cast("array<int>").alias("nos"))
 
     def step_on(at: Column, x: Column) -> Column:
-        cut = _apart(x["bad"], x["labelled"], at["bad"], at["labelled"])
+        first_labels = (at["labelled"] == 0) & (x["labelled"] > 0) & (F.size(at["nos"]) > 0)
+        cut = first_labels | _apart(x["bad"], x["labelled"], at["bad"], at["labelled"])
         no = at["no"] + cut.cast("int")
         held = {c: F.when(cut, x[c]).otherwise(at[c] + x[c]).cast("long") for c in ("labelled", "bad")}
         return F.struct(no.alias("no"), held["labelled"].alias("labelled"), held["bad"].alias("bad"), F.concat(at["nos"], F.array(no)).alias("nos"))
@@ -123,6 +129,29 @@ def templates(urls: DataFrame) -> DataFrame:
     return tree.select("host", "form", F.col("node").alias("template"), "n", "labelled", "bad")
 
 
+def page_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame, least_words: int = 5) -> DataFrame:
+    """``page_id, bad`` of the pages that show lines of labelled documents.
+
+    ``pages (page_id, html)``, ``docs (doc_id, text)``, ``labels (doc_id, toxic)``. Lines of fewer
+    words, lines of several labelled documents (boilerplate) and null labels count for nothing.
+    """
+
+    def hashed(lines: Column) -> Column:
+        clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+        return F.transform(F.filter(clean, lambda x: F.size(F.split(x, " ")) >= least_words), lambda x: F.xxhash64(x))
+
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("bad"))
+    lines = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "bad", F.explode(hashed(F.split("text", "\n"))).alias("h"))
+    single = lines.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.max("bad").alias("bad")).filter("d0 = d1")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>", ""), r"(?i)</?(p|br|li|h[1-6]|div|article)\b[^>]*>", "\n")
+    plain = F.regexp_replace(text, r"<[^>]*>", "")
+    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    shown = pages.filter("page_id is not null").select("page_id", F.explode(hashed(F.split(plain, "\n"))).alias("h"))
+    votes = shown.join(single, "h").groupBy("page_id").agg(F.avg("bad").alias("share"))
+    return votes.select("page_id", (F.col("share") >= 0.5).cast("int").alias("bad"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), reject: float = REJECT) -> DataFrame:
     """A verdict for every row of ``pages (page_id, url)``.
 
