@@ -8,10 +8,11 @@ their halves and thirds too. The SimHash of the whole line, the sum of its piece
 candidates by Hamming distance inside the join. Edit similarity of the normalised lines decides.
 Of every connected group one occurrence stays, the first by (doc_id, text hash, line number).
 
-Candidates of more than ``THIRDED`` words share at least one in ``SHARE`` of their blocks. Such
-lines therefore share one of their rarest blocks, so only those are joined on: a passage that many
-long lines quote doesn't bring all of these together. Which links the blocks lose is measured in
-the README. Texts are read once more, for lines that share a block.
+Candidates share several blocks: three where a line has up to ``BRIEF`` words (one word put in
+another's place leaves a half and two thirds as they are), two up to ``THIRDED`` words, else one in
+``SHARE`` of all. So each shares one of its rarest blocks, and only those are joined on: common
+phrases, or a passage that many long lines quote, don't bring all of these together. Which links
+the blocks lose is measured in the README. Texts are read once more, for lines that share a block.
 
 Defined cases: lines with fewer than ``min_words`` words always stay; so do line breaks of kept
 lines; null and empty texts come back as they are; a document may lose all lines and then is the
@@ -39,9 +40,9 @@ from threadloom.llm.work import save, scratch
 MIN_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Words up to which a line has blocks of its halves and thirds.
-HALVED, THIRDED = 12, 24
+BRIEF, HALVED, THIRDED = 8, 12, 24
 #: One of so many blocks at least is shared by candidates longer than that.
-SHARE = 6
+SHARE = 5
 #: Differing SimHash bits of candidates at most.
 MAX_BITS = 20
 #: Words of a piece at most, so that the votes on a bit fit in a byte.
@@ -231,7 +232,8 @@ def _members(occurrences: DataFrame) -> DataFrame:
     met = entries.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.collect_set(F.struct("c", "key")).alias("met"))
     lines = occurrences.filter(F.size("blocks") > 0).select("h", "words", F.size("blocks").alias("n_blocks"), F.struct("chars", "sig").alias("mark"))
     lines = save(met).join(lines, "h").dropDuplicates(["h"])
-    asked = F.when(F.col("words") > THIRDED, F.ceil(F.col("n_blocks") / SHARE)).otherwise(1)
+    asked = F.when(F.col("words") <= BRIEF, 3).when(F.col("words") <= THIRDED, 2).otherwise(F.ceil(F.col("n_blocks") / SHARE))
+    asked = F.least(asked, F.col("n_blocks"))
     # blocks of no other line are the rarest of all
     joined = F.greatest(F.size("met") - asked + 1, F.lit(0)).cast("int")
     rarest = F.slice(F.sort_array("met"), F.lit(1), joined)
