@@ -128,6 +128,7 @@ def test_tool_pairs_name_what_is_wrong(spark):
 @pytest.mark.parametrize("text", ["", "  ", "short", "para one.\n\n" * 300, "ü" * 5000, "word " * 2000])
 def test_chunks_cover_the_text_within_the_limit(text):
     made, data = T.split(text), text.strip().encode()
+    assert all(c[4] == (len(c[1].encode()) + 3) // 4 for c in made)
     assert [c[0] for c in made] == list(range(len(made)))
     assert all(c[3] - c[2] <= T.CHUNK_BYTES for c in made)
     if made:
@@ -135,6 +136,14 @@ def test_chunks_cover_the_text_within_the_limit(text):
         assert all(b[2] <= a[3] for a, b in zip(made, made[1:]))
 
 
+def test_chunks_end_at_the_strongest_mark():
+    ends = lambda text, most=40: T.split(text, most, 0)[0][1]
+    assert ends("a" * 25 + "\n\n" + "b. " * 20) == "a" * 25 and ends("a" * 25 + "\n" + "b. " * 20) == "a" * 25
+    assert ends("x" * 21 + ".\ty z " + "w" * 40) == "x" * 21 + "." and ends("x" * 21 + "! y z" + "w" * 40) == "x" * 21 + "!"
+    assert ends("x" * 21 + "\ty" + "w" * 40) == "x" * 21 and ends("w" * 90) == "w" * 40
+    assert [c[2] for c in T.split("w" * 100, 40, 10)] == [0, 30, 60] and len(T.split("w" * 100, 40, 50)) == 4
+
+
 def test_token_ring_forgets_an_old_outlier(spark):
     rows = [("m", k, 100, 290 if k == 0 else 100, 100) for k in range(40)] + [("m", 40, 100, 900, 100), ("m", 41, 10, 20, 100)]
     out = telemetry.token_scale(spark.createDataFrame(rows, "model string, seq int, predicted int, observed int, budget int")).orderBy("seq").collect()
@@ -148,12 +157,213 @@ def test_upserts_and_merges(spark):
     assert sorted(map(tuple, tables.insert_missing(base, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
-def test_text_helpers(spark):
-    df = spark.createDataFrame([("x" * 60, "2h30m", "../a/b", "---\nname: n\nk: a: b\n---\nbody"), ("word " * 20, "90s", "CON", "none")], "n string, d string, f string, m string")
-    rows = df.select(T.short_name(F.col("n")).alias("n"), T.duration_seconds(F.col("d")).alias("d"), T.safe_file_name(F.col("f")).alias("f"), T.front_matter(F.col("m")).alias("m")).collect()
-    assert rows[0]["n"] == "x" * 60 and rows[1]["n"].endswith("...") and len(rows[1]["n"]) <= 60
-    assert (rows[0]["d"], rows[1]["d"]) == (9000.0, 90.0)
-    assert (rows[0]["f"], rows[1]["f"]) == ("ab", "file") and rows[0]["m"] == {"name": "n", "k": "a: b"}
+def _one(spark, value, function):
+    return spark.createDataFrame([(value,)], "v string").select(function(F.col("v")).alias("r")).first()["r"]
+
+
+def test_front_matter(spark):
+    assert _one(spark, "---\nname: n\nk: a: b\n---\nbody", T.front_matter) == {"name": "n", "k": "a: b"} and _one(spark, "none", T.front_matter) == {}
+
+
+@pytest.mark.parametrize(("name", "short"), [("x" * 60, "x" * 60), ("x" * 61, "x" * 57 + "..."), ("a" * 57 + " " + "b" * 9, "a" * 57 + "..."), ("a" * 30 + " " + "b" * 40, "a" * 30 + "..."), ("a" * 29 + " " + "b" * 40, "a" * 29 + " " + "b" * 27 + "..."), ("a" * 40 + " b " + "c" * 40, "a" * 40 + " b..."), ("é" * 30, "é" * 30), ("é" * 20 + " " + "é" * 20, "é" * 20 + "..."), ("", "")])
+def test_short_names_end_at_a_late_space(spark, name, short):
+    assert _one(spark, name, T.short_name) == short
+
+
+@pytest.mark.parametrize(("name", "safe"), [("../a/b", "b"), ("folder/file.pdf", "file.pdf"), ("..\\..\\win.ini", "win.ini"), (" x.txt ", "x.txt"), ("CON", "_CON"), ("nul.txt", "_nul.txt"), ("com5.a.b", "_com5.a.b"), ("console", "console"), ("...", ""), ("..", ""), ("", ""), ("a/", "a"), ("/", ""), ("a\0b", "ab"), ("x" * 300 + ".pdf", "x" * 251 + ".pdf"), ("y" * 300, "y" * 255)])
+def test_safe_file_names(spark, name, safe):
+    assert _one(spark, name, T.safe_file_name) == safe
+
+
+@pytest.mark.parametrize(("text", "seconds"), [("2h30m", 9000.0), ("90s", 90.0), ("1.5h", 5400.0), ("-5m", -300.0), ("0", 0.0), ("500ms", 0.5), ("1h1m1s", 3661.0), (".5s", 0.5), ("", None), ("5", None), ("x", None), ("3 h", None)])
+def test_durations(spark, text, seconds):
+    assert _one(spark, text, T.duration_seconds) == seconds
+
+
+def test_runs_resume_only_with_time_left(spark):
+    rows = [("a", "running", "autonomous", "1h", 600.0), ("b", "running", "autonomous", "1h", None), ("c", "running", "autonomous", "", 1.0), ("d", "running", "autonomous", "x", 1.0), ("e", "running", "autonomous", "-1h", 1.0), ("f", "running", "autonomous", "1m", 61.0), ("g", "running", "autonomous", "6m", 300.0), ("h", "paused", "autonomous", "1h", 1.0), ("i", "running", "chat", "1h", 1.0), ("j", "idle", "chat", "1h", 1.0)]
+    out = telemetry.reconcile(spark.createDataFrame(rows, "thread_id string, status string, mode string, duration_limit string, elapsed_seconds double")).collect()
+    assert {r["thread_id"]: r["reason"] or r["left_seconds"] for r in out} == {"a": 3000.0, "b": "no started_at", "c": "no duration_limit", "d": "unparseable duration_limit=x", "e": "non-positive duration_limit=-1h", "f": "budget expired", "g": 300.0, "h": "paused", "i": "non-autonomous"}
+
+
+def test_ring_admits_positive_values_only_and_crosses_blocks(spark):
+    schema = "model string, seq int, predicted int, observed int, budget int"
+    bad = [("m", 90, 0, 5, 9), ("m", 91, 5, 0, 9), ("m", 92, 5, 5, 0), ("m", 93, 5, 5, -1), ("m", 94, 1, 1, 100)]
+    assert telemetry.token_scale(spark.createDataFrame(bad, schema)).count() == 0
+    rng = np.random.default_rng(2)
+    rows = [("m" if k % 3 else "n", k, 100, int(x), 100) for k, x in enumerate(rng.integers(50, 300, 500))]
+    out = telemetry.token_scale(spark.createDataFrame(rows, schema), ranges=5, block=40).collect()
+    for model in "mn":
+        own = [r[3] / 100 for r in rows if r[0] == model]
+        got = [r["scale"] for r in sorted(out, key=lambda r: r["seq"]) if r["model"] == model]
+        assert got == [max(own[max(0, k - 31) : k + 1]) for k in range(len(own))]
+
+
+def test_percentiles_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.exponential(50, 700).round(1).tolist(), "b": [7.0] * 90, "c": [1.0]}
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    out = {r["stage"]: r for r in telemetry.stage_percentiles(spark.createDataFrame(rows, "stage string, ms double"), ranges=8).collect()}
+    for k, vs in values.items():
+        vs = sorted(vs)
+        assert [out[k][f"p{p}"] for p in (50, 90, 99)] == [vs[int((len(vs) - 1) * p / 100)] for p in (50, 90, 99)]
+        assert (out[k]["n"], out[k]["max_ms"]) == (len(vs), vs[-1])
+
+
+def test_first_hits_count_what_is_before(spark):
+    rows = spark.createDataFrame([(1, k, s) for k, s in enumerate([0.5, 0.9, 0.7, 0.7, 0.1])] + [(2, 0, 0.3)], "query_id long, vec_id long, score double")
+    hits = rows.filter("query_id = 1 and vec_id in (3, 4)")
+    assert {r["query_id"]: r["rank"] for r in telemetry.first_hits(hits, rows).collect()} == {1: 3, 2: None}
+
+
+BLOCKS = "message_id string, thread_id string, kind string, call_id string"
+
+
+def _groups(spark, blocks, *roots):
+    out = threads.closed_groups(spark.createDataFrame([(1, r, 0.9) for r in roots], "event_id long, root_id string, score double"), spark.createDataFrame(blocks, BLOCKS))
+    return {r["root_id"]: (r["members"], r["problem"]) for r in out.collect()}
+
+
+def test_groups_close_over_calls_and_results(spark):
+    blocks = [("call", "t", "tool_call", "a"), ("res", "t", "tool_result", "a"), ("res", "t", "tool_call", "b"), ("res2", "t", "tool_result", "b"), ("far", "u", "tool_result", "c"), ("lone", "t", "tool_call", "c"), ("two", "t", "tool_call", "d"), ("r1", "t", "tool_result", "d"), ("r2", "t", "tool_result", "d"), ("plain", "t", "text", None)]
+    got = _groups(spark, blocks, "call", "res2", "lone", "two", "plain")
+    assert got["call"] == got["res2"] == (["call", "res", "res2"], None) and got["plain"] == (["plain"], None)
+    assert got["lone"][1] == "missing" and got["two"][1] == "ambiguous"
+
+
+def _assembled(spark, selected, local, messages, blocks=(), budget=0, fixed=0, **more):
+    frame = spark.createDataFrame
+    out, report = assemble.assemble(frame(selected, "event_id long, id string, score double"), frame(local, "event_id long, id string"), frame(messages, "id string, thread_id string, position int, tokens int"), frame(list(blocks), BLOCKS), frame([(1, budget, fixed)], "event_id long, budget long, fixed long"), **more)
+    return [(r["id"], r["source"]) for r in out.orderBy("wire_no").collect()], report.first()
+
+
+def test_assembly_sheds_the_giant_before_the_small(spark):
+    messages = [("big", "t", 0, 200), ("small", "t", 1, 50), ("now", "t", 9, 5)]
+    selected = [(1, "big", 0.9), (1, "small", 0.9)]
+    wire, report = _assembled(spark, selected, [(1, "now")], messages, budget=60)
+    assert wire == [("small", "selected"), ("now", "local")] and report["price"] > 0 and (report["n_shed"], report["tokens"], report["outcome"]) == (1, 55, "ok")
+    wire, report = _assembled(spark, selected, [(1, "now")], messages)
+    assert [i for i, _ in wire] == ["big", "small", "now"] and report["price"] == 0
+    wire, report = _assembled(spark, selected, [(1, "now")], messages, excluded=spark.createDataFrame([(1, "small")], "event_id long, id string"))
+    assert [i for i, _ in wire] == ["big", "now"]
+    wire, report = _assembled(spark, selected, [(1, "now")], messages, budget=4)
+    assert wire == [] and report["outcome"] == "local too large"
+
+
+def test_assembly_counts_shared_members_once_and_keeps_pairs_together(spark):
+    messages = [("call", "t", 0, 30), ("res", "t", 1, 30), ("other", "t", 2, 30), ("now", "t", 9, 5)]
+    blocks = [("call", "t", "tool_call", "a"), ("res", "t", "tool_result", "a")]
+    selected = [(1, "call", 0.8), (1, "res", 0.9), (1, "other", 0.6), (1, "now", 0.9)]
+    wire, report = _assembled(spark, selected, [(1, "now")], messages, blocks, budget=70)
+    assert [i for i, _ in wire] == ["call", "res", "now"] and (report["n_selected"], report["n_closure"], report["tokens"]) == (1, 1, 65)
+    wire, report = _assembled(spark, selected, [(1, "now")], messages, [("call", "t", "tool_call", "a")])
+    assert wire == [] and report["outcome"] == "missing"
+
+
+def test_canonical_chat(spark):
+    rows = [(1, 0, 0, "user", "text", "hi", None), (1, 1, 0, "assistant", "thinking", "hm", None), (1, 2, 0, "assistant", "tool_call", None, "a"), (1, 3, 0, "assistant", "tool_call", None, "lost"), (1, 4, 0, "assistant", "tool_call", None, "b"), (1, 5, 0, "user", "tool_result", "rb", "b"), (1, 6, 0, "user", "tool_result", "ra", "a"), (1, 7, 0, "user", "tool_result", "orphan", "z"), (1, 8, 0, "assistant", "thinking", "so", None), (1, 8, 1, "assistant", "text", "done", None), (1, 9, 0, "assistant", "thinking", "left over", None)]
+    out = assemble.canonical(spark.createDataFrame(rows, "event_id long, wire_no int, block_no int, role string, kind string, text string, call_id string")).orderBy("message_no").collect()
+    assert [(r["role"], r["text"], r["thinking"], list(r["call_ids"]), r["call_id"]) for r in out] == [("user", "hi", "", [], None), ("assistant", "", "hm", ["a", "b"], None), ("tool", "rb", "", [], "b"), ("tool", "ra", "", [], "a"), ("assistant", "done", "so", [], None)]
+
+
+def test_pins_need_meaning_and_the_current_turn(spark):
+    rows = [(1, 0, "user", True, False), (1, 1, "assistant", True, False), (1, 2, "user", True, True), (1, 3, "assistant", False, True), (1, 4, "tool", False, True)]
+    out = assemble.pins(spark.createDataFrame(rows, "event_id long, position int, role string, meaningful boolean, turn_current boolean"))
+    assert {r["position"] for r in out.filter("pinned").collect()} == {1, 2}
+
+
+def test_reduction_and_scope(spark):
+    links = spark.createDataFrame([(1, "c", "b"), (1, "b", "a"), (1, "c", "a"), (2, "c", "a")], "event_id long, id string, needs string")
+    assert {tuple(r) for r in graph.reduced(links).collect()} == {(1, "c", "b"), (1, "b", "a"), (2, "c", "a")}
+    schema = "from_id string, to_id string, score double, cross_encoder_score double, source int, from_thread string, to_thread string"
+    edges = spark.createDataFrame([("m0", "m2", 0.9, 0.9, 1, "t1", "t1"), ("m1", "m2", 0.9, 0.9, 1, "t2", "t1"), ("m3", "m0", 0.5, 0.5, 1, "t1", "t1")], schema)
+    scopes = spark.createDataFrame([(1, "t1")], "event_id long, scope_thread string")
+    anchor = _anchor(spark, "m2")
+    walked = graph.walk(edges, anchor, 0.5, scopes=scopes)
+    assert {r["id"] for r in walked.filter("score >= 0.5").collect()} == {"m0"}
+    assert {(r["id"], r["reason"]) for r in graph.exclusions(edges, anchor, walked, 0.5, scopes).collect()} == {("m3", "below threshold"), ("m1", "unspecified")}
+    everywhere = scopes.withColumn("scope_thread", F.lit(None).cast("string"))
+    assert {r["id"] for r in graph.traverse(edges, anchor, 0.5, scopes=everywhere).collect()} == {"m0", "m1"}
+    assert {r["id"] for r in graph.reach(edges, anchor, scopes=scopes).collect()} == {"m0", "m3"}
+
+
+def test_a_cycle_is_an_error_and_reach_says_what_it_left_out(spark):
+    with pytest.raises(ValueError):
+        _mass(spark, [("a", "x", 0.9), ("b", "a", 0.9), ("a", "b", 0.9)], "x")
+    rows = [(f"w{k}", "x", 0.5) for k in range(5)]
+    out = graph.reach(_edges(spark, rows), _anchor(spark, "x"), cap=3).collect()
+    assert {r["id"] for r in out} == {"w0", "w1", "w2"} and all(r["truncated"] for r in out)
+
+
+def _selection(spark, vectors, query, provenance=(), price=0.0, scope=None, references=64):
+    """Messages with one chunk each; event 1 asks from ``now``."""
+    from threadloom.operators import selection
+
+    frame = spark.createDataFrame
+    table = frame([(k, k + 1, i, 0, t, 10, v) for k, (i, t, v) in enumerate(vectors)], "vec_id long, row_no long, message_id string, chunk_index int, thread_id string, tokens int, vector array<float>")
+    edges = frame(list(provenance), "from_id string, to_id string, score double, from_thread string, to_thread string")
+    scopes = frame([(1, scope)], "event_id long, scope_thread string") if scope else None
+    return selection.select_prerequisites(frame([(1, 0, query)], "event_id long, chunk_no int, query_vector array<float>"), frame([(1, "now")], "event_id long, message_id string"), frame([(1, "now", 7)], "event_id long, anchor_id string, seed long"), table, edges, frame([(1, price)], "event_id long, price double"), scopes, k=2, references=references)
+
+
+def _noise(n):
+    rng = np.random.default_rng(4)
+    return [(f"n{k}", "t", [0.2, *rng.normal(size=3).tolist()]) for k in range(n)]
+
+
+def test_a_planted_prerequisite_beats_the_noise_floor(spark):
+    vectors = [("now", "t", [1.0, 0, 0, 0]), ("hit", "t", [1.0, 0.05, 0, 0]), ("off", "t", [0.0, 1.0, 0, 0])] + _noise(40)
+    edges, report = _selection(spark, vectors, [1.0, 0, 0, 0])
+    assert [r["from_id"] for r in edges.collect() if r["score"] > 0.9] == ["hit"] and report.first()["outcome"] == "gated"
+    edges, _ = _selection(spark, vectors, [1.0, 0, 0, 0], price=9.0)
+    assert edges.count() == 0
+
+
+def test_mass_rescues_an_ancestor_and_small_corpora_are_ungated(spark):
+    vectors = [("now", "t", [1.0, 0, 0, 0]), ("hit", "t", [1.0, 0.05, 0, 0]), ("root", "t", [-1.0, 0.1, 0, 0])] + _noise(40)
+    chain = [("root", "now", 0.9, "t", "t"), ("x1", "now", 0.2, "t", "t"), ("x2", "now", 0.1, "t", "t"), ("x3", "now", 0.1, "t", "t")]
+    edges, report = _selection(spark, vectors, [1.0, 0, 0, 0], chain)
+    assert {"hit", "root"} <= {r["from_id"] for r in edges.collect()} and report.first()["n_reached"] == 4
+    edges, report = _selection(spark, vectors[:4], [1.0, 0, 0, 0])
+    assert report.first()["outcome"] == "ungated" and edges.count() >= 2
+    edges, report = _selection(spark, [("now", "t", [1.0, 0, 0, 0]), ("a", "t", [1.0, 0, 0, 0]), ("b", "t", [1.0, 0, 0, 0])], [1.0, 0, 0, 0])
+    assert report.first()["outcome"] == "flat batch" and edges.count() == 0
+
+
+def test_scope_keeps_other_threads_out(spark):
+    vectors = [("now", "t", [1.0, 0, 0, 0]), ("hit", "u", [1.0, 0.05, 0, 0]), ("own", "t", [0.8, 0.3, 0, 0])] + _noise(40)
+    edges, _ = _selection(spark, vectors, [1.0, 0, 0, 0], scope="t")
+    assert "hit" not in {r["from_id"] for r in edges.collect()} and "own" in {r["from_id"] for r in edges.collect()}
+
+
+def test_prices_carry_over(spark):
+    from threadloom.operators import selection
+
+    old = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "thread_id string, price double")
+    new = spark.createDataFrame([("b", 0.0), ("c", 0.3)], "thread_id string, price double")
+    assert {r["thread_id"]: r["price"] for r in selection.next_prices(old, new).collect()} == {"a": 0.1, "b": 0.0, "c": 0.3}
+    cache = spark.createDataFrame([("f", 0, "m", 0, 0.7)], "fingerprint string, chunk_no int, message_id string, chunk_index int, score double")
+    pairs = spark.createDataFrame([("f", 0, "m", 0), ("f", 1, "m", 0)], "fingerprint string, chunk_no int, message_id string, chunk_index int")
+    hit, miss = selection.uncached(pairs, cache)
+    assert (hit.first()["score"], miss.first()["chunk_no"]) == (0.7, 1)
+
+
+@pytest.mark.parametrize("n", [120, 700])
+def test_shortlists_keep_their_recall_as_tables_grow(spark, n):
+    from threadloom.operators import retrieval
+
+    rng = np.random.default_rng(n)
+    rows = [(k, k // 5, k % 5, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for k, v in enumerate(rng.normal(size=(n, 64)))]
+    table = spark.createDataFrame(rows, "vec_id long, message_id long, chunk_index long, vector array<float>")
+    queries = table.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "vector as query_vector")
+    found = retrieval.best(retrieval.two_stage(queries, table, 10), ["query_id"], [F.desc("score"), F.col("vec_id")], 10, "k")
+    share = retrieval.recall(retrieval.nearest(queries, table, 10), found, 10).agg(F.avg("recall")).first()[0]
+    assert share >= 0.9
+    before, retrieval.BLOCK = retrieval.BLOCK, 3
+    try:
+        assert retrieval.nearest(queries, table, 10).count() == 10 * queries.count()
+    finally:
+        retrieval.BLOCK = before
 
 
 def _conversation(spark, folder, n):

@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2000
 OVERLAP_BYTES = 200
-_SENTENCE_ENDS = (". ", "! ", "? ", ".\n", "!\n", "?\n")
+_SENTENCE_ENDS = (". ", "! ", "? ", ".\t", "!\t", "?\t")
+#: The characters that count as white space at the ends of a text.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Device names that no file may have.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{port}{n}" for port in ("COM", "LPT") for n in range(1, 10)))
+#: Seconds in each unit of a duration.
+UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+_PART = r"([0-9]+\.?[0-9]*|\.[0-9]+)(ns|us|µs|μs|ms|s|m|h)"
 
 
 def serialised(role: Column, text: Column) -> Column:
@@ -24,29 +31,34 @@ def token_estimate(text: Column) -> Column:
     return F.floor((F.octet_length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("long")
 
 
-def block_text(content: Column, kinds: tuple[str, ...] = ("text",), gap: str = "\n\n") -> Column:
-    """Texts of the content blocks of some kinds, joined."""
-    picked = F.filter(content, lambda b: b["kind"].isin(*kinds) & (F.coalesce(b["text"], F.lit("")) != ""))
-    return F.array_join(F.transform(picked, lambda b: b["text"]), gap)
-
-
-def has_meaning(content: Column) -> Column:
-    return F.exists(content, lambda b: b["kind"].isin("text", "thinking") & (F.coalesce(b["text"], F.lit("")) != ""))
+def _bytes(text: Column, first: Column | int, n: Column | int) -> Column:
+    """``n`` bytes of the text from byte ``first`` (from 1); a torn character keeps its bytes."""
+    as_column = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.substring(F.encode(text, "utf-8"), as_column(first), as_column(n)).cast("string")
 
 
 def short_name(text: Column, most: int = 60, least: int = 30) -> Column:
-    """ASCII names: up to ``most`` as they are, else cut at a late space and given dots."""
-    head = F.substring(text, 1, most - 3)
-    at = F.length(head) - F.instr(F.reverse(head), " ")
-    cut = F.when((F.instr(head, " ") > 0) & (at > least), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cut, F.lit("...")))
+    """Names of up to ``most`` bytes as they are; others end with dots, at the last space among
+    the bytes ``least`` to ``most - 3`` or else after ``most - 3`` bytes."""
+    late = _bytes(text, least + 1, most - 2 - least)
+    rest = F.octet_length(F.substring_index(late, " ", -1))
+    at = F.when(F.instr(late, " ") > 0, least + F.octet_length(late) - rest - 1).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(_bytes(text, 1, at.cast("int")), F.lit("...")))
+
 
+def safe_file_name(name: Column, most: int = 255) -> Column:
+    """The last path component without separators, NULs, white space around it or leading dots.
 
-def safe_file_name(name: Column) -> Column:
-    """No separators, NULs or leading dots; reserved and empty names become ``file``; 255 at most."""
-    clean = F.regexp_replace(F.regexp_replace(name, r"[/\\\x00]", ""), r"^\.+", "")
-    reserved = F.lower(clean).rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$")
-    return F.when(reserved | (clean == ""), F.lit("file")).otherwise(F.substring(clean, 1, 255))
+    Reserved device names get an underscore before them; names of more than ``most`` bytes lose
+    their middle, so that the extension stays. A name of which nothing is left is empty.
+    """
+    last = F.substring_index(F.regexp_replace(name, "/+$", ""), "/", -1)
+    clean = F.regexp_replace(last, r"[/\\\x00]", "")
+    clean = F.regexp_replace(F.btrim(clean, F.lit(WHITE)), r"^\.+", "")
+    named = F.when(F.upper(F.substring_index(clean, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+    ext = F.regexp_extract(named, r"(\.[^.]*)$", 1)
+    keep = F.greatest(most - F.octet_length(ext), F.lit(1))
+    return F.when(F.octet_length(named) > most, F.concat(_bytes(named, 1, keep), ext)).otherwise(named)
 
 
 def front_matter(text: Column) -> Column:
@@ -59,35 +71,40 @@ def front_matter(text: Column) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """``2h30m``, ``90s`` or ``1.5h`` in seconds."""
-    part = lambda unit: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, rf"([0-9]+(?:\.[0-9]+)?){unit}(?![a-z])", 1), F.lit("")), F.lit("99999999.999999")).cast("double"), F.lit(0.0))
-    return part("h") * 3600 + part("m") * 60 + part("s")
+    """``2h30m``, ``90s``, ``1.5h``, ``-5m`` or ``0`` in seconds; null where it is no duration."""
+    good = text.rlike(rf"^[+-]?(0|({_PART})+)$")
+    units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    number = lambda x: F.regexp_extract(x, r"^[0-9.]+", 0).cast("double")
+    parts = F.transform(F.regexp_extract_all(text, F.lit(_PART), F.lit(0)), lambda x: number(x) * F.element_at(units, F.regexp_extract(x, r"[^0-9.]+$", 0)))
+    total = F.aggregate(parts, F.lit(0.0), lambda n, x: n + x)
+    return F.when(good, F.when(text.startswith("-"), -total).otherwise(total))
 
 
 def _boundary(data: bytes, start: int, end: int, window: int) -> int:
     """Where a piece that must end by ``end`` should: paragraph, line, sentence, space, then a whole character."""
-    low = max(start + 1, end - window)
+    low = max(start, end - window)
     part = data[low:end]
-    for marks in (("\n\n",), ("\n",), _SENTENCE_ENDS, (" ",)):
-        for mark in marks:
-            raw = mark.encode()
-            if (at := part.rfind(raw)) >= 0:
-                return low + at + len(raw)
+    for marks in (("\n\n",), ("\n",), *((m,) for m in _SENTENCE_ENDS), (" ", "\t")):
+        ends = [at + len(m) for m in marks if (at := part.rfind(m.encode())) >= 0]
+        if ends:
+            return low + max(ends)
     while end > start + 1 and data[end] & 0xC0 == 0x80:
         end -= 1
     return end
 
 
-def split(text: str, most: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> list[tuple[int, str, int, int]]:
-    """``(index, text, byte_start, byte_end)`` pieces of the trimmed text; no character is torn."""
-    data = text.strip().encode()
+def split(text: str, most: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> list[tuple[int, str, int, int, int]]:
+    """``(index, text, byte_start, byte_end, token_estimate)`` pieces of the trimmed text; no character is torn."""
+    data = text.strip(WHITE).encode()
+    most = most if most > 0 else CHUNK_BYTES
+    overlap = max(overlap, 0)
     overlap = overlap if overlap < most else most // 4
     out, start = [], 0
     while start < len(data):
         end = len(data) if len(data) - start <= most else _boundary(data, start, start + most, most // 2)
-        piece = data[start:end].decode(errors="ignore").strip()
+        piece = data[start:end].decode(errors="ignore").strip(WHITE)
         if piece:
-            out.append((len(out), piece, start, end))
+            out.append((len(out), piece, start, end, (len(piece.encode()) + 3) // 4))
         if end >= len(data):
             break
         back = max(end - overlap, start + 1)
@@ -98,7 +115,7 @@ def split(text: str, most: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> l
 
 
 def chunks(messages: DataFrame, key: str = "id", most: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
-    """A row per chunk of every text: ``key, chunk_index, text, byte_start, byte_end``."""
+    """A row per chunk of every text: ``key, chunk_index, text, byte_start, byte_end, tokens``."""
     rows = messages.select(F.col(key).cast("string").alias(key), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +123,11 @@ def chunks(messages: DataFrame, key: str = "id", most: int = CHUNK_BYTES, overla
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 made = [(k, *c) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for c in split(t or "", most, overlap)]
-                cols = list(zip(*made)) or [()] * 5
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], [key, "chunk_index", "text", "byte_start", "byte_end"])
+                cols = list(zip(*made)) or [()] * 6
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], [key, "chunk_index", "text", "byte_start", "byte_end", "tokens"])
 
-    return rows.mapInArrow(run, f"{key} string, chunk_index int, text string, byte_start int, byte_end int")
+    return rows.mapInArrow(run, f"{key} string, chunk_index int, text string, byte_start int, byte_end int, tokens int")
 
 
 OVERFLOW = re.compile(r"context.{0,20}(length|window)|too many tokens|prompt is too long", re.I)

@@ -40,11 +40,14 @@ def norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def cosine_of(a, b, norms: Column) -> Column:
+    """Cosine from the product of both norms; 0 where the sizes differ or a vector is zero."""
+    usable = (F.size(_col(a)) == F.size(_col(b))) & (norms > 0)
+    return F.when(usable, dot(a, b) / norms).otherwise(F.lit(0.0))
+
+
 def cosine(a, b) -> Column:
-    """0 where the sizes differ or a vector is zero."""
-    size = norm(a) * norm(b)
-    usable = (F.size(_col(a)) == F.size(_col(b))) & (size > 0)
-    return F.when(usable, dot(a, b) / size).otherwise(F.lit(0.0))
+    return cosine_of(a, b, norm(a) * norm(b))
 
 
 def int8_scale(v) -> Column:

@@ -6,11 +6,16 @@ are the selected messages, which the graph walk's cap bounds. The rest are windo
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators import threads
+from threadloom.sources.scratch import save, scratch
+
 
 def _similarity(a: np.ndarray | None, b: np.ndarray | None) -> float:
     if a is None or b is None or len(a) != len(b):
@@ -56,26 +61,34 @@ def merge_groups(groups: DataFrame) -> DataFrame:
 
 def shed(rows: pd.DataFrame, stance: float) -> pd.DataFrame:
     """Drop the least dense groups of one event until those left fit; members count once."""
-    budget = int(rows["budget"].iloc[0])
+    budget, fixed = int(rows["budget"].iloc[0]), int(rows["fixed"].iloc[0])
     alive, price = set(range(len(rows))), 0.0
     bits = [0.0 if s <= 0 else np.inf if s >= 1 else -np.log2(1 - s) for s in rows["score"]]
     density = [(b - stance) / max(int(sum(c)), 1) for b, c in zip(bits, rows["costs"])]
 
     def total() -> int:
         cost = {m: c for k in alive for m, c in zip(rows["members"].iloc[k], rows["costs"].iloc[k])}
-        return int(sum(cost.values()))
+        return fixed + int(sum(cost.values()))
 
     while budget > 0 and alive and total() > budget:
-        worst = min(alive, key=lambda k: (density[k], rows["group_id"].iloc[k]))
+        worst = min(alive, key=lambda k: (density[k], rows["position"].iloc[k], rows["group_id"].iloc[k]))
         alive.remove(worst)
         price = max(price, density[worst])
-    return pd.DataFrame({"event_id": rows["event_id"], "group_id": rows["group_id"], "kept": [k in alive for k in range(len(rows))], "price": price})
+    over = budget > 0 and total() > budget
+    return pd.DataFrame({"event_id": rows["event_id"], "group_id": rows["group_id"], "kept": [k in alive for k in range(len(rows))], "price": price, "tokens": total(), "too_large": over})
 
 
 def density_shed(groups: DataFrame, stance: float = 1.0) -> DataFrame:
-    """``groups (event_id, group_id, score, members, costs, budget)`` with ``kept`` and the event's price."""
-    rows = groups.select(F.col("event_id").cast("long"), F.col("group_id").cast("string"), F.col("score").cast("double"), "members", "costs", F.col("budget").cast("long"))
-    return rows.groupBy("event_id").applyInPandas(lambda p: shed(p, stance), "event_id long, group_id string, kept boolean, price double")
+    """``groups (event_id, group_id, score, members, costs, budget)`` with ``kept`` and the event's price.
+
+    Optional columns: ``fixed``, tokens that are sent in any case (system text, local messages,
+    tools), and ``position``, by which ties are broken. ``tokens`` is what is left to send;
+    ``too_large`` says that even the fixed part exceeds the budget.
+    """
+    for name in ("fixed", "position"):
+        groups = groups if name in groups.columns else groups.withColumn(name, F.lit(0))
+    rows = groups.select(F.col("event_id").cast("long"), F.col("group_id").cast("string"), F.col("score").cast("double"), "members", "costs", F.col("budget").cast("long"), F.col("fixed").cast("long"), F.col("position").cast("long"))
+    return rows.groupBy("event_id").applyInPandas(lambda p: shed(p, stance), "event_id long, group_id string, kept boolean, price double, tokens long, too_large boolean")
 
 
 def trim_oldest(window: DataFrame) -> DataFrame:
@@ -91,18 +104,163 @@ def trim_oldest(window: DataFrame) -> DataFrame:
 
 
 def pins(window: DataFrame) -> DataFrame:
-    """The anchor (last row) and the last user and assistant rows are pinned."""
+    """The anchor and the last user and assistant rows that say something are pinned.
+
+    ``window (event_id, position, role, ...)``, with ``meaningful`` and ``turn_current`` where rows
+    may say nothing or belong to earlier turns; the anchor is the last meaningful row of the
+    current turn.
+    """
+    says = F.coalesce("meaningful", F.lit(False)) if "meaningful" in window.columns else F.lit(True)
+    now = F.coalesce("turn_current", F.lit(False)) if "turn_current" in window.columns else F.lit(True)
     event = Window.partitionBy("event_id")
-    last = F.max("position").over(event)
-    of_role = F.max("position").over(Window.partitionBy("event_id", "role"))
+    anchor = F.max(F.when(says & now, F.col("position"))).over(event)
+    of_role = F.max(F.when(says, F.col("position"))).over(Window.partitionBy("event_id", "role"))
     own = F.col("role").isin("user", "assistant") & (F.col("position") == of_role)
-    return window.withColumn("pinned", (F.col("position") == last) | own)
+    return window.withColumn("pinned", F.coalesce(F.col("position") == anchor, F.lit(False)) | F.coalesce(own, F.lit(False)))
 
 
-def wire(selected: DataFrame, local: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
-    """What is sent: selected and local messages once each, in chronological order."""
-    rows = selected.unionByName(local).dropDuplicates(["event_id", "id"])
+def in_one_thread(rows: DataFrame, *, delivered: DataFrame | None = None) -> DataFrame:
+    """Messages once an event, less what was ``delivered (event_id, id)``, numbered by thread, position and id."""
+    rows = rows.dropDuplicates(["event_id", "id"])
     if delivered is not None:
         rows = rows.join(delivered.select("event_id", "id"), ["event_id", "id"], "left_anti")
     order = Window.partitionBy("event_id").orderBy("thread_id", "position", "id")
     return rows.withColumn("wire_no", F.row_number().over(order))
+
+
+def wire(selected: DataFrame, local: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """What is sent: selected and local messages once each, in chronological order."""
+    return in_one_thread(selected.unionByName(local), delivered=delivered)
+
+
+def overlapping(groups: DataFrame, local: DataFrame) -> DataFrame:
+    """Delivery groups without those that share a member with the event's ``local (event_id, id)``."""
+    own = local.groupBy("event_id").agg(F.collect_set("id").alias("_own"))
+    rows = groups.join(own, "event_id", "left")
+    return rows.filter(F.col("_own").isNull() | ~F.arrays_overlap("members", "_own")).drop("_own")
+
+
+def closure_count(groups: DataFrame) -> DataFrame:
+    """How many messages each event gets for the sake of others: members beyond the root."""
+    return groups.groupBy("event_id").agg(F.sum(F.size("members") - 1).alias("n_closure"))
+
+
+def lowest_surviving(selected: DataFrame, excluded: DataFrame) -> DataFrame:
+    """The selected message of the lowest score that is not excluded yet: what an overflow drops next."""
+    left = selected.join(excluded.select("event_id", "id"), ["event_id", "id"], "left_anti")
+    return left.groupBy("event_id").agg(F.min_by("id", F.struct("score", "id")).alias("id"), F.min("score").alias("score"))
+
+
+def wire_tokens(messages: DataFrame, delimiter: int = 0, fixed: int = 0) -> DataFrame:
+    """Tokens of each event's messages with a delimiter for each and a fixed part."""
+    return messages.groupBy("event_id").agg((F.sum(F.col("tokens") + delimiter) + fixed).alias("total"))
+
+
+def assemble(selected: DataFrame, local: DataFrame, messages: DataFrame, blocks: DataFrame, budgets: DataFrame, delimiter: int = 0, loss_ratio: float = 0.5, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is sent to the model for each event, and what that cost.
+
+    ``selected (event_id, id, score)``; ``local (event_id, id)``, the turn and the one before it;
+    ``messages (id, thread_id, position, tokens)``; ``blocks`` as in ``closed_groups``; ``budgets
+    (event_id, budget, fixed)``, no limit where the budget is not positive. ``excluded (event_id,
+    id)`` are shed from the start: a retry after an overflow passes the same selection with them
+    and selects nothing anew.
+
+    Selected messages come with all that protocol binds to them; groups with the same members are
+    one, those that touch local messages are sent anyway and go. The least dense groups are shed
+    until the rest fits. Wire: ``event_id, wire_no, id, source`` (``selected`` before ``local``).
+    Report: ``event_id, n_selected, n_closure, n_shed, tokens, price, outcome``; the outcome is
+    ``ok``, ``local too large`` or the problem of a group (``missing``, ``ambiguous``), which leaves
+    the event without wire.
+    """
+    stance = -math.log2(1 - loss_ratio)
+    with scratch() as kept:
+        facts = save(messages.select("id", "thread_id", "position", (F.col("tokens") + delimiter).alias("cost")))
+        own = save(threads.closed_groups(local.select("event_id", F.col("id").alias("root_id"), F.lit(1.0).alias("score")), blocks))
+        sent = save(own.select("event_id", F.explode("members").alias("id")).distinct())
+        roots = selected.select("event_id", F.col("id").alias("root_id"), "score").join(sent.withColumnRenamed("id", "root_id"), ["event_id", "root_id"], "left_anti")
+        if excluded is not None:
+            roots = roots.join(excluded.select("event_id", F.col("id").alias("root_id")), ["event_id", "root_id"], "left_anti")
+        closed = save(threads.closed_groups(roots, blocks))
+        groups = save(merge_groups(overlapping(closed, sent)))
+        costed = groups.withColumn("id", F.explode("members")).join(facts, "id")
+        costed = costed.groupBy("event_id", "members", "root_ids", "score").agg(F.sort_array(F.collect_list(F.struct("id", "cost"))).alias("c"), F.min("position").alias("position"))
+        local_cost = sent.join(facts, "id").groupBy("event_id").agg(F.sum("cost").alias("local_cost"))
+        limits = budgets.join(local_cost, "event_id", "left").select("event_id", "budget", (F.col("fixed") + F.coalesce("local_cost", F.lit(0))).alias("fixed"))
+        ready = costed.join(limits, "event_id").select("event_id", F.array_join("root_ids", ",").alias("group_id"), "root_ids", "members", "score", F.transform("c", lambda x: x["cost"]).alias("costs"), F.transform("c", lambda x: x["id"]).alias("of"), "budget", "fixed", "position")
+        ready = save(ready.drop("members").withColumnRenamed("of", "members"))
+        shed_rows = save(density_shed(ready, stance))
+        problems = closed.unionByName(own).groupBy("event_id").agg(F.min("problem").alias("problem"))
+        left = ready.join(shed_rows.filter("kept").select("event_id", "group_id"), ["event_id", "group_id"])
+        counts = left.groupBy("event_id").agg(F.count("*").alias("n_selected"), F.sum(F.size("members") - 1).alias("n_closure"))
+        dropped = ready.join(shed_rows.filter("not kept").select("event_id", "group_id"), ["event_id", "group_id"]).groupBy("event_id").agg(F.sum(F.size("root_ids")).alias("n_shed"))
+        sums = shed_rows.groupBy("event_id").agg(F.max("price").alias("price"), F.max("tokens").alias("tokens"), F.max("too_large").alias("too_large"))
+        local_closure = own.groupBy("event_id").agg(F.sum(F.size("members") - 1).alias("local_closure"))
+        report = limits.join(counts, "event_id", "left").join(dropped, "event_id", "left").join(sums, "event_id", "left").join(problems, "event_id", "left").join(local_closure, "event_id", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        tokens = F.coalesce("tokens", "fixed").cast("long")
+        outcome = F.when(F.col("problem").isNotNull(), F.col("problem")).when((F.col("budget") > 0) & (tokens > F.col("budget")), "local too large").otherwise("ok")
+        report = report.select("event_id", zero("n_selected").alias("n_selected"), (zero("n_closure") + zero("local_closure")).alias("n_closure"), zero("n_shed").alias("n_shed"), tokens.alias("tokens"), F.coalesce("price", F.lit(0.0)).alias("price"), outcome.alias("outcome"))
+        report = save(report)
+        fine = report.filter("outcome = 'ok'").select("event_id")
+        chosen = left.select("event_id", F.explode("members").alias("id"), F.lit("selected").alias("source"))
+        rows = chosen.join(sent, ["event_id", "id"], "left_anti").unionByName(sent.withColumn("source", F.lit("local")))
+        rows = rows.dropDuplicates(["event_id", "id"]).join(fine, "event_id").join(facts, "id")
+        order = Window.partitionBy("event_id").orderBy(F.desc("source"), "thread_id", "position", "id")
+        out = save(rows.select("event_id", F.row_number().over(order).alias("wire_no"), "id", "source"))
+        kept += [out, report]
+    return out, report
+
+
+def _canonical(blocks: pd.DataFrame) -> list[tuple]:
+    """One event's blocks, in order, as ``(role, text, thinking, call_ids, call_id)`` chat messages."""
+    atoms: list[tuple] = []
+    for _, rows in blocks.groupby("wire_no", sort=True):
+        said = {k: [t or "" for t in rows["text"][rows["kind"] == k]] for k in ("text", "thinking")}
+        if said["text"] or said["thinking"]:
+            atoms.append(("text", rows["role"].iloc[0], "\n".join(said["text"]), "\n".join(said["thinking"])))
+        for kind in ("tool_call", "tool_result"):
+            atoms += [(kind, r.call_id, r.text or "") for r in rows[rows["kind"] == kind].itertuples()]
+    answered = {a[1] for a in atoms if a[0] == "tool_result"}
+    out: list[tuple] = []
+    used, waiting, at = set(), [], 0
+    while at < len(atoms):
+        atom, at = atoms[at], at + 1
+        if atom[0] == "text":
+            _, role, text, thinking = atom
+            thoughts = [*waiting, thinking] if thinking else waiting
+            if text:
+                out.append((role, text, "\n".join(thoughts), [], None))
+                thoughts = []
+            waiting = thoughts
+        elif atom[0] == "tool_call":
+            run = [atom]
+            while at < len(atoms) and atoms[at][0] == "tool_call":
+                run.append(atoms[at])
+                at += 1
+            ids = [a[1] for a in run if a[1] in answered]
+            if ids:
+                out.append(("assistant", "", "\n".join(waiting), ids, None))
+                for k in range(at, len(atoms)):
+                    if atoms[k][0] == "tool_result" and atoms[k][1] in ids and k not in used:
+                        used.add(k)
+                        out.append(("tool", atoms[k][2], "", [], atoms[k][1]))
+            waiting = []
+    return out
+
+
+def canonical(wire_blocks: DataFrame) -> DataFrame:
+    """Chat messages from ``wire_blocks (event_id, wire_no, block_no, role, kind, text, call_id)``.
+
+    Calls without result and results without call go; consecutive calls are one message, their
+    results follow it; thinking waits for the next text or call, and goes where none follows. An
+    event's wire fits a model's context, so it is one group.
+    """
+    columns = "event_id long, message_no int, role string, text string, thinking string, call_ids array<string>, call_id string"
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        made = _canonical(p.sort_values(["wire_no", "block_no"]))
+        rows = [(p["event_id"].iloc[0], k, *m) for k, m in enumerate(made)]
+        return pd.DataFrame(rows, columns=["event_id", "message_no", "role", "text", "thinking", "call_ids", "call_id"])
+
+    rows = wire_blocks.select(F.col("event_id").cast("long"), "wire_no", "block_no", "role", "kind", "text", "call_id")
+    return rows.groupBy("event_id").applyInPandas(run, columns)

@@ -7,6 +7,7 @@ they meet the table in blocks. Predicates go below the ranking, so no over-fetch
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,23 +17,34 @@ from threadloom.functions import vectors as V
 #: Queries to broadcast at most; more are worked off in blocks of this size.
 BLOCK = 10_000
 OVERFETCH, LEAST_SHORTLIST = 16, 128
+#: Share of a query's rows that its shortlist holds at least; recall depends on it, whatever the table's size.
+SHARE = 1 / 3
 
 
-def _best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
+def best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def _pairs(queries: DataFrame, table: DataFrame, ranked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``ranked`` over every query with every row, in blocks of queries."""
+def pairs(queries: DataFrame, table: DataFrame, ranked: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:
+    """``ranked`` over every query with every row, in blocks of queries; ``key`` deals them to blocks."""
     n = queries.count()
     blocks = -(-n // BLOCK) or 1
-    parts = [queries] if blocks == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    out = None
-    for part in parts:
-        found = ranked(table.crossJoin(F.broadcast(part)))
-        out = found if out is None else out.unionByName(found)
-    return out
+    parts = [queries] if blocks == 1 else [queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [ranked(table.crossJoin(F.broadcast(part))) for part in parts])
+
+
+def scored(queries: DataFrame, table: DataFrame, where: Column | None = None, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``then`` over the cosine ``score`` of all rows with all queries; norms are computed once a row."""
+    queries = queries.withColumn("query_norm", V.norm("query_vector"))
+    table = table.withColumn("norm", V.norm("vector"))
+
+    def one(rows: DataFrame) -> DataFrame:
+        rows = rows if where is None else rows.filter(where)
+        score = V.cosine_of("vector", "query_vector", F.col("norm") * F.col("query_norm"))
+        return then(rows.withColumn("score", F.round(score, 6)).drop("norm", "query_norm"))
+
+    return pairs(queries, table, one)
 
 
 def nearest(queries: DataFrame, table: DataFrame, k: int, where: Column | None = None) -> DataFrame:
@@ -40,13 +52,8 @@ def nearest(queries: DataFrame, table: DataFrame, k: int, where: Column | None =
 
     ``queries (query_id, query_vector, ...)``; ``where`` may use columns of both sides.
     """
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        rows = rows if where is None else rows.filter(where)
-        rows = rows.select("query_id", "vec_id", F.round(V.cosine("vector", "query_vector"), 6).alias("score"))
-        return _best(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
-
-    return _pairs(queries, table, ranked)
+    top = lambda rows: best(rows.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
+    return scored(queries, table, where, top)
 
 
 def coded(table: DataFrame) -> DataFrame:
@@ -55,33 +62,63 @@ def coded(table: DataFrame) -> DataFrame:
     return table.withColumns({"sign": V.sign_code("vector"), "code": V.int8_code("vector", "scale")}).drop("vector")
 
 
-def two_stage(queries: DataFrame, table: DataFrame, shortlist: int, where: Column | None = None) -> DataFrame:
-    """A shortlist by Hamming distance of sign codes, scored by int8 codes: ``query_id, ..., score``."""
+def closest_codes(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of each query with the fewest differing signs: ``query_id, vec_id, distance, rank``."""
     queries = queries.withColumn("query_sign", V.sign_code("query_vector"))
+    table = table.select("vec_id", V.sign_code("vector").alias("sign"))
 
     def ranked(rows: DataFrame) -> DataFrame:
+        rows = rows.select("query_id", "vec_id", V.hamming("sign", "query_sign").alias("distance"))
+        return best(rows, ["query_id"], [F.col("distance"), F.col("vec_id")], k, "rank")
+
+    return pairs(queries, table, ranked)
+
+
+def two_stage(queries: DataFrame, table: DataFrame, shortlist: int, where: Column | None = None, share: float = SHARE) -> DataFrame:
+    """A shortlist by Hamming distance of sign codes, scored by int8 codes: ``query_id, ..., score``.
+
+    A query's shortlist is all rows within the radius that holds at least ``shortlist`` rows and
+    ``share`` of its rows. The radius comes from counts by distance, so no task ranks a query's
+    rows, and recall doesn't fall as the table grows.
+    """
+    queries = queries.withColumn("query_sign", V.sign_code("query_vector"))
+    table = coded(table)
+
+    def near(rows: DataFrame) -> DataFrame:
         rows = rows if where is None else rows.filter(where)
         rows = rows.withColumn("distance", V.hamming("sign", "query_sign"))
-        return _best(rows, ["query_id"], [F.col("distance"), F.col("vec_id")], shortlist, "_near").drop("_near")
-
-    rows = _pairs(queries, coded(table), ranked)
+        counts = rows.groupBy("query_id", "distance").agg(F.count("*").alias("c"))
+        query = Window.partitionBy("query_id")
+        upto = F.sum("c").over(query.orderBy("distance").rowsBetween(Window.unboundedPreceding, 0))
+        need = F.greatest(F.lit(shortlist), F.ceil(F.sum("c").over(query) * F.lit(share)))
+        within = counts.withColumns({"before": upto - F.col("c"), "need": need}).filter("before < need")
+        radius = within.groupBy("query_id").agg(F.max("distance").alias("radius"))
+        return rows.join(F.broadcast(radius), "query_id").filter("distance <= radius").drop("radius")
+
+    rows = pairs(queries, table, near)
     return rows.withColumn("score", F.round(V.int8_score("query_vector", "code", "scale"), 6))
 
 
 def search(queries: DataFrame, table: DataFrame, limit: int) -> DataFrame:
     """Best messages of each query: ``query_id, message_id, vec_id, score, rank``."""
     rows = two_stage(queries, table, max(OVERFETCH * limit, LEAST_SHORTLIST))
-    top = _best(rows, ["query_id", "message_id"], [F.desc("score"), F.col("vec_id")], 1, "_first")
-    out = _best(top, ["query_id"], [F.desc("score"), F.col("message_id")], limit, "rank")
-    return out.select("query_id", "message_id", "vec_id", "score", "rank")
+    top = rows.groupBy("query_id", "message_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("less"))).alias("b"))
+    top = top.select("query_id", "message_id", (-F.col("b.less")).alias("vec_id"), F.col("b.score").alias("score"))
+    return best(top, ["query_id"], [F.desc("score"), F.col("message_id")], limit, "rank")
+
+
+def enriched(found: DataFrame, messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """Search hits with their message's text and thread name; a hit without message keeps nulls."""
+    rows = found.join(messages.select(F.col("id").alias("message_id"), "thread_id", "text"), "message_id", "left")
+    return rows.join(threads.select("thread_id", F.col("name").alias("thread_name")), "thread_id", "left")
 
 
 def pooled(table: DataFrame) -> DataFrame:
-    """The mean vector of each message's chunks."""
-    parts = table.select("message_id", F.posexplode("vector").alias("i", "x"))
-    means = parts.groupBy("message_id", "i").agg(F.avg("x").alias("x"))
-    rows = means.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return rows.select("message_id", F.transform("v", lambda e: e["x"]).alias("vector"))
+    """The mean vector of each message's chunks, added up in the order of the chunks."""
+    rows = table.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "vector"))).alias("chunks"))
+    zero = F.transform(F.col("chunks")[0]["vector"], lambda _: F.lit(0.0))
+    total = F.aggregate("chunks", zero, lambda t, c: F.zip_with(t, c["vector"], lambda x, y: x + y.cast("double")))
+    return rows.select("message_id", F.transform(total, lambda x: x / F.size("chunks")).alias("vector"))
 
 
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -95,20 +132,33 @@ def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
 
     ``query_tokens (query_id, token, query_vector)``, a stated set; ``doc_tokens (doc_id, vector)``.
     """
-    rows = doc_tokens.crossJoin(F.broadcast(query_tokens)).select("query_id", "token", "doc_id", V.dot("vector", "query_vector").alias("s"))
-    best = rows.groupBy("query_id", "token", "doc_id").agg(F.max("s").alias("s"))
-    return best.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+
+    def best_tokens(rows: DataFrame) -> DataFrame:
+        rows = rows.select("query_id", "token", "doc_id", V.dot("vector", "query_vector").alias("s"))
+        return rows.groupBy("query_id", "token", "doc_id").agg(F.max("s").alias("s"))
+
+    return pairs(query_tokens, doc_tokens, best_tokens).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
-def draw(table: DataFrame, events: DataFrame, n: int, exclude: DataFrame | None = None) -> DataFrame:
+def draw(table: DataFrame, events: DataFrame, n: int, exclude: DataFrame | None = None, key: str = "vec_id", scoped: bool = False) -> DataFrame:
     """A repeatable pseudo-random sample of rows for each event ``(event_id, seed)``.
 
     Rows ``(row_no, vec_id)`` are ordered by ((row_no + seed) * 2654435761) modulo 2^32.
-    ``exclude (event_id, vec_id)`` leaves rows out.
+    ``exclude (event_id, key)`` leaves rows out: an event's candidates and what it has already,
+    which caps bound, so they go along as one list an event. ``scoped``: events have a
+    ``scope_thread``, and where it is not null only rows of that ``thread_id`` are drawn.
     """
-    rows = table.crossJoin(F.broadcast(events))
     if exclude is not None:
-        rows = rows.join(exclude.select("event_id", "vec_id"), ["event_id", "vec_id"], "left_anti")
-    mixed = (F.col("row_no") + F.col("seed")).cast("decimal(20,0)") * F.lit(2654435761).cast("decimal(10,0)")
-    rows = rows.withColumn("draw_key", (mixed % F.lit(4294967296).cast("decimal(10,0)")).cast("long"))
-    return _best(rows, ["event_id"], [F.col("draw_key"), F.col("vec_id")], n, "draw_rank")
+        gone = exclude.groupBy("event_id").agg(F.collect_set(key).alias("_gone"))
+        events = events.join(gone, "event_id", "left")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        if exclude is not None:
+            rows = rows.filter(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col(key))).drop("_gone")
+        if scoped:
+            rows = rows.filter(F.col("scope_thread").isNull() | (F.col("thread_id") == F.col("scope_thread")))
+        mixed = (F.col("row_no") + F.col("seed")).cast("decimal(20,0)") * F.lit(2654435761).cast("decimal(10,0)")
+        rows = rows.withColumn("draw_key", (mixed % F.lit(4294967296).cast("decimal(10,0)")).cast("long"))
+        return best(rows, ["event_id"], [F.col("draw_key"), F.col("vec_id")], n, "draw_rank")
+
+    return pairs(events, table, ranked, "event_id")

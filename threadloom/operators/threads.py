@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.scratch import save, scratch
+
 
 def _thread():
     return Window.partitionBy("thread_id")
@@ -106,6 +108,57 @@ def tool_pairs(blocks: DataFrame) -> DataFrame:
     return sums.withColumn("problem", problem)
 
 
-def in_scope(edges: DataFrame, thread, everywhere: bool) -> DataFrame:
-    """Edges that a thread may use: all, or those with both ends in it."""
-    return edges if everywhere else edges.filter((F.col("from_thread") == thread) & (F.col("to_thread") == thread))
+def recent_activity(messages: DataFrame, limit: int, most_bytes: int = 80) -> DataFrame:
+    """The ``limit`` threads that were active last, with their newest message cut to ``most_bytes`` bytes."""
+    rows = latest(messages).withColumn("summary", F.substring(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 1, most_bytes).cast("string"))
+    return rows.orderBy(F.desc("created_at"), "thread_id").limit(limit).select("thread_id", "id", "created_at", "summary")
+
+
+def listed(threads: DataFrame, folders: DataFrame, archived: bool = False) -> DataFrame:
+    """Threads, newest first, with the sorted list of their ``folders (thread_id, path)``."""
+    kept = threads if archived else threads.filter(~F.coalesce("archived", F.lit(False)))
+    paths = folders.groupBy("thread_id").agg(F.sort_array(F.collect_set("path")).alias("folders"))
+    rows = kept.join(paths, "thread_id", "left").withColumn("folders", F.coalesce("folders", F.array().cast("array<string>")))
+    return rows.orderBy(F.desc("created_at"), "thread_id")
+
+
+def chunks_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each wanted message's chunks in order, as one list; a message without chunks has an empty one."""
+    rows = chunks.join(ids.select(F.col("id").alias("message_id")).distinct(), "message_id", "left_semi")
+    lists = rows.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("chunks"))
+    asked = ids.select(F.col("id").alias("message_id")).distinct()
+    return asked.join(lists, "message_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<struct<chunk_index:int,text:string>>")))
+
+
+def closed_groups(roots: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What must be sent together with each root: calls with their results, transitively.
+
+    ``roots (event_id, root_id, score)``; ``blocks (message_id, thread_id, kind, call_id)``. Returns
+    ``event_id, root_id, score, members, problem``: ``members`` are sorted ids, the root among
+    them; ``problem`` is ``missing`` or ``ambiguous`` where a counterpart is not exactly one message.
+    """
+    blocks = blocks.filter(F.col("kind").isin("tool_call", "tool_result") & (F.coalesce("call_id", F.lit("")) != "")).select("message_id", "thread_id", "kind", "call_id").distinct()
+    ends = blocks.groupBy("thread_id", "call_id", "kind").agg(F.count("*").alias("n"), F.min("message_id").alias("other"))
+    ends = ends.withColumn("kind", F.when(F.col("kind") == "tool_call", "tool_result").otherwise("tool_call"))
+    links = blocks.join(ends, ["thread_id", "call_id", "kind"], "left")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous")
+    with scratch() as kept:
+        links = save(links.select(F.col("message_id").alias("id"), "other", problem.alias("problem")))
+        members = fresh = save(roots.select("event_id", "root_id", F.col("root_id").alias("id")).distinct())
+        tables = [members]
+        while not fresh.isEmpty():
+            onward = fresh.join(links.filter("problem is null"), "id").select("event_id", "root_id", F.col("other").alias("id")).distinct()
+            fresh = save(onward.join(members, ["event_id", "root_id", "id"], "left_anti"))
+            tables.append(fresh)
+            members = members.unionByName(fresh)
+        bad = members.join(links.filter("problem is not null"), "id").groupBy("event_id", "root_id").agg(F.min("problem").alias("problem"))
+        whole = members.groupBy("event_id", "root_id").agg(F.sort_array(F.collect_set("id")).alias("members"))
+        out = save(roots.join(whole, ["event_id", "root_id"]).join(bad, ["event_id", "root_id"], "left"))
+        kept.append(out)
+    return out
+
+
+def with_counterparts(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The messages ``ids (id)`` and all that share a turn with one of them: where their counterparts are."""
+    own = messages.join(ids.select("id"), "id", "left_semi").select(messages.columns)
+    return own.unionByName(turn_peers(messages, ids)).dropDuplicates(["id"])

@@ -132,9 +132,10 @@ def token_estimate(spark, d):
     return src.read(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("short_names", "select page_id, case when strlen(u) <= 40 then u else left(u, 37) || '...' end as short_name from (select page_id, regexp_replace(url, ' ', '', 'g') as u from pages)")
+@query("short_names", "select page_id, case when strlen(n) <= 60 then n when instr(substr(n, 31, 28), ' ') > 0 then left(n, 30 + 28 - instr(reverse(substr(n, 31, 28)), ' ')) || '...' else left(n, 57) || '...' end as short_name from (select page_id, replace(url, '/', ' ') || ' ' || replace(url, 'e', ' ') as n from pages)")
 def short_names(spark, d):
-    return src.read(spark, d, "pages").select("page_id", T.short_name(F.regexp_replace("url", " ", ""), 40, 20).alias("short_name"))
+    name = F.concat_ws(" ", F.replace("url", F.lit("/"), F.lit(" ")), F.replace("url", F.lit("e"), F.lit(" ")))
+    return src.read(spark, d, "pages").select("page_id", F.when(F.col("url").isNotNull(), T.short_name(name)).alias("short_name"))
 
 
 @query("context_fingerprint", f"with {MSG} select thread_id, sha256('v1|' || string_agg(id || '=' || coalesce(text, ''), '|' order by position)) as fingerprint from messages group by 1")
@@ -179,44 +180,76 @@ def _anchors(spark, d) -> DataFrame:
     return m.select(F.col("thread_id").alias("event_id"), "id")
 
 
-_ANCHORS = f"anchors as (select thread_id as event_id, max(position) as position, 'c' || thread_id || '-' || max(position) as id from messages group by 1 having max(position) <= 12)"
-_PATHS = f"""paths(event_id, id, w, hops) as (
+_ANCHORS = "anchors as (select thread_id as event_id, max(position) as position, 'c' || thread_id || '-' || max(position) as id from messages group by 1)"
+# a level at a time: all paths of a length to a message are one row, so that long threads stay linear
+_LEVELS = """levels(event_id, id, best, hops) as (
   select event_id, id, 1.0::double, 0 from anchors
-  union all select p.event_id, e.from_id, p.w * e.score, p.hops + 1 from paths p join edges e on e.to_id = p.id)"""
+  union all select p.event_id, e.from_id, max(p.best * e.score), p.hops + 1 from levels p join edges e on e.to_id = p.id group by p.event_id, e.from_id, p.hops)"""
+_REACH = "reach as (select event_id, id, max(best) as bound, min(hops) as hops, count(*) over (partition by event_id) as n from levels where hops > 0 group by 1, 2 qualify row_number() over (partition by event_id order by max(best) desc, id) <= 64)"
+_SUMS = """sums(event_id, id, w, hops) as (
+  select event_id, id, 1.0::double, 0 from anchors
+  union all select p.event_id, e.from_id, sum(p.w * e.score), p.hops + 1 from sums p join edges e on e.to_id = p.id
+    where (p.event_id, e.from_id) in (select (event_id, id) from reach) group by p.event_id, e.from_id, p.hops)"""
+_WALK = f"with recursive {MSG}, {PROV}, {_ANCHORS}, {_LEVELS}, {_REACH}"
 
 
-@query("prov_reach", f"with recursive {MSG}, {PROV}, {_ANCHORS}, {_PATHS} select event_id, id, round(max(w), 9) as bound, min(hops) as hops from paths where hops > 0 group by 1, 2")
+@query("prov_reach", f"{_WALK} select event_id, id, round(bound, 9) as bound, hops from reach")
 def prov_reach(spark, d):
     out = graph.reach(src.provenance(spark, d), _anchors(spark, d))
     return out.select("event_id", "id", F.round("bound", 9).alias("bound"), "hops")
 
 
-@query("prov_mass_paths", f"with recursive {MSG}, {PROV}, {_ANCHORS}, {_PATHS} select event_id, id, round(sum(w), 6) as mass from paths where hops > 0 group by 1, 2")
+@query("prov_mass_paths", f"{_WALK}, {_SUMS} select event_id, id, round(sum(w), 6) as mass from sums where hops > 0 group by 1, 2")
 def prov_mass_paths(spark, d):
     out = graph.mass(src.provenance(spark, d), _anchors(spark, d))
     return out.select("event_id", "id", F.round("mass", 6).alias("mass"))
 
 
-_MASS = f"m as (select event_id, id, round(sum(w), 9) as mass from paths where hops > 0 group by 1, 2)"
+_MASS = "m as (select event_id, id, round(sum(w), 9) as mass from sums where hops > 0 group by 1, 2)"
 
 
-@query("mass_rank_bits", f"with recursive {MSG}, {PROV}, {_ANCHORS}, {_PATHS}, {_MASS} select event_id, id, place, round(-log2(place / (n + 1)), 6) as bits from (select *, row_number() over (partition by event_id order by mass desc, id) as place, count(*) over (partition by event_id) as n from m)")
+@query("mass_rank_bits", f"{_WALK}, {_SUMS}, {_MASS} select event_id, id, place, round(-log2(place / (n + 1)), 6) as bits from (select *, row_number() over (partition by event_id order by mass desc, id) as place, count(*) over (partition by event_id) as n from m)")
 def mass_rank_bits(spark, d):
-    masses = graph.mass(src.provenance(spark, d), _anchors(spark, d)).withColumn("mass", F.round("mass", 9))
+    masses = graph.mass(src.provenance(spark, d), _anchors(spark, d))
     return graph.mass_ranks(masses).select("event_id", "id", F.col("place").cast("long").alias("place"), F.round("bits", 6).alias("bits"))
 
 
-@query("traverse_select", f"with recursive {MSG}, {PROV}, {_ANCHORS}, {_PATHS} select event_id, id, round(max(w), 9) as score, min(hops) as hops from paths where hops > 0 and w >= 0.5 group by 1, 2")
+def _scored_edges(spark, d):
+    return src.provenance(spark, d).withColumns({"source": F.lit(1), "cross_encoder_score": F.col("score")})
+
+
+@query("traverse_select", f"{_WALK} select event_id, id, round(max(best), 9) as score, min(hops) as hops from levels where hops > 0 and best >= 0.5 group by 1, 2")
 def traverse_select(spark, d):
-    edges = src.provenance(spark, d).withColumns({"source": F.lit(1), "cross_encoder_score": F.col("score")})
-    return graph.traverse(edges, _anchors(spark, d)).select("event_id", "id", F.round("score", 9).alias("score"), "hops")
+    return graph.traverse(_scored_edges(spark, d), _anchors(spark, d)).select("event_id", "id", F.round("score", 9).alias("score"), "hops")
 
 
-@query("traverse_exclusions", f"with recursive {MSG}, {PROV}, {_ANCHORS}, {_PATHS}, s as (select distinct event_id, id from paths where hops > 0 and w >= 0.95) select a.event_id, e.from_id as id, max(e.score) as score from anchors a join edges e on e.to_id = a.id left join s on s.event_id = a.event_id and s.id = e.from_id where s.id is null group by 1, 2")
+@query("traverse_exclusions", f"{_WALK}, s as (select distinct event_id, id from levels where hops > 0 and best >= 0.95) select a.event_id, e.from_id as id, max(e.score) as score from anchors a join edges e on e.to_id = a.id left join s on s.event_id = a.event_id and s.id = e.from_id where s.id is null group by 1, 2")
 def traverse_exclusions(spark, d):
-    edges = src.provenance(spark, d).withColumns({"source": F.lit(1), "cross_encoder_score": F.col("score")})
-    a = _anchors(spark, d)
-    return graph.exclusions(edges, a, graph.traverse(edges, a, 0.95)).select("event_id", "id", "score")
+    edges, a = _scored_edges(spark, d), _anchors(spark, d)
+    return graph.unselected(edges, a, graph.traverse(edges, a, 0.95)).select("event_id", "id", "score")
+
+
+@query("walk_exclusions", f"{_WALK} select event_id, id, round(max(best), 9) as score, 'below threshold' as reason from levels where hops > 0 group by 1, 2 having max(best) < 0.8")
+def walk_exclusions(spark, d):
+    """What edges of at least 0.8 lead to from a message still selected, but only by paths below 0.8."""
+    edges, a = _scored_edges(spark, d), _anchors(spark, d)
+    return graph.exclusions(edges, a, graph.walk(edges, a, 0.8), 0.8).select("event_id", "id", F.round("score", 9).alias("score"), "reason")
+
+
+@query("contributor_edges", f"with {MSG}, k as (select *, max(position) over (partition by thread_id) as last from messages), w as (select thread_id, id, position, last, case when position >= last - 1 then 1.0::double when position % 3 <> 0 then position / 10.0::double end as score from k) select id as from_id, 'c' || thread_id || '-' || last as to_id, score from w where position < last and score > 0")
+def contributor_edges(spark, d):
+    m = src.messages(spark, d).withColumn("last", F.max("position").over(Window.partitionBy("thread_id")))
+    rows = m.select(F.concat(F.lit("c"), "thread_id", F.lit("-"), "last").alias("anchor_id"), F.col("id").alias("message_id"), F.col("position").alias("seq"), "last")
+    chosen = rows.filter("seq < last - 1").withColumn("weight", F.when(F.col("seq") % 3 != 0, F.col("seq") / 10).otherwise(0.0))
+    edges = graph.provenance_edges(graph.contributors(rows.filter("seq >= last - 1"), chosen))
+    return edges.select("from_id", "to_id", "score")
+
+
+@query("stage_times", "with r as (select user_id as run_id, min(ts) as started, min(ts) filter (event_type = 'click') as first_at, max(ts) as ended from events group by 1) select run_id, greatest(epoch_us(coalesce(first_at, ended)) // 1000 - epoch_us(started) // 1000 - case when first_at is null then 0 else 60000 end, 0) as complete_ms, case when first_at is null then 0 else epoch_us(ended) // 1000 - epoch_us(first_at) // 1000 end as stream_ms from r")
+def stage_times(spark, d):
+    e = src.read(spark, d, "events")
+    runs = e.groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("started"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("first_at"), F.max("ts").alias("ended"))
+    return telemetry.stage_times(runs.withColumn("assembly_ms", F.lit(60000))).select("run_id", "complete_ms", "stream_ms")
 
 
 @query("edge_dedupe", "select user_id as from_id, round(value)::bigint % 7 as to_id, arg_max(event_id, event_id) as last_event, count(*) as n from events where value is not null group by 1, 2")
@@ -227,10 +260,13 @@ def edge_dedupe(spark, d):
     return last.join(n, ["from_id", "to_id"])
 
 
-@query("fork_merge", f"with {PROV} select from_id, to_id, score from edges")
+@query("fork_merge", f"with {PROV}, b as (select from_id, to_id, score from edges where from_position % 2 = 0), f as (select from_id, to_id, 0.1::double as score from edges where to_position % 3 = 0) select * from b union all select * from f anti join b using (from_id, to_id)")
 def fork_merge(spark, d):
-    e = src.provenance(spark, d).select("from_id", "to_id", "source", "score")
-    return tables.merge_fork(e.filter("crc32(to_id) % 2 = 0"), e).select("from_id", "to_id", "score")
+    """A base and a fork that share edges with other scores; the base's scores stay."""
+    e = src.provenance(spark, d)
+    base = e.filter("from_position % 2 = 0").select("from_id", "to_id", "source", "score")
+    fork = e.filter("to_position % 3 = 0").select("from_id", "to_id", "source", F.lit(0.1).alias("score"))
+    return tables.merge_fork(base, fork).select("from_id", "to_id", "score")
 
 
 @query("upsert_scores", "select doc_id, case when toxic = 1 then 1.0 else quality::double end as score from labels union all select doc_id, 0.5 from documents where doc_id not in (select doc_id from labels)")
@@ -265,15 +301,15 @@ def tick_recent(spark, d):
     return src.traces(spark, d).orderBy(F.desc("id")).limit(25).select("id", "thread_id", "stage")
 
 
-_RING = """with u as (select event_type as model, event_id as seq, value, 10 + event_id % 90 as predicted from events where value is not null),
-r as (select *, value / predicted as ratio from u where value / predicted between 0.5 and 3.0 and predicted * 4 >= 100)
+_RING = """with u as (select event_type as model, event_id as seq, value, 10 + event_id % 90 as predicted, event_id % 11 * 40 as budget from events where value > 0),
+r as (select *, value / predicted as ratio from u where value / predicted between 0.5 and 3.0 and budget > 0 and predicted * 4 >= budget)
 select model, seq, round(max(ratio) over (partition by model order by seq rows between 31 preceding and current row), 9) as scale from r"""
 
 
 @query("token_scale_ring", _RING)
 def token_scale_ring(spark, d):
     e = src.read(spark, d, "events").filter("value is not null")
-    usage = e.select(F.col("event_type").alias("model"), F.col("event_id").alias("seq"), (10 + F.col("event_id") % 90).alias("predicted"), F.col("value").alias("observed"), F.lit(100).alias("budget"))
+    usage = e.select(F.col("event_type").alias("model"), F.col("event_id").alias("seq"), (10 + F.col("event_id") % 90).alias("predicted"), F.col("value").alias("observed"), (F.col("event_id") % 11 * 40).alias("budget"))
     return telemetry.token_scale(usage).select("model", "seq", F.round("scale", 9).alias("scale"))
 
 
@@ -289,13 +325,20 @@ def citation_counts(spark, d):
     return telemetry.citations(s)
 
 
-@query("run_reconcile", """select user_id as thread_id, event_id, case when event_type = 'error' then 'not autonomous' when event_type = 'click' then 'paused' when value is null then 'no limit set' when 50 - value <= 0 then 'time is used up' end as reason from events where event_type <> 'view'""")
+_LIMITS = ("", "1m", "2h30m", "x", "-5s", "1.5h", "500ms")
+
+
+@query("run_reconcile", """with s as (select user_id as thread_id, event_id, event_type, case event_id % 7 when 0 then '' when 1 then '1m' when 2 then '2h30m' when 3 then 'x' when 4 then '-5s' when 5 then '1.5h' else '500ms' end as l,
+  case event_id % 7 when 1 then 60.0 when 2 then 9000.0 when 4 then -5.0 when 5 then 5400.0 when 6 then 0.5 end::double as total, value * 60 as elapsed from events where event_type <> 'view'),
+r as (select *, case when event_type = 'error' then 'non-autonomous' when event_type = 'click' then 'paused' when l = '' then 'no duration_limit' when elapsed is null then 'no started_at' when total is null then 'unparseable duration_limit=' || l
+  when total <= 0 then 'non-positive duration_limit=' || l when total - elapsed <= 0 then 'budget expired' end as reason from s)
+select thread_id, event_id, reason, case when reason is null then 'resume' else 'idle' end as action, case when reason is null then round(greatest(total - elapsed, 300.0), 6) end as left_seconds from r""")
 def run_reconcile(spark, d):
     e = src.read(spark, d, "events")
     status = F.when(F.col("event_type") == "view", "idle").when(F.col("event_type") == "click", "paused").otherwise("running")
-    limit = F.when(F.col("value").isNotNull(), F.lit(50.0))
-    s = e.select(F.col("user_id").alias("thread_id"), "event_id", status.alias("status"), F.when(F.col("event_type") == "error", "chat").otherwise("autonomous").alias("mode"), limit.alias("limit_seconds"), F.col("value").alias("elapsed_seconds"))
-    return telemetry.reconcile(s).select("thread_id", "event_id", "reason")
+    limit = F.element_at(F.array(*map(F.lit, _LIMITS)), (F.col("event_id") % 7 + 1).cast("int"))
+    s = e.select(F.col("user_id").alias("thread_id"), "event_id", status.alias("status"), F.when(F.col("event_type") == "error", "chat").otherwise("autonomous").alias("mode"), limit.alias("duration_limit"), (F.col("value") * 60).alias("elapsed_seconds"))
+    return telemetry.reconcile(s).select("thread_id", "event_id", "reason", "action", F.round("left_seconds", 6).alias("left_seconds"))
 
 
 _TRIM = f"""with {MSG}, w as (select thread_id as event_id, id, position, role, (strlen(coalesce(text, '')) + 3) // 4 as tokens,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.blocks import BLOCK
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -40,3 +42,38 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
     """``id, thread_id, stage, ms, created_at``: one measured stage per stored event."""
     rows = read(spark, folder, "events")
     return rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("thread_id"), F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("ts").alias("created_at"), "props")
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """``messages`` with their ``content`` blocks: text, and by position thinking, calls, results and attachments."""
+    rows = messages(spark, folder)
+    t, text = F.col("position"), F.coalesce("text", F.lit(""))
+    name = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+
+    def block(kind: str, **fields: Column) -> Column:
+        values = {"kind": F.lit(kind), **fields}
+        names = [(c.split(":")[0], c.split(":")[1]) for c in BLOCK[len("struct<") : -1].split(",")]
+        return F.struct(*[values.get(n, F.lit(None)).cast(k).alias(n) for n, k in names])
+
+    made = [
+        F.when(t % 7 != 6, block("text", text=text)),
+        F.when(t % 3 == 1, block("thinking", text=F.concat(F.lit("so "), F.left(text, F.lit(20))), signature=F.when(t % 2 == 1, F.encode(F.lit("x"), "utf-8")))),
+        F.when(t % 4 == 1, block("tool_call", call_id=name("k", t), name=F.lit("lookup"), arguments=F.concat(F.lit('{"q":"'), t.cast("string"), F.lit('"}')))),
+        F.when(t % 4 == 2, block("tool_result", call_id=name("k", t - 1), text=F.left(text, F.lit(10)), is_error=t % 8 == 2)),
+        F.when(t % 5 == 3, block("attachment", filename=name("f", t), path=F.lit("/a"), media_type=F.lit("text/plain"), inlined_text=F.left(text, F.lit(5)))),
+    ]
+    return rows.withColumn("content", F.filter(F.array(*made), lambda b: b.isNotNull()))
+
+
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """``message_id, thread_id, role, position, block_no`` and the block's fields: one row a block."""
+    rows = contents(spark, folder).select(F.col("id").alias("message_id"), "thread_id", "role", "position", F.posexplode("content").alias("block_no", "b"))
+    return rows.select("message_id", "thread_id", "role", "position", "block_no", "b.*")
+
+
+def ancestry(spark: SparkSession, folder: str) -> DataFrame:
+    """Provenance among the messages of ``vectors``: within each twenty, from the one and the five before."""
+    rows = vectors(spark, folder).select("message_id").distinct()
+    to = rows.select(F.col("message_id").alias("to_id"), F.explode(F.array(F.struct(F.lit(1).alias("back"), F.lit(0.9).alias("score")), F.struct(F.lit(5).alias("back"), F.lit(0.7).alias("score")))).alias("x"))
+    to = to.select((F.col("to_id") - F.col("x.back")).alias("from_id"), "to_id", "x.score").filter("from_id >= 0 and from_id div 20 = to_id div 20")
+    return to.join(rows.withColumnRenamed("message_id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "score")

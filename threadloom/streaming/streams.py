@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadloom.operators.retrieval import coded
+from threadloom.operators.telemetry import BAND, RING
 
 LATE = "10 minutes"
 
@@ -55,10 +56,11 @@ class _Ring(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [r[0] for r in self.state.get()]
-        for frame in rows:
-            for _, row in frame.sort_values("seq").iterrows():
-                if 0.5 <= row["ratio"] <= 3.0:
-                    kept = [*kept, float(row["ratio"])][-self.size :]
+        came = pd.concat(list(rows)).sort_values("seq")
+        positive = (came[["predicted", "observed", "budget"]] > 0).all(axis=1)
+        came = came[positive & (came["predicted"] * 4 >= came["budget"])]
+        ratio = came["observed"] / came["predicted"]
+        kept = [*kept, *ratio[ratio.between(*BAND)].astype(float)][-self.size :]
         if kept:
             self.state.put([(x,) for x in kept])
             yield pd.DataFrame({"model": [key[0]], "scale": [max(kept)]})
@@ -67,8 +69,11 @@ class _Ring(StatefulProcessor):
         pass
 
 
-def token_scales(usage: DataFrame, ring: int = 32) -> DataFrame:
-    """The greatest of each model's last ratios, ``usage (model, seq, ratio)``, as state."""
+def token_scales(usage: DataFrame, ring: int = RING) -> DataFrame:
+    """The greatest of each model's last admitted ratios, ``usage (model, seq, predicted, observed, budget)``, as state.
+
+    Rows of one micro-batch are taken in the order of ``seq``.
+    """
     return usage.groupBy("model").transformWithStateInPandas(_Ring(ring), "model string, scale double", "Update", "none")
 
 
