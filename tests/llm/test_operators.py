@@ -139,6 +139,15 @@ def test_bound_of_the_edit_distance():
         assert edits.similar(a, b, 80) == (100 * distance(a, b) <= 20 * max(len(a), len(b)))
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choice("abcé ") for _ in range(rng.choice([1, 5, 63, 64, 65, 130, 300]))) for _ in range(2)) for _ in range(60)]
+    pairs += [(a, a[: len(a) // 2] + "z" + a[len(a) // 2 :]) for a, _ in pairs] + [("abc" * 400, "abd" * 400), ("x y", "x z")]
+    a, b = map(list, zip(*pairs))
+    assert edits.distances(a, b).tolist() == [edits.edit_distance(x, y) for x, y in pairs]
+    assert edits.all_similar([*a, "", "x"], [*b, "", ""], 80).tolist() == [edits.similar(x, y, 80) for x, y in [*pairs, ("", ""), ("x", "")]]
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(11)
     lines = [prose(rng.choice([2, 6, 12, 90, 150]), rng) for _ in range(25)]

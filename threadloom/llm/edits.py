@@ -1,7 +1,13 @@
-"""Edit distance of two texts by bit-parallel columns, with a cheap bound before it."""
+"""Edit distances of texts by bit-parallel columns, of one pair or many, with a cheap bound before them."""
 
 from __future__ import annotations
 
+import numpy as np
+
+#: Pairs that are worked off together, and the longest text of such a pair.
+TOGETHER, LONGEST = 2048, 1024
+_ONE, _TOP = np.uint64(1), np.uint64(63)
+
 
 def edit_distance(a: str, b: str, limit: int | None = None) -> int:
     """Levenshtein distance by bit-parallel columns over one long integer.
@@ -67,3 +73,77 @@ def similar(a: str, b: str, percent: int) -> bool:
         return False
     limit = (100 - percent) * longer // 100
     return at_most(a, b) <= limit or edit_distance(a, b, limit) <= limit
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    """Code points of the texts, a row each, filled up with a value that no text has."""
+    out = np.full((len(texts), max(map(len, texts))), 0xFFFFFFFF, np.uint32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs of texts that are not empty, a step of all pairs at a time.
+
+    Bits are the rows of a column, 64 to a block; each block passes the horizontal difference at
+    its last row on to the block below.
+    """
+    n, rows, columns = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    left, right = _points(a), _points(b)
+    known, code = np.unique(left, return_inverse=True)
+    code, blocks = code.reshape(left.shape), -(-left.shape[1] // 64)
+    equal = np.zeros((blocks, n, len(known) + 1), np.uint64)
+    for row in range(left.shape[1]):
+        held = np.flatnonzero(row < rows)
+        equal[row // 64, held, code[held, row]] |= _ONE << np.uint64(row % 64)
+    equal = equal.reshape(blocks, -1)
+    place = np.minimum(np.searchsorted(known, right), len(known) - 1)
+    place = np.where(known[place] == right, place, len(known)) + np.arange(n)[:, None] * (len(known) + 1)
+    place = np.ascontiguousarray(place.T)
+    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    last, bit = (rows - 1) // 64, ((rows - 1) % 64).astype(np.uint64)
+    ends = range(int(last.min()), int(last.max()) + 1)
+    ones, zeros, t, across, ph, mh = np.ones(n, np.uint64), np.zeros(n, np.uint64), *np.empty((4, n), np.uint64)
+    score = rows.astype(np.int64)
+    for column in range(right.shape[1]):
+        here = equal.take(place[column], axis=1)
+        plus, minus = ones, zeros
+        for block in range(blocks):
+            pv, mv, eq = up[block], down[block], here[block]
+            np.bitwise_or(eq, mv, out=across)
+            np.bitwise_or(eq, minus, out=eq)
+            np.add(np.bitwise_and(eq, pv, out=t), pv, out=t)
+            np.bitwise_or(np.bitwise_xor(t, pv, out=t), eq, out=t)
+            np.bitwise_and(pv, t, out=mh)
+            np.bitwise_or(mv, np.invert(np.bitwise_or(t, pv, out=t), out=t), out=ph)
+            if block in ends:
+                step = ((ph >> bit) & _ONE).view(np.int64) - ((mh >> bit) & _ONE).view(np.int64)
+                score += step * ((column < columns) & (last == block))
+            plus_below, minus_below = ph >> _TOP, mh >> _TOP
+            np.bitwise_or(np.left_shift(ph, _ONE, out=ph), plus, out=ph)
+            np.bitwise_or(np.left_shift(mh, _ONE, out=mh), minus, out=mh)
+            np.invert(np.bitwise_or(across, ph, out=t), out=t)
+            np.bitwise_or(mh, t, out=up[block])
+            np.bitwise_and(ph, across, out=down[block])
+            plus, minus = plus_below, minus_below
+    return score
+
+
+def all_similar(a: list[str], b: list[str], percent: int) -> np.ndarray:
+    """``similar`` of every pair; those of moderate length that the bound leaves open are worked off together."""
+    out, left = np.zeros(len(a), bool), []
+    for k, (x, y) in enumerate(zip(a, b)):
+        longer = max(len(x), len(y))
+        if not x or not y or longer > LONGEST:
+            out[k] = similar(x, y, percent)
+        elif 100 * min(len(x), len(y)) >= percent * longer:
+            limit = (100 - percent) * longer // 100
+            out[k] = at_most(x, y) <= limit
+            if not out[k]:
+                left.append((longer, k, limit))
+    left.sort()
+    for lo in range(0, len(left), TOGETHER):
+        _, part, limits = map(list, zip(*left[lo : lo + TOGETHER]))
+        out[part] = distances([a[k] for k in part], [b[k] for k in part]) <= np.array(limits)
+    return out

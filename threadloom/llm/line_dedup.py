@@ -4,7 +4,7 @@ Lines are normalised (lower case, everything but letters and digits is a space).
 words is computed for every piece of a line: pieces begin at words whose hash is smaller than
 those around it, so an edit changes the pieces next to it and no others. Each piece's SimHash is
 one pigeonhole block and a join key; lines of up to ``HALVED`` and ``THIRDED`` words have blocks of
-their halves and thirds too. The SimHash of the whole line, the sum of its pieces, bounds
+their halves and thirds too. A SimHash of 128 bits of the whole line, the sum of its pieces, bounds
 candidates by Hamming distance inside the join. Edit similarity of the normalised lines decides.
 Of every connected group one occurrence stays, the first by (doc_id, text hash, line number).
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import hashed_runs, mix, slices
-from threadloom.llm.edits import similar
+from threadloom.llm.edits import all_similar
 from threadloom.llm.linking import link_buckets
 from threadloom.llm.work import save, scratch
 
@@ -43,8 +43,8 @@ SIMILARITY_PERCENT = 80
 BRIEF, HALVED, THIRDED = 8, 12, 24
 #: One of so many blocks at least is shared by candidates longer than that.
 SHARE = 5
-#: Differing SimHash bits of candidates at most.
-MAX_BITS = 20
+#: Words of the shorter line, from which on candidates differ in so many of 128 SimHash bits at most.
+MAX_BITS = ((61, 24), (25, 28), (0, 36))
 #: Words of a piece at most, so that the votes on a bit fit in a byte.
 LONGEST_PIECE = 240
 _LANES = np.uint64(0x0101010101010101)
@@ -113,7 +113,9 @@ def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
     cut = (place % LONGEST_PIECE == 0) | (_lowest(words, line, 2) & (place >= 3) & (rest >= 3))
     sums, of = add(np.arange(len(words)), cut, 0)
-    simhash = _votes(np.add.reduceat(sums, np.searchsorted(of, np.arange(len(n))), axis=0), n)
+    more = _bit_sums(mix(words ^ _PLACES), np.flatnonzero(cut)).astype(np.int32)
+    starts = np.searchsorted(of, np.arange(len(n)))
+    simhash = np.stack([_votes(np.add.reduceat(x, starts, axis=0), n) for x in (sums, more)], axis=1)
     for family, (parts, most) in enumerate(((2, HALVED), (3, THIRDED)), 1):
         short = np.flatnonzero(n[line] <= most)
         if len(short):
@@ -123,7 +125,7 @@ def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 
 def signed_lines(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
-    """Of all long enough lines: text ``row`` and line ``no``, hash ``h``, ``words``, ``chars``, ``sig`` and blocks.
+    """Of all long enough lines: text ``row`` and line ``no``, hash ``h``, ``words``, ``chars``, both halves of ``sig`` and blocks.
 
     ``blocks`` of the line k are ``keys[at[k] : at[k + 1]]``, sorted and distinct.
     """
@@ -144,7 +146,7 @@ def signed_lines(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
     first = np.cumsum(n) - n
     out = {"row": row[good], "no": good - first_break[row[good]], "words": n}
     if not len(n):
-        return out | {k: np.zeros(0, np.uint64) for k in ("h", "sig", "keys")} | {"chars": n, "at": np.zeros(1, np.int64)}
+        return out | {"h": np.zeros(0, np.uint64), "keys": np.zeros(0, np.uint64), "sig": np.zeros((0, 2), np.uint64), "chars": n, "at": np.zeros(1, np.int64)}
     place = (np.arange(len(words)) - np.repeat(first, n)).astype(np.uint64)
     out["h"] = mix(np.add.reduceat(mix(words + (place + np.uint64(1)) * _PLACES), first) + n.astype(np.uint64))
     out["chars"] = np.add.reduceat(chars, first) + n - 1
@@ -167,7 +169,7 @@ def signed_lines(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
 
 def _occurrences(min_words: int):
     """Every long enough line; blocks only where the task has not just seen an equal line."""
-    names = ["doc_id", "text_hash", "line_no", "h", "words", "chars", "sig", "blocks"]
+    names = ["doc_id", "text_hash", "line_no", "h", "words", "chars", "sig", "sig2", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -190,7 +192,7 @@ def _occurrences(min_words: int):
                 at = np.concatenate(([0], np.cumsum(np.where(fresh, sizes, 0)))).astype(np.int32)
                 rows = pa.array(x["row"] + lo)
                 numbers = (pa.array(x[c].astype(np.int32)) for c in ("words", "chars"))
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x["no"].astype(np.int32)), pa.array(x["h"].view(np.int64)), *numbers, pa.array(x["sig"].view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))], names)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x["no"].astype(np.int32)), pa.array(x["h"].view(np.int64)), *numbers, *(pa.array(half) for half in np.ascontiguousarray(x["sig"].T).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))], names)
 
     return run
 
@@ -209,17 +211,21 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _similar_lines(percent: int):
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, percent) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series(all_similar(a.tolist(), b.tolist(), percent), dtype=bool)
 
     return check
 
 
 def _bound(percent: int):
-    """Whether two marks (chars, sig) leave room for similar lines."""
+    """Whether two marks (words, chars, sig, sig2) leave room for similar lines."""
 
     def possible(a: Column, b: Column) -> Column:
         lengths = 100 * F.least(a["chars"], b["chars"]) >= percent * F.greatest(a["chars"], b["chars"])
-        return lengths & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= MAX_BITS)
+        bits = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) + F.bit_count(a["sig2"].bitwiseXOR(b["sig2"]))
+        words, most = F.least(a["words"], b["words"]), F.lit(None).cast("int")
+        for least, at_most in sorted(MAX_BITS):
+            most = F.when(words >= least, at_most).otherwise(most)
+        return lengths & (bits <= most)
 
     return possible
 
@@ -230,7 +236,7 @@ def _members(occurrences: DataFrame) -> DataFrame:
     counts = entries.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c"))
     shared = save(counts.filter("lo < hi").select("key", "c"))
     met = entries.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.collect_set(F.struct("c", "key")).alias("met"))
-    lines = occurrences.filter(F.size("blocks") > 0).select("h", "words", F.size("blocks").alias("n_blocks"), F.struct("chars", "sig").alias("mark"))
+    lines = occurrences.filter(F.size("blocks") > 0).select("h", "words", F.size("blocks").alias("n_blocks"), F.struct("words", "chars", "sig", "sig2").alias("mark"))
     lines = save(met).join(lines, "h").dropDuplicates(["h"])
     asked = F.when(F.col("words") <= BRIEF, 3).when(F.col("words") <= THIRDED, 2).otherwise(F.ceil(F.col("n_blocks") / SHARE))
     asked = F.least(asked, F.col("n_blocks"))
@@ -246,7 +252,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
     """``doc_id, text_hash, lines`` (sorted numbers, from 0) of the lines that go."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
     with scratch() as kept:
-        schema = "doc_id long, text_hash long, line_no int, h long, words int, chars int, sig long, blocks array<long>"
+        schema = "doc_id long, text_hash long, line_no int, h long, words int, chars int, sig long, sig2 long, blocks array<long>"
         occurrences = save(rows.mapInArrow(_occurrences(min_words), schema))
         place = F.struct("doc_id", "text_hash", "line_no")
         nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
