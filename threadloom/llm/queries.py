@@ -21,7 +21,8 @@ from threadloom.llm.work import save, shared_dir, text_or_empty
 
 #: Rules of the URL filter: a host, a slash and the start of the path.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SHARD_BYTES = 4 << 20
+#: Small, so that tables of some megabytes are split to several depths.
+SHARD_BYTES = 1 << 16
 
 
 def tokenizer_path() -> str:
@@ -119,4 +120,41 @@ select l.doc_id, l.n_bytes, l.depth::int as shard_depth, s.prefix as shard_prefi
 from leaf l join sums s on s.depth = l.depth and s.prefix = l.hash60 >> (60 - l.depth)
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": _OP2}
+#: All exact containments; the query finds those that its signatures meet, which on small tables are all.
+_OP1 = """
+with words as (
+  select 0 as kind, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from documents
+  union all
+  select 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') from benchmark),
+sizes as (select distinct least(len(w), 5) as size from words where kind = 1 and len(w) > 0),
+grams as (
+  select distinct kind, id, size, unnest(list_transform(range(1, greatest(len(w) - size + 1, 1) + 1), lambda i: array_to_string(w[i : i + size - 1], ' '))) as g
+  from words, sizes where len(w) > 0 and (kind = 0 or least(len(w), 5) = size)),
+items as (select id, count(*) as n from grams where kind = 1 group by 1),
+hits as (select d.id as doc_id, i.id as item_id, count(*) as found from grams d join grams i on i.kind = 1 and d.kind = 0 and d.g = i.g and d.size = i.size group by 1, 2)
+select doc_id, item_id, n::int as n_shingles, found::int as n_found, found / n as containment from hits join items on items.id = item_id where found * 100 >= n * 80
+"""
+
+_OP7 = """
+with p as (select page_id, coalesce(html, '') as payload, min(page_id) over (partition by coalesce(html, '')) as first from pages),
+h as (select *, sha1(payload) as hex from p)
+select page_id, strlen(payload)::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(hex, (i // 4)::int * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31))::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from h
+"""
+
+_OP9 = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then []::ubigint[] when len(w) < 4 then [hash(array_to_string(w, ' '))]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: hash(w[i], w[i + 1], w[i + 2], w[i + 3]))) end as shingles from w),
+e as (select doc_id, len(shingles) as n, unnest(shingles) as g from s),
+links as (select a.doc_id as u, b.doc_id as v from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, l.v from reach r join links l on l.u = r.other),
+c as (select doc_id, min(other) as component_id from reach group by 1)
+select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_sharding": _OP2, "op7_warc": _OP7, "op9_near_dedup": _OP9}
