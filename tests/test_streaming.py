@@ -41,10 +41,10 @@ def _drip(spark, folder, schema, batches):
 
 def test_late_rows_are_left_out(spark, tmp_path):
     one = "select timestamp'2024-01-01 {}' ts, 'x' stage, {}D ms"
-    batches = [one.format("00:01:00", 1.0), one.format("01:00:00", 2.0), one.format("00:02:00", 9.0), one.format("03:00:00", 4.0)]
+    batches = [one.format("00:01:00", 1.0), one.format("01:00:00", 2.0), one.format("01:06:00", 3.0), one.format("00:02:00", 9.0), one.format("03:00:00", 4.0)]
     rows = streams.event_time(_drip(spark, f"{tmp_path}/late", "ts timestamp, stage string, ms double", batches))
     out = _run(spark, streams.stage_windows(rows), "late_windows", "append", tmp_path).orderBy("w").collect()
-    assert [(r["n"], r["max_ms"]) for r in out] == [(1, 1.0), (1, 2.0)]
+    assert [(r["n"], r["max_ms"]) for r in out] == [(1, 1.0), (1, 2.0), (1, 3.0)]
 
 
 def test_calls_meet_results_and_time_out_without(spark, tmp_path):
