@@ -78,7 +78,7 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_hashes(words[at[k] : at[k + 1]], size))
 
 
-def slices(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` characters, so that working arrays stay small."""
     start = used = 0
     for k, t in enumerate(texts):

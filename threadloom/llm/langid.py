@@ -156,8 +156,8 @@ def train(docs: DataFrame) -> Model:
     return Model(langs, counts)
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred, score, ambiguous``, which hide columns of those names."""
+def _judged(docs: DataFrame, model: Model | None, out: str) -> DataFrame:
+    """``docs`` with the struct ``out`` of ``lang_pred, score, ambiguous``."""
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights))
 
@@ -167,14 +167,23 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         own.langs, own.code, own.weights = shared.value
         for series in batches:
             texts = [t or "" for t in series]
-            parts = [own.predict(texts[lo:hi]) for lo, hi in slices(texts, 500_000)]
+            parts = [own.predict(texts[lo:hi]) for lo, hi in slices(texts, 200_000)]
             langs, score, close = ([x for p in parts for x in p[k]] for k in range(3))
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(score, dtype=float), "ambiguous": pd.Series(close, dtype=bool)})
 
-    rows = docs.drop("lang_pred", "score", "ambiguous", "_judged").withColumn("_judged", judge(F.col("text").cast("string")))
+    return docs.withColumn(out, judge(F.col("text").cast("string")))
+
+
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred, score, ambiguous``, which hide columns of those names."""
+    rows = _judged(docs.drop("lang_pred", "score", "ambiguous"), model, "_judged")
     return rows.select("*", "_judged.*").drop("_judged")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows whose language is recognised: neither ``und`` nor ambiguous."""
-    return identify(docs).filter(f"lang_pred <> '{UNKNOWN}' and not ambiguous").select(docs.columns)
+def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows whose language is recognised: neither ``und`` nor ambiguous; all their columns as they are."""
+    name = "_judged"
+    while name in docs.columns:
+        name += "_"
+    rows = _judged(docs, model, name)
+    return rows.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & ~F.col(f"{name}.ambiguous")).drop(name)

@@ -8,8 +8,7 @@ their halves and thirds too. A SimHash of 128 bits of the whole line, the sum of
 candidates by Hamming distance inside the join. Edit similarity of the normalised lines decides.
 Of every connected group one occurrence stays, the first by (doc_id, text hash, line number).
 
-Candidates share several blocks: three where a line has up to ``BRIEF`` words (one word put in
-another's place leaves a half and two thirds as they are), two up to ``THIRDED`` words, else one in
+Candidates share several blocks: two where a line has up to ``THIRDED`` words, else one in
 ``SHARE`` of all. So each shares one of its rarest blocks, and only those are joined on: common
 phrases, or a passage that many long lines quote, don't bring all of these together. Which links
 the blocks lose is measured in the README. Texts are read once more, for lines that share a block.
@@ -40,7 +39,7 @@ from threadloom.llm.work import save, scratch
 MIN_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Words up to which a line has blocks of its halves and thirds.
-BRIEF, HALVED, THIRDED = 8, 12, 24
+HALVED, THIRDED = 12, 24
 #: One of so many blocks at least is shared by candidates longer than that.
 SHARE = 5
 #: Words of the shorter line, from which on candidates differ in so many of 128 SimHash bits at most.
@@ -238,7 +237,7 @@ def _members(occurrences: DataFrame) -> DataFrame:
     met = entries.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.collect_set(F.struct("c", "key")).alias("met"))
     lines = occurrences.filter(F.size("blocks") > 0).select("h", "words", F.size("blocks").alias("n_blocks"), F.struct("words", "chars", "sig", "sig2").alias("mark"))
     lines = save(met).join(lines, "h").dropDuplicates(["h"])
-    asked = F.when(F.col("words") <= BRIEF, 3).when(F.col("words") <= THIRDED, 2).otherwise(F.ceil(F.col("n_blocks") / SHARE))
+    asked = F.when(F.col("words") <= THIRDED, 2).otherwise(F.ceil(F.col("n_blocks") / SHARE))
     asked = F.least(asked, F.col("n_blocks"))
     # blocks of no other line are the rarest of all
     joined = F.greatest(F.size("met") - asked + 1, F.lit(0)).cast("int")

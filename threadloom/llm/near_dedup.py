@@ -164,7 +164,7 @@ def _plausible(least: float):
             return pd.Series([], dtype=bool)
         known = sa.notna() & sb.notna()
         blank = bytes(2 * REGISTERS)
-        a, b = (np.frombuffer(b"".join(x.where(known, blank)), dtype=np.uint16).reshape(-1, REGISTERS) for x in (sa, sb))
+        a, b = (np.frombuffer(b"".join(y if y is not None else blank for y in x), dtype=np.uint16).reshape(-1, REGISTERS) for x in (sa, sb))
         value, used = estimate(a, b, na.fillna(1).to_numpy(), nb.fillna(1).to_numpy())
         # six standard errors: no true link is lost to the estimate
         margin = 6 * math.sqrt(least * (1 - least)) / np.sqrt(np.maximum(used, 1)) + 0.01

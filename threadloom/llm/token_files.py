@@ -88,7 +88,7 @@ def _dictionary(raw: bytes) -> dict:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary: int = 1 << 16) -> DataFrame:
     """Write the shards and the dictionary below ``folder``; returns the manifest.
 
-    ``vocabulary`` bounds the ids and sets their width. The manifest ``(shard, path, n_docs,
+    ``vocabulary`` bounds the ids and sets their width; a larger id is an error. The manifest ``(shard, path, n_docs,
     n_tokens, base)`` has one row per shard in the order of doc_id; ``base`` counts the ids of
     all shards before it. It is also kept as ``folder/manifest``.
     """
@@ -104,6 +104,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         for batch in batches:
             sizes, made = [], []
             for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
+                if ids.max() > np.iinfo(kind).max:
+                    raise ValueError(f"an id of {ids.max()} is outside a vocabulary of {vocabulary}")
                 sizes.append(len(ids))
                 made.append(press.compress(ids.astype(kind).tobytes()))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "shard", "n_tokens", "frame"])
