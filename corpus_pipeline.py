@@ -1,7 +1,15 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes all that the one before it kept; ``run`` writes every stage's rows as Parquet to
-shared storage and reads them back, so that no stage depends on the lineage of another.
+shared storage and reads them back, so that no stage depends on the lineage of another, and then
+deletes what the stage before wrote.
+
+Defined cases, for all stages: an empty table gives an empty one; all but the last stage keep all
+columns, whatever their names. A null or empty text has no language, so its row goes in the first
+stage; a text that loses all its lines in the second is empty from then on and stays. Rows that
+repeat doc_id and text are treated alike, so all go or all stay. Rows without doc_id pass: they
+keep their lines only where no document with an id has them later in order, and are never near
+duplicates or leaks; the packing takes each of them as a document.
 """
 
 from __future__ import annotations
