@@ -272,6 +272,20 @@ def test_pins_need_meaning_and_the_current_turn(spark):
     assert {r["position"] for r in out.filter("pinned").collect()} == {1, 2}
 
 
+def test_wires_and_their_costs(spark):
+    schema = "event_id long, id string, thread_id string, position int, tokens int"
+    selected = spark.createDataFrame([(1, "b", "t", 2, 5), (1, "a", "s", 9, 5), (1, "gone", "t", 0, 5)], schema)
+    local = spark.createDataFrame([(1, "c", "t", 3, 5), (1, "b", "t", 2, 5)], schema)
+    sent = assemble.wire(selected, local, spark.createDataFrame([(1, "gone")], "event_id long, id string"))
+    assert [r["id"] for r in sent.orderBy("wire_no").collect()] == ["a", "b", "c"]
+    assert assemble.wire_tokens(sent, 2, 10).first()["total"] == 31
+    groups = spark.createDataFrame([(1, ["a"]), (1, ["b", "c", "d"])], "event_id long, members array<string>")
+    assert assemble.closure_count(groups).first()["n_closure"] == 2
+    errors = ["This model's maximum context length is 8192 tokens", "prompt is too long", "rate limit", None]
+    rows = spark.createDataFrame([(k, e) for k, e in enumerate(errors)], "k int, e string").select("k", T.is_overflow(F.col("e")).alias("o")).orderBy("k").collect()
+    assert [r["o"] for r in rows] == [True, True, False, False]
+
+
 def test_reduction_and_scope(spark):
     links = spark.createDataFrame([(1, "c", "b"), (1, "b", "a"), (1, "c", "a"), (2, "c", "a")], "event_id long, id string, needs string")
     assert {tuple(r) for r in graph.reduced(links).collect()} == {(1, "c", "b"), (1, "b", "a"), (2, "c", "a")}

@@ -119,20 +119,18 @@ def pins(window: DataFrame) -> DataFrame:
     return window.withColumn("pinned", F.coalesce(F.col("position") == anchor, F.lit(False)) | F.coalesce(own, F.lit(False)))
 
 
-def in_one_thread(rows: DataFrame, *, delivered: DataFrame | None = None) -> DataFrame:
-    """Messages once an event, less what was ``delivered (event_id, id)``, numbered by thread, position and id."""
-    rows = rows.dropDuplicates(["event_id", "id"])
+def wire(selected: DataFrame, local: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """What is sent: selected and local messages once each, less what was ``delivered (event_id, id)``.
+
+    ``wire_no`` numbers them by thread, position and id.
+    """
+    rows = selected.unionByName(local).dropDuplicates(["event_id", "id"])
     if delivered is not None:
         rows = rows.join(delivered.select("event_id", "id"), ["event_id", "id"], "left_anti")
     order = Window.partitionBy("event_id").orderBy("thread_id", "position", "id")
     return rows.withColumn("wire_no", F.row_number().over(order))
 
 
-def wire(selected: DataFrame, local: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
-    """What is sent: selected and local messages once each, in chronological order."""
-    return in_one_thread(selected.unionByName(local), delivered=delivered)
-
-
 def overlapping(groups: DataFrame, local: DataFrame) -> DataFrame:
     """Delivery groups without those that share a member with the event's ``local (event_id, id)``."""
     own = local.groupBy("event_id").agg(F.collect_set("id").alias("_own"))
