@@ -156,3 +156,15 @@ def test_recall_of_line_candidates_by_similarity_alone(spark):
     # the first line of every pair stays or goes; the second goes where the pair's link is found
     found = sum(b in gone for _, b in near)
     assert len(near) > 200 and found >= 0.95 * len(near)
+
+
+def test_shards_are_written_to_a_folder_each(spark):
+    from threadloom.llm.sharding import assign_shards, write_shards
+
+    rows = [(k, "x" * (k % 40)) for k in range(300)] + [(None, "y")]
+    df, folder = spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark)
+    write_shards(df, folder, F.col("doc_id"), F.octet_length("text"), 900)
+    found = spark.read.parquet(folder)
+    assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter(rows)
+    shards = assign_shards(df, F.col("doc_id"), F.octet_length("text"), 900).select("shard_depth", "shard_prefix").distinct().count()
+    assert found.select("shard").distinct().count() == shards > 4
