@@ -49,13 +49,18 @@ def kept_share(level: int) -> float:
     return bins * -math.expm1(-1 / bins)
 
 
+def least_shingles(level: int, percent: int = PERCENT, miss: float = MISS) -> int:
+    """The fewest shingles of an item that is met at ``level`` with a chance of 1 - ``miss``."""
+    common = max(1, math.ceil(math.log(miss) / math.log1p(-kept_share(level)) - 1e-9))
+    return (common - 1) * 100 // percent + 1
+
+
 def level_of(shingles: int, percent: int = PERCENT, miss: float = MISS) -> int:
-    """The lowest level at which an item of so many shingles is met with a chance of 1 - ``miss``.
+    """The lowest level that does for an item of so many shingles.
 
-    The highest level where none is enough: then nearly all shingles are kept.
+    The highest level where none does: then nearly all shingles are kept.
     """
-    common = max(1, math.ceil(shingles * percent / 100))
-    return next((v for v in LEVELS if (1 - kept_share(v)) ** common <= miss), LEVELS[-1])
+    return next((v for v in LEVELS if shingles >= least_shingles(v, percent, miss)), LEVELS[-1])
 
 
 def signature(docs: DataFrame, levels: list[int]) -> DataFrame:
@@ -102,11 +107,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: in
 
 def _leaks(docs: DataFrame, items: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     items = save(_grams(items, words).withColumn("n", F.size("grams")))
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]
-    level = {n: level_of(n, percent, miss) for n in sizes}
-    levels = sorted(set(level.values()))
-    table = F.create_map(*[F.lit(x) for kv in level.items() for x in kv])
-    probes = save(items.select("item_id", F.explode("grams").alias("h"), F.element_at(table, F.col("n")).alias("item_level")))
+    sizes = items.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    levels = list(range(level_of(sizes["most"], percent, miss), level_of(sizes["least"], percent, miss) + 1))
+    own = F.lit(levels[-1])
+    for level in reversed(levels[:-1]):
+        own = F.when(F.col("n") >= least_shingles(level, percent, miss), level).otherwise(own)
+    probes = save(items.select("item_id", F.explode("grams").alias("h"), own.alias("item_level")))
     near = F.broadcast(probes) if probes.count() <= BROADCAST_KEYS else probes
     # the outer form infers no filter on the array, which would compute the signature twice
     bins = signature(_grams(docs, words), levels).select("doc_id", F.explode_outer("signature").alias("x")).select("doc_id", "x.h", "x.level")
