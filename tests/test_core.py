@@ -286,6 +286,24 @@ def test_wires_and_their_costs(spark):
     assert [r["o"] for r in rows] == [True, True, False, False]
 
 
+def test_ingest_keeps_the_last_vector_and_refuses_other_widths(spark):
+    from threadloom.operators import ingest
+
+    schema = "message_id string, chunk_index int, model_id string, vector array<float>"
+    messages = spark.createDataFrame([("a", "t", "user")], "id string, thread_id string, role string")
+    base = spark.createDataFrame([("a", 0, "m", [1.0], "t", "user"), ("a", 0, "n", [1.0], "t", "user")], schema + ", thread_id string, role string")
+    rows = spark.createDataFrame([("a", 0, "m", [2.0], 1), ("a", 0, "m", [3.0], 2), ("b", 0, "m", [4.0], 1)], schema + ", seq int")
+    out = ingest.put_vectors(base, rows, messages)
+    assert {(r["message_id"], r["model_id"], r["vector"][0]) for r in out.collect()} == {("a", "m", 3.0), ("a", "n", 1.0)}
+    assert ingest.of_one_width(ingest.of_model(out, "m"), 1).count() == 1
+    with pytest.raises(Exception, match="not 2 values but 1"):
+        ingest.of_one_width(out, 2).collect()
+    row = spark.createDataFrame([("m\0" + "3",), ("m",), ("m\0x",), ("m\0",)], "k string")
+    assert [tuple(r) for r in row.select(*ingest.key_parts(F.col("k"))).collect()] == [("m", 3), ("m", 0), ("m", 0), ("m", 0)]
+    times = spark.sql("select timestamp'2024-01-01' created_at union all select null")
+    assert ingest.stamped(times).filter("created_at is null").count() == 0
+
+
 def test_reduction_and_scope(spark):
     links = spark.createDataFrame([(1, "c", "b"), (1, "b", "a"), (1, "c", "a"), (2, "c", "a")], "event_id long, id string, needs string")
     assert {tuple(r) for r in graph.reduced(links).collect()} == {(1, "c", "b"), (1, "b", "a"), (2, "c", "a")}

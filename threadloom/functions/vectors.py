@@ -1,9 +1,12 @@
-"""Vector expressions: sign codes, int8 codes and similarities, all without Python."""
+"""Vector expressions: sign codes, int8 codes and similarities without Python, and stored bytes."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 CODE_BITS = 64
 
@@ -74,3 +77,15 @@ def bounded_score(raw, query) -> Column:
     """A raw inner product as a similarity from 0 to 1."""
     size = norm(query)
     return F.when(size > 0, F.greatest(F.least(_col(raw) / size, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+
+
+@F.pandas_udf(BinaryType())
+def encoded(vectors: pd.Series) -> pd.Series:
+    """A vector as little-endian 32-bit floats."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def decoded(raw: pd.Series) -> pd.Series:
+    """The vector of such bytes; null where a value is cut short."""
+    return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import blocks as B
 from threadloom.functions import stats as S
 from threadloom.functions import text as T
-from threadloom.operators import assemble, tables, threads
+from threadloom.operators import assemble, ingest, tables, threads
 from threadloom.plans.registry import query
 from threadloom.plans.thread_queries import MSG
 from threadloom.sources import tables as src
@@ -166,3 +166,9 @@ def answer_logits(spark, d):
 @query("file_names", "select page_id, case when n = '' then '' else n end as file_name from (select page_id, ltrim(trim(replace(split_part(rtrim(url, '/'), '/', -1), chr(92), '')), '.') as n from pages where url is not null)")
 def file_names(spark, d):
     return src.read(spark, d, "pages").filter("url is not null").select("page_id", T.safe_file_name(F.col("url")).alias("file_name"))
+
+
+@query("stored_chunks")
+def stored_chunks(spark, d):
+    """What is stored of every message, in small chunks."""
+    return ingest.chunked(src.contents(spark, d), 120, 20)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import vectors as V
-from threadloom.operators import assemble, detect, retrieval, telemetry
+from threadloom.operators import assemble, detect, ingest, retrieval, telemetry
 from threadloom.plans.registry import query
 from threadloom.sources import tables as src
 from threadloom.sources.scratch import save
@@ -254,3 +254,39 @@ def eval_stages(spark, d):
     two = telemetry.first_hits(top.filter("vec_id = query_id + 1"), top).withColumnRenamed("rank", "stage_two")
     size = v.agg((F.count("*") - 1).alias("n"))
     return one.join(two, "query_id", "left").crossJoin(F.broadcast(size)).select("query_id", "stage_one", F.coalesce("stage_two", "n").alias("stage_two"))
+
+
+@query("vec_bytes", "select vec_id, len(embedding) * 4 as n_bytes, round(list_sum(embedding::double[]), 6) as total, embedding[1]::double as first from embeddings")
+def vec_bytes(spark, d):
+    rows = src.vectors(spark, d).withColumn("raw", V.encoded("vector"))
+    back = rows.select("vec_id", F.octet_length("raw").cast("long").alias("n_bytes"), V.decoded("raw").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return back.select("vec_id", "n_bytes", F.round(total, 6).alias("total"), F.col("v")[0].cast("double").alias("first"))
+
+
+@query("vec_put", "select vec_id // 5 as message_id, vec_id % 5 as chunk_index, case when vec_id % 3 = 0 then embedding[2] else embedding[1] end::double as first, 't' || (vec_id // 5 % 7) as thread_id from embeddings where vec_id % 3 = 0 or vec_id % 2 = 0")
+def vec_put(spark, d):
+    """Even vectors stored, every third put over them, twice; reads by one model at one width."""
+    v = src.vectors(spark, d).withColumn("model_id", F.lit("m"))
+    messages = v.select(F.col("message_id").alias("id"), F.concat(F.lit("t"), F.col("message_id") % 7).alias("thread_id"), F.lit("user").alias("role")).distinct()
+    row = v.select("message_id", "chunk_index", "model_id", F.array(F.col("vector")[0]).alias("vector"), "vec_id")
+    new = v.filter("vec_id % 3 = 0").select("message_id", "chunk_index", "model_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(9.0).cast("float").alias("x")), F.struct(F.lit(2).alias("seq"), F.col("vector")[1].alias("x")))).alias("n"))
+    new = new.select("message_id", "chunk_index", "model_id", F.array("n.x").alias("vector"), "n.seq")
+    empty = ingest.put_vectors(row.limit(0).drop("vec_id").withColumns({"thread_id": F.lit(""), "role": F.lit("")}), row.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "seq"), messages)
+    kept = ingest.of_one_width(ingest.of_model(ingest.put_vectors(empty, new, messages), "m"), 1)
+    return kept.select("message_id", "chunk_index", F.col("vector")[0].cast("double").alias("first"), "thread_id")
+
+
+@query("chunk_keys", "select vec_id, vec_id // 5 as message, case when vec_id % 4 = 0 then 0 else vec_id % 5 end as part from embeddings")
+def chunk_keys(spark, d):
+    v = src.vectors(spark, d)
+    key = F.when(F.col("vec_id") % 4 != 0, ingest.chunk_key(F.col("message_id"), F.col("chunk_index"))).when(F.col("vec_id") % 8 == 0, F.col("message_id").cast("string")).otherwise(F.concat(F.col("message_id"), F.lit("\0x")))
+    message, part = ingest.key_parts(key)
+    return v.select("vec_id", message.cast("long").alias("message"), part.cast("long").alias("part"))
+
+
+@query("vec_wanted", "select vec_id from embeddings where vec_id // 5 in (select item_id from benchmark) and vec_id % 5 < 2")
+def vec_wanted(spark, d):
+    v = src.vectors(spark, d).withColumn("model_id", F.lit("m"))
+    keys = src.read(spark, d, "benchmark").select(F.col("item_id").alias("message_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("chunk_index"), F.lit("m").alias("model_id"))
+    return ingest.wanted(v, keys).select("vec_id")
