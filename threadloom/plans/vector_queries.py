@@ -56,12 +56,14 @@ def vec_int8_rerank(spark, d):
     return retrieval.best(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], 64, "rank").select("query_id", "vec_id", "score")
 
 
-@query("vec_codes", f"select e.vec_id, round({_SCALE}, 9) as scale, round(list_sum(list_transform(list_zip(e.embedding, list_transform(e.embedding, lambda x: greatest(least(round(x::double / {_SCALE}), 127), -128))), lambda x: abs(x[1]::double - x[2]::double * {_SCALE}))), 4) as lost from embeddings e")
+@query("vec_codes", f"select e.vec_id, round({_SCALE}, 9) as scale, round(list_sum(list_transform(list_zip(e.embedding, list_transform(e.embedding, lambda x: greatest(least(round(x::double / {_SCALE}), 127), -128))), lambda x: abs(x[1]::double - x[2]::double * {_SCALE}))), 6) as lost from embeddings e")
 def vec_codes(spark, d):
     """What int8 codes lose: the sum of differences after decoding."""
     rows = src.vectors(spark, d).withColumn("scale", V.int8_scale("vector")).withColumn("code", V.int8_code("vector", "scale"))
     gaps = F.zip_with("vector", V.dequantise("code", "scale"), lambda x, y: F.abs(x.cast("double") - y))
-    return rows.select("vec_id", F.round("scale", 9).alias("scale"), F.round(F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x), 4).alias("lost"))
+    # in one select with the rounded scale, the lambda would take that one
+    rows = rows.withColumn("lost", F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x))
+    return rows.select("vec_id", F.round("scale", 9).alias("scale"), F.round("lost", 6).alias("lost"))
 
 
 @query("vec_bounded_scores", f"select q.vec_id as query_id, e.vec_id, round(greatest(least(list_inner_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_inner_product(q.embedding::double[], q.embedding::double[])), 1.0), 0.0), 6) as score from embeddings e, embeddings q where {ASKED} and e.vec_id = q.vec_id + 1")
