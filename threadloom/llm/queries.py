@@ -13,7 +13,10 @@ from threadloom.llm.langid import held_out, identify
 from threadloom.llm.line_dedup import drop_repeated_lines
 from threadloom.llm.near_dedup import near_duplicates
 from threadloom.llm.packing import pack
+from threadloom.llm.phrases import collocations
+from threadloom.llm.pii import personal_data
 from threadloom.llm.sharding import assign_shards
+from threadloom.llm.spelling import variants
 from threadloom.llm.token_files import read_token_files, write_token_files
 from threadloom.llm.url_filter import judge, page_labels
 from threadloom.llm.warc import read_warc, write_warc
@@ -90,6 +93,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -101,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_personal_data": op11_personal_data,
+    "op12_collocations": op12_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The fewest prefix bits whose bucket fits the limit, found over all depths up to 40 bits.
@@ -157,4 +175,55 @@ c as (select doc_id, min(other) as component_id from reach group by 1)
 select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_sharding": _OP2, "op7_warc": _OP7, "op9_near_dedup": _OP9}
+#: All runs of one to five words, without the pruning that the query does.
+_OP12 = """
+with w as (
+  select row_number() over () as piece, lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents)),
+f as (
+  select lang, size, phrase, count(*) as n
+  from (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) as phrase from w, (select unnest(range(1, 6)) as size) where len(w) >= size)
+  group by 1, 2, 3),
+total as (select lang, sum(n) as n from f where size = 1 group by 1),
+c as (select lang, size, phrase, n as a from f where size > 1 and n >= 100),
+cuts as (
+  select c.lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') as first, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') as rest
+  from c, (select unnest(range(1, 5)) as k) where k < size),
+scored as (
+  select cuts.lang, cuts.phrase, a, k, x.n as l, y.n as r, t.n, (1000 * a::hugeint * t.n::hugeint) // (x.n::hugeint * y.n::hugeint) as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = first join f y on y.lang = cuts.lang and y.phrase = rest join total t on t.lang = cuts.lang),
+low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (
+  select low.* from low where not exists (
+    select 1 from c where c.lang = low.lang and c.size > len(string_split(low.phrase, ' ')) and c.a >= low.a and contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' ')))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from held qualify rank <= 2000
+"""
+
+#: The checksum by its bits, and neighbours by what is left of a word without one letter.
+_OP13 = """
+with recursive bits as (
+  select i as byte, 0 as step, i::bigint as v from range(0, 256) t(i)
+  union all select byte, step + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where step < 8),
+tab as (select list(v order by byte) as crc from bits where step = 8),
+runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) as run from documents),
+each as (select coalesce(doc_id::varchar, 'null') as id, run, count(*) as n, hex(encode(coalesce(doc_id::varchar, 'null') || ':' || run)) as hex from runs group by 1, 2),
+sums as (
+  select run, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(hex) // 2), lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) as h
+  from each, tab),
+spoilt as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from sums),
+w as (select word, sum(n)::bigint as n from spoilt group by 1 having length(word) >= 7 and sum(n) >= 2),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from w, lateral (select unnest(range(1, length(word) + 1)) as i)),
+near as (
+  select a.word, b.word as other, b.n as other_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join w b on a.rest = b.word
+  union select b.word, a.word, a.n from cut a join w b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(other_n) as top from near group by 1),
+form as (select w.word, min(other) as form, top as form_n from w join best using (word) join near on near.word = w.word and other_n = top where top >= 10 * w.n group by 1, 3),
+root(word, reached) as (select word, form from form union all select root.word, form.form from root join form on form.word = root.reached),
+ends as (select word, reached as root from root where reached not in (select word from form))
+select w.word, form, coalesce(root, w.word) as root, w.n, coalesce(n_near, 0)::bigint as n_near, form_n::bigint as form_n
+from w left join best using (word) left join form using (word) left join ends using (word)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_sharding": _OP2, "op7_warc": _OP7, "op9_near_dedup": _OP9, "op12_collocations": _OP12, "op13_spelling_variants": _OP13}
