@@ -47,8 +47,8 @@ _DOT = r" ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot "
 LOOSE = (
     rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:{_AT})[A-Za-z0-9-]{{1,63}}+(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}+)*+",
     rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:(?:{_DOT}|\.| \. )[0-9]{{1,3}}+){{3}}(?![0-9.])",
-    r"(?<![0-9])[0-9](?:[ ._/-]{0,3}[0-9]){12,18}+(?![0-9])",
-    r"(?<![0-9+])\(?[0-9](?:[ ().\/-]{0,3}[0-9]){8,14}+(?![0-9])",
+    r"(?<![0-9])(?<![0-9][ ._/-])[0-9](?:[ ._/-]{0,3}[0-9]){12,18}+(?![ ._/-]?[0-9])",
+    r"(?<![0-9+])(?<![0-9][ ).\/-])\(?[0-9](?:[ ().\/-]{0,3}[0-9]){8,14}+(?![ .\/-]?[0-9])",
 )
 #: What a text must hold for a pattern to be tried at all.
 _HINTS = ((r"@", r"@|(?i)[\[({ ]at[\])} ]"), (r"[0-9]\.[0-9]", r"[0-9]"), (r"[0-9]", r"[0-9]"), (r"\+[0-9]", r"[0-9]"))
