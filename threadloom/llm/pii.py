@@ -41,7 +41,7 @@ STRICT = (
     r"[0-9](?:[ -]?[0-9])++",
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
-_AT = r" ?[\[({] ?at ?[\])}] ?| at | ?@ ?"
+_AT = r" ?[\[({] ?at ?[\])}] ?| ?@ ?"
 _DOT = r" ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot "
 #: The loose patterns; bounded runs keep them linear.
 LOOSE = (
@@ -51,7 +51,7 @@ LOOSE = (
     r"(?<![0-9+])(?<![0-9][ ).\/-])\(?[0-9](?:[ ().\/-]{0,3}[0-9]){8,14}+(?![ .\/-]?[0-9])",
 )
 #: What a text must hold for a pattern to be tried at all.
-_HINTS = ((r"@", r"@|(?i)[\[({ ]at[\])} ]"), (r"[0-9]\.[0-9]", r"[0-9]"), (r"[0-9]", r"[0-9]"), (r"\+[0-9]", r"[0-9]"))
+_HINTS = ((r"@", r"@|(?i)[\[({] ?at ?[\])}]"), (r"[0-9]\.[0-9]", r"[0-9]"), (r"[0-9]", r"[0-9]"), (r"\+[0-9]", r"[0-9]"))
 _CUES = (
     r"\b(?:e-?mail|mail|contact|courriel|correo)\W*$",
     r"\b(?:ip|host|server|addr|address|adresse)\W*$",
