@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -130,9 +130,40 @@ def chunks(messages: DataFrame, key: str = "id", most: int = CHUNK_BYTES, overla
     return rows.mapInArrow(run, f"{key} string, chunk_index int, text string, byte_start int, byte_end int, tokens int")
 
 
-OVERFLOW = re.compile(r"context.{0,20}(length|window)|too many tokens|prompt is too long", re.I)
+#: Wordings by which models say that the context was too long, in lower case.
+OVERFLOW = (
+    "context window exceeds limit",
+    "context length exceeded",
+    "maximum context length",
+    "context_length_exceeded",
+    "prompt is too long",
+    "input is too long",
+    "requested tokens",
+    "exceeds the maximum",
+    "too many tokens",
+    "context window",
+)
 
 
 def is_overflow(error: Column) -> Column:
-    """Whether a model's error message says that the context was too long."""
-    return F.coalesce(error.rlike("(?i)" + OVERFLOW.pattern), F.lit(False))
+    """Whether a model's error message says that the context was too long; a null message doesn't."""
+    low = F.lower(error)
+    return F.coalesce(reduce(Column.__or__, [low.contains(p) for p in OVERFLOW]), F.lit(False))
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of a text's UTF-8 bytes, 64 bits, as ``decimal(20,0)``; null for null.
+
+    The product with 2^40 + 435 modulo 2^64 is worked out in two limbs of 32 bits.
+    """
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
+    low = 0xFFFFFFFF
+
+    def step(state: Column, pair: Column) -> Column:
+        lo = state["lo"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        part = lo * 435
+        return F.struct((state["hi"] * 435 + F.shiftright(part, 32) + F.shiftleft(lo, 8)).bitwiseAND(low).alias("hi"), part.bitwiseAND(low).alias("lo"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    whole = F.aggregate(pairs, start, step, lambda s: s["hi"].cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + s["lo"])
+    return F.when(text.isNotNull(), whole.cast("decimal(20,0)"))

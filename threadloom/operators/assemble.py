@@ -1,7 +1,9 @@
-"""Budgeted delivery: diversity, trimming and shedding.
+"""Budgeted delivery: diversity, trimming, shedding and chat messages.
 
-Greedy steps whose every choice depends on the last one run per event in pandas; an event's rows
-are the selected messages, which the graph walk's cap bounds. The rest are windows.
+Diversity, where every choice depends on the last one, runs per event in pandas; an event's rows are
+the selected messages, which the graph walk's cap bounds. The rest are joins, windows and running
+sums. Only ``canonical`` and ``wire`` take an event's messages into one window: they are what is
+sent, so a model's context bounds them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions import stats as S
 from threadloom.operators import threads
+from threadloom.operators.running import suffix_sums
 from threadloom.sources.scratch import save, scratch
 
 
@@ -25,18 +29,16 @@ def _similarity(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def diversify(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy order of one event: the best of score * (1 - closeness to what is kept or asked)."""
+    """Greedy order of one event: the best of score * (1 - closeness to what is kept or to the nearest that is asked)."""
     rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
     vectors = [None if v is None else np.asarray(v, float) for v in rows["vector"]]
-    asked = next((np.asarray(v, float) for v in rows["query_vector"] if v is not None), None)
+    asked = [np.asarray(v, float) for v in next((x for x in rows["query_vectors"] if x is not None), []) if v is not None]
     if all(v is None for v in vectors):
         return rows.assign(place=range(1, len(rows) + 1), effective=rows["score"])[["event_id", "id", "place", "effective"]]
-    near = np.array([_similarity(v, asked) for v in vectors])
+    near = np.array([max((_similarity(v, q) for q in asked), default=0.0) for v in vectors])
     left, order = list(range(len(rows))), []
     while left:
         gains = [rows["score"][k] * (1 - near[k]) for k in left]
-        if not order and asked is None:
-            gains = [rows["score"][k] for k in left]
         pick = left[int(np.argmax(gains))]
         order.append((pick, max(gains)))
         left.remove(pick)
@@ -47,8 +49,13 @@ def diversify(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mmr(selected: DataFrame) -> DataFrame:
-    """``selected (event_id, id, score, vector, query_vector)`` in greedy order of novelty."""
-    rows = selected.select(F.col("event_id").cast("long"), F.col("id").cast("string"), F.col("score").cast("double"), "vector", "query_vector")
+    """``selected (event_id, id, score, vector)`` in greedy order of novelty.
+
+    ``query_vectors`` has the vectors of all messages that ask (``query_vector`` where there is
+    one): what echoes any of them is discounted.
+    """
+    asked = F.col("query_vectors") if "query_vectors" in selected.columns else F.when(F.col("query_vector").isNotNull(), F.array("query_vector"))
+    rows = selected.select(F.col("event_id").cast("long"), F.col("id").cast("string"), F.col("score").cast("double"), "vector", asked.alias("query_vectors"))
     return rows.groupBy("event_id").applyInPandas(lambda p: diversify(p), "event_id long, id string, place int, effective double")
 
 
@@ -59,36 +66,37 @@ def merge_groups(groups: DataFrame) -> DataFrame:
     return merged.withColumnRenamed("key", "members")
 
 
-def shed(rows: pd.DataFrame, stance: float) -> pd.DataFrame:
-    """Drop the least dense groups of one event until those left fit; members count once."""
-    budget, fixed = int(rows["budget"].iloc[0]), int(rows["fixed"].iloc[0])
-    alive, price = set(range(len(rows))), 0.0
-    bits = [0.0 if s <= 0 else np.inf if s >= 1 else -np.log2(1 - s) for s in rows["score"]]
-    density = [(b - stance) / max(int(sum(c)), 1) for b, c in zip(bits, rows["costs"])]
-
-    def total() -> int:
-        cost = {m: c for k in alive for m, c in zip(rows["members"].iloc[k], rows["costs"].iloc[k])}
-        return fixed + int(sum(cost.values()))
-
-    while budget > 0 and alive and total() > budget:
-        worst = min(alive, key=lambda k: (density[k], rows["position"].iloc[k], rows["group_id"].iloc[k]))
-        alive.remove(worst)
-        price = max(price, density[worst])
-    over = budget > 0 and total() > budget
-    return pd.DataFrame({"event_id": rows["event_id"], "group_id": rows["group_id"], "kept": [k in alive for k in range(len(rows))], "price": price, "tokens": total(), "too_large": over})
-
-
 def density_shed(groups: DataFrame, stance: float = 1.0) -> DataFrame:
     """``groups (event_id, group_id, score, members, costs, budget)`` with ``kept`` and the event's price.
 
-    Optional columns: ``fixed``, tokens that are sent in any case (system text, local messages,
-    tools), and ``position``, by which ties are broken. ``tokens`` is what is left to send;
-    ``too_large`` says that even the fixed part exceeds the budget.
+    The least dense groups go until the rest fits. A group's density, bits beyond the stance for
+    each token of the group alone, does not change while others go, so what stays is always the end
+    of one order; a member that groups share is paid for by the last of them in that order, and
+    running sums tell where the rest fits. Optional columns: ``fixed``, tokens that are sent in any
+    case (system text, local messages, tools), and ``position``, by which ties are broken, then by
+    ``group_id``. ``price`` is the greatest density that went, ``tokens`` what is left to send;
+    ``too_large`` says that even the fixed part exceeds the budget. No limit where the budget is not
+    positive. A member has one cost in an event.
     """
     for name in ("fixed", "position"):
         groups = groups if name in groups.columns else groups.withColumn(name, F.lit(0))
-    rows = groups.select(F.col("event_id").cast("long"), F.col("group_id").cast("string"), F.col("score").cast("double"), "members", "costs", F.col("budget").cast("long"), F.col("fixed").cast("long"), F.col("position").cast("long"))
-    return rows.groupBy("event_id").applyInPandas(lambda p: shed(p, stance), "event_id long, group_id string, kept boolean, price double, tokens long, too_large boolean")
+    rows = groups.select("event_id", F.col("group_id").cast("string").alias("group_id"), F.col("score").cast("double").alias("score"), "members", "costs", *[F.col(c).cast("long").alias(c) for c in ("budget", "fixed", "position")])
+    alone = F.aggregate("costs", F.lit(0).cast("long"), lambda t, c: t + c)
+    order = ["density", "position", "group_id"]
+    with scratch() as kept:
+        rows = save(rows.withColumn("density", (S.bits_of_confidence(F.col("score")) - stance) / F.greatest(alone, F.lit(1))))
+        each = rows.select("event_id", F.struct(*order).alias("at"), F.explode(F.arrays_zip("members", "costs")).alias("m"))
+        last = each.groupBy("event_id", "m.members").agg(F.max(F.struct("at", "m.costs")).alias("last"))
+        paid = last.groupBy("event_id", "last.at").agg(F.sum("last.costs").alias("paid")).select("event_id", "at.*", "paid")
+        listed = rows.select("event_id", *order, "budget", "fixed")
+        sums = suffix_sums(listed.join(paid, ["event_id", *order], "left"), "event_id", order, "paid", "sent")
+        sums = save(sums.withColumn("kept", (F.col("budget") <= 0) | (F.col("fixed") + F.col("sent") <= F.col("budget"))))
+        gone = F.when(~F.col("kept"), F.greatest("density", F.lit(0.0)))
+        event = sums.groupBy("event_id").agg(F.coalesce(F.max(gone), F.lit(0.0)).alias("price"), (F.max("fixed") + F.coalesce(F.max(F.when(F.col("kept"), F.col("sent"))), F.lit(0))).cast("long").alias("tokens"), F.max("budget").alias("_budget"))
+        out = sums.select("event_id", "group_id", "kept").join(event, "event_id")
+        out = save(out.select("event_id", "group_id", "kept", "price", "tokens", ((F.col("_budget") > 0) & (F.col("tokens") > F.col("_budget"))).alias("too_large")))
+        kept.append(out)
+    return out
 
 
 def trim_oldest(window: DataFrame) -> DataFrame:
@@ -167,8 +175,9 @@ def assemble(selected: DataFrame, local: DataFrame, messages: DataFrame, blocks:
     one, those that touch local messages are sent anyway and go. The least dense groups are shed
     until the rest fits. Wire: ``event_id, wire_no, id, source`` (``selected`` before ``local``).
     Report: ``event_id, n_selected, n_closure, n_shed, tokens, price, outcome``; the outcome is
-    ``ok``, ``local too large`` or the problem of a group (``missing``, ``ambiguous``), which leaves
-    the event without wire.
+    ``ok``, ``local too large``, the problem of a group (``missing``, ``ambiguous``) or ``missing
+    content`` (a selected, local or bound id without a message), all of which leave the event
+    without wire.
     """
     stance = -math.log2(1 - loss_ratio)
     with scratch() as kept:
@@ -187,7 +196,10 @@ def assemble(selected: DataFrame, local: DataFrame, messages: DataFrame, blocks:
         ready = costed.join(limits, "event_id").select("event_id", F.array_join("root_ids", ",").alias("group_id"), "root_ids", "members", "score", F.transform("c", lambda x: x["cost"]).alias("costs"), F.transform("c", lambda x: x["id"]).alias("of"), "budget", "fixed", "position")
         ready = save(ready.drop("members").withColumnRenamed("of", "members"))
         shed_rows = save(density_shed(ready, stance))
-        problems = closed.unionByName(own).groupBy("event_id").agg(F.min("problem").alias("problem"))
+        bound = closed.unionByName(own)
+        absent = bound.select("event_id", F.explode("members").alias("id")).join(facts.select("id"), "id", "left_anti")
+        found = bound.select("event_id", "problem").unionByName(absent.select("event_id", F.lit("missing content").alias("problem")))
+        problems = found.groupBy("event_id").agg(F.min("problem").alias("problem"))
         left = ready.join(shed_rows.filter("kept").select("event_id", "group_id"), ["event_id", "group_id"])
         counts = left.groupBy("event_id").agg(F.count("*").alias("n_selected"), F.sum(F.size("members") - 1).alias("n_closure"))
         dropped = ready.join(shed_rows.filter("not kept").select("event_id", "group_id"), ["event_id", "group_id"]).groupBy("event_id").agg(F.sum(F.size("root_ids")).alias("n_shed"))
@@ -209,56 +221,49 @@ def assemble(selected: DataFrame, local: DataFrame, messages: DataFrame, blocks:
     return out, report
 
 
-def _canonical(blocks: pd.DataFrame) -> list[tuple]:
-    """One event's blocks, in order, as ``(role, text, thinking, call_ids, call_id)`` chat messages."""
-    atoms: list[tuple] = []
-    for _, rows in blocks.groupby("wire_no", sort=True):
-        said = {k: [t or "" for t in rows["text"][rows["kind"] == k]] for k in ("text", "thinking")}
-        if said["text"] or said["thinking"]:
-            atoms.append(("text", rows["role"].iloc[0], "\n".join(said["text"]), "\n".join(said["thinking"])))
-        for kind in ("tool_call", "tool_result"):
-            atoms += [(kind, r.call_id, r.text or "") for r in rows[rows["kind"] == kind].itertuples()]
-    answered = {a[1] for a in atoms if a[0] == "tool_result"}
-    out: list[tuple] = []
-    used, waiting, at = set(), [], 0
-    while at < len(atoms):
-        atom, at = atoms[at], at + 1
-        if atom[0] == "text":
-            _, role, text, thinking = atom
-            thoughts = [*waiting, thinking] if thinking else waiting
-            if text:
-                out.append((role, text, "\n".join(thoughts), [], None))
-                thoughts = []
-            waiting = thoughts
-        elif atom[0] == "tool_call":
-            run = [atom]
-            while at < len(atoms) and atoms[at][0] == "tool_call":
-                run.append(atoms[at])
-                at += 1
-            ids = [a[1] for a in run if a[1] in answered]
-            if ids:
-                out.append(("assistant", "", "\n".join(waiting), ids, None))
-                for k in range(at, len(atoms)):
-                    if atoms[k][0] == "tool_result" and atoms[k][1] in ids and k not in used:
-                        used.add(k)
-                        out.append(("tool", atoms[k][2], "", [], atoms[k][1]))
-            waiting = []
-    return out
-
-
 def canonical(wire_blocks: DataFrame) -> DataFrame:
     """Chat messages from ``wire_blocks (event_id, wire_no, block_no, role, kind, text, call_id)``.
 
-    Calls without result and results without call go; consecutive calls are one message, their
-    results follow it; thinking waits for the next text or call, and goes where none follows. An
-    event's wire fits a model's context, so it is one group.
+    A message says its texts first, then makes its calls, then gives its results. Calls without
+    result and results without call before them go; neighbouring calls are one message and their
+    results follow it; thinking goes along with the next text or calls, and goes where none follow.
+    Returns ``event_id, message_no, role, text, thinking, call_ids, call_id, calls``; ``calls`` has
+    id, name and arguments, null where ``wire_blocks`` lacks them. A null text is empty.
     """
-    columns = "event_id long, message_no int, role string, text string, thinking string, call_ids array<string>, call_id string"
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        made = _canonical(p.sort_values(["wire_no", "block_no"]))
-        rows = [(p["event_id"].iloc[0], k, *m) for k, m in enumerate(made)]
-        return pd.DataFrame(rows, columns=["event_id", "message_no", "role", "text", "thinking", "call_ids", "call_id"])
-
-    rows = wire_blocks.select(F.col("event_id").cast("long"), "wire_no", "block_no", "role", "kind", "text", "call_id")
-    return rows.groupBy("event_id").applyInPandas(run, columns)
+    for name in ("name", "arguments"):
+        wire_blocks = wire_blocks if name in wire_blocks.columns else wire_blocks.withColumn(name, F.lit(None).cast("string"))
+    blocks = wire_blocks.withColumn("text", F.coalesce("text", F.lit("")))
+    place = F.struct("wire_no", "stage", "block_no")
+
+    def joined(kind: str):
+        texts = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("block_no", "text"))))
+        return F.array_join(F.transform(texts, lambda x: x["text"]), "\n")
+
+    said = blocks.filter(F.col("kind").isin("text", "thinking")).groupBy("event_id", "wire_no").agg(F.min_by("role", "block_no").alias("role"), joined("text").alias("text"), joined("thinking").alias("thinking"))
+    nothing = F.lit(None).cast("string")
+    said = said.select("event_id", "wire_no", F.lit(0).alias("stage"), F.lit(0).alias("block_no"), "role", "text", "thinking", nothing.alias("call_id"), nothing.alias("name"), nothing.alias("arguments"))
+    of = lambda kind, stage: blocks.filter(F.col("kind") == kind).select("event_id", "wire_no", F.lit(stage).alias("stage"), "block_no", "role", "text", F.lit("").alias("thinking"), "call_id", "name", "arguments")
+    event = Window.partitionBy("event_id").orderBy("wire_no", "stage", "block_no")
+    atoms = said.unionByName(of("tool_call", 1)).unionByName(of("tool_result", 2))
+    opens = (F.col("stage") == 1) & (F.coalesce(F.lag("stage").over(event), F.lit(0)) != 1)
+    atoms = atoms.withColumn("speaks", opens | ((F.col("stage") == 0) & (F.col("text") != "")))
+    with scratch() as kept:
+        # a turn is a text or a run of calls; what is only thought belongs to the next one
+        atoms = save(atoms.withColumn("turn", F.sum(F.col("speaks").cast("int")).over(event.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", place))
+        thoughts = atoms.filter("thinking <> ''").groupBy("event_id", (F.col("turn") + F.when(F.col("speaks"), 0).otherwise(1)).alias("turn"))
+        thoughts = thoughts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "thinking"))), lambda x: x["thinking"]), "\n").alias("thinking"))
+        calls, results = atoms.filter("stage = 1"), atoms.filter("stage = 2")
+        answered = calls.join(results.select("event_id", "call_id").distinct(), ["event_id", "call_id"], "left_semi")
+        none = F.array().cast("array<struct<id:string,name:string,arguments:string>>")
+        texts = atoms.filter("stage = 0 and text <> ''").select("event_id", "turn", F.lit(0).alias("part"), "place", "role", "text", nothing.alias("call_id"), none.alias("calls"))
+        made = F.transform(F.sort_array(F.collect_list(F.struct("place", F.struct(F.col("call_id").alias("id"), "name", "arguments").alias("call")))), lambda x: x["call"])
+        runs = answered.groupBy("event_id", "turn").agg(F.min("place").alias("place"), made.alias("calls")).select("event_id", "turn", F.lit(0).alias("part"), "place", F.lit("assistant").alias("role"), F.lit("").alias("text"), nothing.alias("call_id"), "calls")
+        first = calls.groupBy("event_id", "call_id", "turn").agg(F.min("place").alias("asked"))
+        given = results.drop("turn").join(first, ["event_id", "call_id"]).filter("asked < place").groupBy("event_id", "place", "text", "call_id").agg(F.min("turn").alias("turn"))
+        given = given.select("event_id", "turn", F.lit(1).alias("part"), "place", F.lit("tool").alias("role"), "text", "call_id", none.alias("calls"))
+        rows = texts.unionByName(runs).unionByName(given).join(thoughts, ["event_id", "turn"], "left")
+        number = F.row_number().over(Window.partitionBy("event_id").orderBy("turn", "part", "place")) - 1
+        thinking = F.when(F.col("part") == 0, F.coalesce("thinking", F.lit(""))).otherwise("")
+        out = save(rows.select("event_id", number.alias("message_no"), "role", "text", thinking.alias("thinking"), F.transform("calls", lambda c: c["id"]).alias("call_ids"), "call_id", "calls"))
+        kept.append(out)
+    return out

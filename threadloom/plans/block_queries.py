@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import blocks as B
 from threadloom.functions import stats as S
 from threadloom.functions import text as T
-from threadloom.operators import assemble, ingest, tables, threads
+from threadloom.operators import assemble, fold, ingest, tables, threads
 from threadloom.plans.registry import query
 from threadloom.plans.thread_queries import MSG
 from threadloom.sources import tables as src
@@ -89,11 +89,72 @@ def assemble_report(spark, d):
     return _assembled(spark, d)[1].withColumn("price", F.round("price", 6))
 
 
-@query("canonical_wire")
+_CHAT = f"""with {_C}, atoms as (
+  select thread_id as event_id, position, 0 as stage, role, case when has_text then t else '' end as text, case when thinks then 'so ' || left(t, 20) else '' end as thinking from c where has_text or thinks
+  union all select thread_id, position, 1, 'assistant', '', '' from c where has_call
+  union all select thread_id, position, 2, 'tool', left(t, 10), '' from c where has_result),
+n as (select *, (stage = 0 and text <> '') or stage = 1 as speaks from atoms),
+o as (select *, sum(speaks::int) over (partition by event_id order by position, stage) as turn from n),
+h as (select event_id, turn + (not speaks)::int as turn, string_agg(thinking, chr(10) order by position) as thinking from o where thinking <> '' group by 1, 2),
+r as (select k.event_id, k.turn, r.position, r.text, 'k' || k.position as call_id, k.position as asked from o r join o k on k.event_id = r.event_id and k.stage = 1 and k.position = r.position - 1 where r.stage = 2),
+rows as (
+  select o.event_id, o.turn, 0 as part, o.role, o.text, coalesce(h.thinking, '') as thinking, '' as call_ids, null as call_id, '' as arguments from o left join h using (event_id, turn) where stage = 0 and o.text <> ''
+  union all select r.event_id, r.turn, 0, 'assistant', '', coalesce(h.thinking, ''), r.call_id, null, '{{"q":"' || asked || '"}}' from r left join h using (event_id, turn)
+  union all select event_id, turn, 1, 'tool', text, '', '', call_id, '' from r)
+select event_id, (row_number() over (partition by event_id order by turn, part) - 1)::int as message_no, role, text, thinking, call_ids, call_id, arguments from rows"""
+
+
+def _chat(out):
+    return out.withColumns({"call_ids": F.array_join("call_ids", ","), "arguments": F.array_join(F.transform("calls", lambda c: c["arguments"]), ",")}).drop("calls")
+
+
+@query("canonical_wire", _CHAT)
 def canonical_wire(spark, d):
-    rows = src.blocks(spark, d).select(F.col("thread_id").alias("event_id"), F.col("position").alias("wire_no"), "block_no", "role", "kind", "text", "call_id")
-    out = assemble.canonical(rows)
-    return out.withColumn("call_ids", F.array_join("call_ids", ","))
+    """Chat messages of whole threads."""
+    rows = src.blocks(spark, d).withColumnsRenamed({"thread_id": "event_id", "position": "wire_no"})
+    return _chat(assemble.canonical(rows))
+
+
+@query("assembled_chat")
+def assembled_chat(spark, d):
+    """Chat messages of what ``assemble_wire`` sends."""
+    wire, _ = _assembled(spark, d)
+    rows = wire.select("event_id", "wire_no", F.col("id").alias("message_id")).join(src.blocks(spark, d).drop("thread_id", "position"), "message_id")
+    return _chat(assemble.canonical(rows))
+
+
+_PARTS = """p as (select user_id as thread_id, 'd' || (day(ts) // 8) as turn_id, event_id as seq, event_type || event_id as text, coalesce(props, '') as arguments,
+  case event_type when 'view' then 'text' when 'signup' then 'thinking' when 'click' then 'tool_call' when 'purchase' then 'tool_result' else 'error' end as kind,
+  case when event_type = 'signup' and event_id % 4 = 0 then 's' || event_id else '' end as signature,
+  case when event_type not in ('click', 'purchase') or event_id % 89 = 0 then '' else 'k' || (event_id % 5) end as call_id from events),
+b as (select *, min(case when kind = 'tool_call' and call_id = '' then seq end) over (partition by thread_id, turn_id) as bad from p),
+r as (select *, kind = 'tool_call' and call_id <> '' and row_number() over (partition by thread_id, turn_id, kind, call_id order by seq) = 1 as is_new from b where bad is null or seq <= bad),
+g as (select *, coalesce(sum((is_new or (kind = 'thinking' and signature <> ''))::int) over (partition by thread_id, turn_id order by seq rows between unbounded preceding and 1 preceding), 0) as grp from r),
+t as (select thread_id, turn_id, bool_or(bad is not null) as broken, arg_max(text, seq) filter (kind = 'error') as error, coalesce(string_agg(text, '' order by seq) filter (kind = 'text'), '') as said from r group by 1, 2),
+h as (select thread_id, turn_id, grp, string_agg(text, '' order by seq) as thinking from g where kind = 'thinking' group by 1, 2, 3),
+e as (select h.*, g.seq, case when g.kind = 'thinking' then g.signature else '' end as signature from h left join g on g.thread_id = h.thread_id and g.turn_id = h.turn_id and g.grp = h.grp and (g.is_new or (g.kind = 'thinking' and g.signature <> ''))),
+k as (select g.thread_id, g.turn_id, g.seq, g.call_id, case when arguments = '' then '{}' else arguments end as arguments, (select min(x.seq) from r x where x.thread_id = g.thread_id and x.turn_id = g.turn_id and x.kind = 'tool_result' and x.call_id = g.call_id and x.seq > g.seq) as answer from g where is_new),
+f as (select t.thread_id, t.turn_id, said, coalesce(thinking, '') as thinking from t left join e on e.thread_id = t.thread_id and e.turn_id = t.turn_id and e.seq is null where not broken and (said <> '' or thinking is not null))"""
+
+_FOLDED = f"""with {_PARTS}, every as (
+  select thread_id, turn_id, 0 as late, seq, 0 as sub, 'thinking' as kind, '' as text, thinking, signature, '' as call_id, '' as name, '' as arguments, false as is_error, false as open from e where seq is not null
+  union all select thread_id, turn_id, 0, seq, 1, 'tool_call', '', '', '', call_id, 'f', arguments, false, broken and answer is null from k join t using (thread_id, turn_id)
+  union all select k.thread_id, k.turn_id, 0, answer, 2, 'tool_result', p.text, '', '', k.call_id, '', '', false, false from k join p on p.seq = answer
+  union all select thread_id, turn_id, 1, seq, 0, 'tool_result', case when error is null then 'Tool execution ended without a result.' else 'Tool execution failed: ' || error end, '', '', call_id, '', '', true, false from k join t using (thread_id, turn_id) where answer is null and not broken
+  union all select thread_id, turn_id, 2, 0, 0, 'final', said, thinking, '', '', '', '', false, false from f),
+numbered as (select *, row_number() over (partition by thread_id, turn_id order by late, seq, sub) as message_no from every)
+select thread_id, turn_id, message_no, kind, text, thinking, signature, call_id, name, arguments, is_error from numbered where not open"""
+
+
+@query("turn_messages", _FOLDED)
+def turn_messages(spark, d):
+    """Messages of turns, folded from events taken as parts of a model's reply."""
+    return fold.fold(src.parts(spark, d))[0]
+
+
+@query("turn_outcomes", f"with {_PARTS} select t.thread_id, t.turn_id, case when broken then 'call without id' when f.thread_id is not null then 'message' when error is not null then 'error: ' || error else 'no response' end as outcome from t left join f using (thread_id, turn_id)")
+def turn_outcomes(spark, d):
+    return fold.fold(src.parts(spark, d))[1]
 
 
 @query("tool_schema_tokens", """select event_id, (strlen('{"type":"function","function":{"name":"' || event_type || '","description":"","parameters":' || case when coalesce(props, '') = '' then '{}' else props end || '}}') + 3) // 4 as tokens from events""")

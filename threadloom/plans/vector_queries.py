@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import vectors as V
-from threadloom.operators import assemble, detect, ingest, retrieval, telemetry
+from threadloom.operators import assemble, detect, ingest, retrieval, telemetry, vector_index
 from threadloom.plans.registry import query
 from threadloom.sources import tables as src
-from threadloom.sources.scratch import save
+from threadloom.sources.scratch import save, scratch_folder
 
 _DOT = "list_inner_product({a}::double[], {b}::double[])"
 _COS = "round(list_inner_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_inner_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_inner_product(q.embedding::double[], q.embedding::double[]))), 6)"
@@ -82,6 +82,39 @@ def vec_knn_cosine(spark, d):
     return retrieval.nearest(_queries(spark, d), src.vectors(spark, d), 10)
 
 
+@query("index_knn", _knn("true"))
+def index_knn(spark, d):
+    """The nearest rows by the bucketed index, widened until nothing better can be left."""
+    with scratch_folder(spark) as folder:
+        index = vector_index.build(src.vectors(spark, d), folder=folder)
+        return vector_index.nearest(index, _queries(spark, d), 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query("index_knn_thread", _knn("e.label = q.label and e.vec_id <> q.vec_id"))
+def index_knn_thread(spark, d):
+    """As above, with the predicate below the ranking."""
+    with scratch_folder(spark) as folder:
+        index = vector_index.build(src.vectors(spark, d), folder=folder)
+        where = (F.col("thread_id") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id"))
+        return vector_index.nearest(index, _queries(spark, d), 10, where).select("query_id", "vec_id", "score", "rank")
+
+
+@query("index_search", f"with s as (select q.vec_id as query_id, e.vec_id // 5 as message_id, e.vec_id, {_COS} as score from embeddings e, embeddings q where {ASKED}), b as (select * from s qualify row_number() over (partition by query_id, message_id order by score desc, vec_id) = 1) select *, row_number() over (partition by query_id order by score desc, message_id) as rank from b qualify rank <= 10")
+def index_search(spark, d):
+    """The best messages of every query, each by its best chunk, from the index."""
+    with scratch_folder(spark) as folder:
+        index = vector_index.build(src.vectors(spark, d), folder=folder)
+        return vector_index.nearest(index, _queries(spark, d), 10, of="message_id", then=vector_index.best_chunk).select("query_id", "message_id", "vec_id", "score", "rank")
+
+
+@query("index_probed")
+def index_probed(spark, d):
+    """The nearest rows among the eight nearest buckets; a test holds its recall."""
+    with scratch_folder(spark) as folder:
+        index = vector_index.build(src.vectors(spark, d), folder=folder)
+        return vector_index.nearest(index, _queries(spark, d), 10, exact=False).select("query_id", "vec_id", "score", "rank")
+
+
 @query("vec_knn_thread", _knn("e.label = q.label"))
 def vec_knn_thread(spark, d):
     return retrieval.nearest(_queries(spark, d), src.vectors(spark, d), 10, F.col("thread_id") == F.col("query_label"))
@@ -189,7 +222,17 @@ def mmr_rank(spark, d):
     return assemble.mmr(_selected(spark, d)).withColumn("effective", F.round("effective", 6))
 
 
-@query("density_shed")
+_SHED = f"""with {_CAND}, g as (select event_id, id::varchar as group_id, score, case when id % 3 = 0 then list_distinct([id, id - id % 9]) else [id] end as members from c),
+each as (select event_id, group_id, score, unnest(members) as m from g),
+dense as (select event_id, group_id, (case when score <= 0 then 0 when score >= 1 then 'infinity'::double else -log2(1 - score) end - 1) / sum(10 + m % 30) as density from each group by event_id, group_id, score),
+placed as (select *, row_number() over (partition by event_id order by density, group_id) as place from dense),
+lasting as (select event_id, m, max(place) as place from each join placed using (event_id, group_id) group by 1, 2),
+sums as (select p.event_id, p.group_id, p.density, 35 + sum(10 + l.m % 30) as sent from placed p join lasting l on l.event_id = p.event_id and l.place >= p.place group by 1, 2, 3)
+select event_id, group_id, sent <= 400 as kept, round(coalesce(max(case when sent > 400 then greatest(density, 0) end) over event, 0), 9) as price,
+  coalesce(max(case when sent <= 400 then sent end) over event, 35)::bigint as tokens, false as too_large from sums window event as (partition by event_id)"""
+
+
+@query("density_shed", _SHED)
 def density_shed(spark, d):
     """Groups of one or two candidates, some of which share a member."""
     c = _candidates(spark, d)

@@ -57,6 +57,17 @@ def free(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A fresh shared folder that goes at the end."""
+    folder = shared_dir(spark)
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch() -> Iterator[list]:
     """Delete the tables saved inside, other than those put into the yielded list, at its end."""

@@ -77,3 +77,24 @@ def ancestry(spark: SparkSession, folder: str) -> DataFrame:
     to = rows.select(F.col("message_id").alias("to_id"), F.explode(F.array(F.struct(F.lit(1).alias("back"), F.lit(0.9).alias("score")), F.struct(F.lit(5).alias("back"), F.lit(0.7).alias("score")))).alias("x"))
     to = to.select((F.col("to_id") - F.col("x.back")).alias("from_id"), "to_id", "x.score").filter("from_id >= 0 and from_id div 20 = to_id div 20")
     return to.join(rows.withColumnRenamed("message_id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "score")
+
+
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as the parts that a model's replies emit, eight days of a user being a turn; see ``operators.fold``."""
+    rows = read(spark, folder, "events")
+    kinds = {"view": "text", "signup": "thinking", "click": "tool_call", "purchase": "tool_result"}
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")], F.lit("error"))
+    number = F.col("event_id")
+    paired = F.col("event_type").isin("click", "purchase") & (number % 89 != 0)
+    return rows.select(
+        F.col("user_id").alias("thread_id"),
+        F.concat(F.lit("d"), F.expr("day(ts) div 8")).alias("turn_id"),
+        number.alias("seq"),
+        kind.alias("kind"),
+        F.concat("event_type", number).alias("text"),
+        F.when((F.col("event_type") == "signup") & (number % 4 == 0), F.concat(F.lit("s"), number)).alias("signature"),
+        F.when(paired, F.concat(F.lit("k"), number % 5)).alias("call_id"),
+        F.lit("f").alias("name"),
+        F.col("props").alias("arguments"),
+        F.col("ts"),
+    )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from threadloom.operators import fold
 from threadloom.operators.retrieval import coded
+from threadloom.operators.series import in_series
 from threadloom.operators.telemetry import BAND, RING
 
 LATE = "10 minutes"
@@ -77,6 +79,112 @@ def token_scales(usage: DataFrame, ring: int = RING) -> DataFrame:
     return usage.groupBy("model").transformWithStateInPandas(_Ring(ring), "model string, scale double", "Update", "none")
 
 
+class _Turn(StatefulProcessor):
+    """Folds a turn's parts as they come; see ``operators.fold`` for the rules."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buffers = handle.getValueState("buffers", "said string, thought string, error string, made long, broken boolean")
+        self.calls = handle.getMapState("calls", "call_id string", "message_no long, name string, arguments string, signature string, paired boolean")
+
+    def _row(self, key, no: int, kind: str, **fields) -> tuple:
+        names = [x.split(" ")[0] for x in fold.MESSAGE.split(", ")][2:]
+        return (*key, no, kind, *(fields.get(n, False if n == "is_error" else "") for n in names))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*fold.KEY, *(x.split(" ")[0] for x in fold.MESSAGE.split(", "))])
+
+    def _pair(self, key, call_id: str, call, no: int, text: str, is_error: bool) -> list[tuple]:
+        own = {"call_id": call_id, "name": call[1], "arguments": call[2], "signature": call[3]}
+        self.calls.updateValue((call_id,), (*call[:4], True))
+        return [self._row(key, call[0], "tool_call", **own), self._row(key, no, "tool_result", text=text, call_id=call_id, is_error=is_error)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        said, thought, error, made, broken = self.buffers.get() or ("", "", None, 0, False)
+        out: list[tuple] = []
+        parts = pd.concat(list(rows)).sort_values("seq")
+        for part in parts.itertuples():
+            text, signature, call_id = ("" if pd.isna(x) else x for x in (part.text, part.signature, part.call_id))
+            if broken:
+                break
+            if part.kind == "tool_call" and not call_id:
+                broken = True
+            elif part.kind == "text":
+                said += text
+            elif part.kind == "error":
+                error = text
+            elif part.kind == "thinking" or (part.kind == "tool_call" and not self.calls.containsKey((call_id,))):
+                is_call = part.kind == "tool_call"
+                thought += "" if is_call else text
+                if thought and (is_call or signature):
+                    made += 1
+                    out.append(self._row(key, made, "thinking", thinking=thought, signature="" if is_call else signature))
+                    thought = ""
+                if is_call:
+                    made += 1
+                    name, arguments = ("" if pd.isna(x) else x for x in (part.name, part.arguments))
+                    self.calls.updateValue((call_id,), (made, name, arguments or "{}", signature, False))
+            elif part.kind == "tool_result" and self.calls.containsKey((call_id,)):
+                call = self.calls.getValue((call_id,))
+                if not call[4]:
+                    made += 1
+                    out += self._pair(key, call_id, call, made, text, False)
+        self.buffers.update((said, thought, error, made, broken))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(parts["ts"].max().timestamp() * 1000) + self.quiet_ms)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        said, thought, error, made, broken = self.buffers.get()
+        out: list[tuple] = []
+        if not broken:
+            text = fold.NO_RESULT if error is None else fold.FAILED + error
+            for (call_id,), call in sorted(self.calls.iterator(), key=lambda x: x[1][0]):
+                if not call[4]:
+                    made += 1
+                    out += self._pair(key, call_id, call, made, text, True)
+            if said or thought:
+                out.append(self._row(key, made + 1, "final", text=said, thinking=thought))
+        self.buffers.clear()
+        self.calls.clear()
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def turn_messages(parts: DataFrame, quiet: int = 600) -> DataFrame:
+    """Messages of turns as state: ``parts`` as in ``operators.fold``, with event time ``ts`` and a watermark.
+
+    A pair comes out with its result, thinking when it ends; what is open comes out once the
+    watermark is ``quiet`` seconds past a turn's last part. Parts of a turn come in the order of
+    ``seq``, within a micro-batch in any order.
+    """
+    schema = f"{fold.KEY[0]} long, {fold.KEY[1]} string, {fold.MESSAGE}"
+    return parts.groupBy(*fold.KEY).transformWithStateInPandas(_Turn(quiet * 1000), schema, "Append", "eventTime")
+
+
+def priced(stream: DataFrame, run: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str):
+    """Events ``(thread_id, event_id, event_no)`` in series, micro-batch after micro-batch; see ``operators.series``.
+
+    A micro-batch starts with the prices that the one before it left in ``folder`` and writes its
+    own events and prices under its number, so that a batch that is run again changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{folder}/prices/batch={batch_id - 1}") if batch_id else None
+        events, prices = in_series(batch, run, before)
+        events.write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+        prices.write.mode("overwrite").parquet(f"{folder}/prices/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def append_vectors(stream: DataFrame, folder: str, checkpoint: str, model: str):
     """Append the stream's vectors of one model, coded, to the vector table; other models pass by."""
 
