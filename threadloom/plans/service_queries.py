@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import settings
 from threadloom.functions import text as T
-from threadloom.operators import assemble, retrieval, scoring, series
+from threadloom.operators import assemble, documents, retrieval, scoring, series
 from threadloom.plans.registry import query
 from threadloom.plans.vector_queries import _COS, ASKED
 from threadloom.sources import tables as src
@@ -123,3 +123,13 @@ def settings_problems(spark, d):
     """What is wrong with the settings that each event stores."""
     e = src.read(spark, d, "events").select("event_id", F.expr(_stored("event_id", "event_id - 3")).alias("stored"))
     return settings.problems(e, "event_id", "stored")
+
+
+@query("compiled_documents", """select 'customer/' || c_custkey || '.adoc' as entry,
+  case when c_custkey % 50 <> 0 then '{nation}?' || chr(10) || n_name || ' in ' || r_name || chr(10) || c_name || ' of ' || n_name || ', ' || r_name || '; {none}' || chr(10) || 'nowhere' || chr(10) end as text,
+  case when c_custkey % 100 = 0 then 'circular include: customer/' || c_custkey || '.adoc' when c_custkey % 50 = 0 then 'no such file: gone.adoc' end as error
+  from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey""")
+def compiled_documents(spark, d):
+    """Every customer's document, put together from its own file, its nation's and its region's."""
+    files = src.files(spark, d)
+    return documents.compiled(files, files.filter("path like 'customer/%'").select(F.col("path").alias("entry")))

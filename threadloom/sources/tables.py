@@ -98,3 +98,16 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("props").alias("arguments"),
         F.col("ts"),
     )
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers, nations and regions as text files ``path, text`` that include each other; every 50th customer's has a fault."""
+    text = lambda c: F.col(c).cast("string")
+    lines = lambda *parts: F.concat(*[x for p in parts for x in (p, F.lit("\n"))])
+    c, n, r = (read(spark, folder, t) for t in ("customer", "nation", "region"))
+    own = F.concat(F.lit("customer/"), text("c_custkey"), F.lit(".adoc"))
+    fault = F.when(F.col("c_custkey") % 100 == 0, F.concat(F.lit("include::"), text("c_custkey"), F.lit(".adoc[]"))).when(F.col("c_custkey") % 50 == 0, F.lit("include::../gone.adoc[]")).otherwise("// sound")
+    customers = c.select(own.alias("path"), lines(F.lit("{nation}?"), F.concat(F.lit("include::../nation/./"), text("c_nationkey"), F.lit(".adoc[]")), F.concat("c_name", F.lit(" of {nation}, {region}; {none}")), F.lit(":nation: nowhere"), fault, F.lit("{nation}")).alias("text"))
+    nations = n.select(F.concat(F.lit("nation/"), text("n_nationkey"), F.lit(".adoc")).alias("path"), lines(F.concat(F.lit("include::../region/"), text("n_regionkey"), F.lit(".adoc[]")), F.concat(F.lit(":nation: "), "n_name"), F.lit("{nation} in {region}")).alias("text"))
+    regions = r.select(F.concat(F.lit("region/"), text("r_regionkey"), F.lit(".adoc")).alias("path"), F.concat(F.lit("// a region\n:region: "), "r_name", F.lit("\n")).alias("text"))
+    return customers.unionByName(nations).unionByName(regions)
