@@ -216,3 +216,44 @@ def test_every_wording_of_an_overflow_counts(spark, wording):
     rows = [(f"Error: {wording.upper()} (4096)", True), (wording[:-1], any(p in wording[:-1] for p in T.OVERFLOW)), ("the context of this length is fine", False), (None, False)]
     out = spark.createDataFrame(rows, "e string, want boolean").select("want", T.is_overflow(F.col("e")).alias("got"))
     assert all(r["want"] == r["got"] for r in out.collect())
+
+
+def _content(*blocks):
+    return [{"kind": k, "text": t, "call_id": c} for k, t, c in blocks]
+
+
+def test_a_batch_is_searchable_as_a_whole_or_not_at_all(spark, tmp_path):
+    from threadloom.functions.blocks import CONTENT
+    from threadloom.operators import store
+
+    folder = f"file://{tmp_path}/store"
+    say = lambda text: _content(("text", text, None))
+    rows = [
+        ("a", "t", "user", 1, say("alpha " * 30)),
+        ("b", "t", "assistant", 2, _content(("tool_call", None, "k"))),
+        ("c", "t", "tool", 3, _content(("tool_result", "found", "k"))),
+        ("d", "t", "assistant", 4, _content(("text", "open", None), ("tool_call", None, "lone"))),
+        ("e", "u", "tool", 1, _content(("tool_result", "no call here", "k"))),
+        ("f", "u", "assistant", 2, _content(("tool_call", None, None))),
+        ("g", "u", "user", 3, None),
+    ]
+    schema = f"id string, thread_id string, role string, position long, content {CONTENT}"
+    frame = lambda rows: spark.createDataFrame([(*r[:4], r[4] and [tuple(b.get(n) for n in ("kind", "text", "call_id")) + (None,) * 9 for b in r[4]]) for r in rows], schema)
+    embed = lambda role, texts: [[float(len(t)), 1.0] for t in texts]
+
+    def broken(role, texts):
+        raise RuntimeError("no service")
+
+    with pytest.raises(Exception, match="no service"):
+        store.put(frame(rows), 0, folder, broken, "m")
+    assert store.stored(spark, folder, "messages") is None
+    assert store.put(frame(rows), 0, folder, embed, "m", 60, 10)
+    messages, chunks, vectors = (store.stored(spark, folder, t) for t in store.TABLES)
+    assert {r["id"] for r in messages.collect()} == {"a", "b", "c", "g"}
+    keys = {(r["id"], r["chunk_index"]) for r in chunks.collect()}
+    assert keys == {(r["message_id"], r["chunk_index"]) for r in vectors.collect()} and sum(i == "a" for i, _ in keys) > 2
+    assert not store.put(frame([("z", "t", "user", 9, say("z"))]), 0, folder, embed, "m")
+    # the message that comes again has the chunks of its last batch alone
+    assert store.put(frame([("a", "t", "user", 1, say("short"))]), 1, folder, embed, "m")
+    assert [r["chunk_index"] for r in store.stored(spark, folder, "chunks").filter("id = 'a'").collect()] == [0]
+    assert store.stored(spark, folder, "vectors").filter("message_id = 'a'").count() == 1 and store.stored(spark, folder, "messages").count() == 4

@@ -67,7 +67,7 @@ def group_closure(spark, d):
     return out.select("event_id", "root_id", F.array_join("members", ",").alias("members"), "problem")
 
 
-def _assembled(spark, d):
+def _assembly(spark, d):
     m = src.contents(spark, d).withColumn("tokens", T.token_estimate(B.counted_text(F.col("content"), "openai")))
     last = threads.counts(m).select("thread_id", "max_position")
     m = m.join(last, "thread_id")
@@ -75,6 +75,11 @@ def _assembled(spark, d):
     local = m.filter("position >= max_position - 1").select(event, "id")
     selected = m.filter("position < max_position - 1").select(event, "id", (0.5 + F.col("position") % 5 / 10.5).alias("score"))
     budgets = last.select(event, F.lit(300).alias("budget"), F.lit(20).alias("fixed"))
+    return selected, local, m, budgets
+
+
+def _assembled(spark, d):
+    selected, local, m, budgets = _assembly(spark, d)
     return assemble.assemble(selected, local, m, src.blocks(spark, d), budgets, delimiter=4)
 
 
@@ -115,6 +120,14 @@ def canonical_wire(spark, d):
     return _chat(assemble.canonical(rows))
 
 
+@query("assemble_retry")
+def assemble_retry(spark, d):
+    """After an overflow: the same selection without the message of the lowest score, for every thread."""
+    selected, local, m, budgets = _assembly(spark, d)
+    gone = assemble.lowest_surviving(selected, selected.limit(0).select("event_id", "id"))
+    return assemble.assemble(selected, local, m, src.blocks(spark, d), budgets, delimiter=4, excluded=gone.select("event_id", "id"))[0]
+
+
 @query("assembled_chat")
 def assembled_chat(spark, d):
     """Chat messages of what ``assemble_wire`` sends."""

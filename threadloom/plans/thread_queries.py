@@ -236,6 +236,55 @@ def walk_exclusions(spark, d):
     return graph.exclusions(edges, a, graph.walk(edges, a, 0.8), 0.8).select("event_id", "id", F.round("score", 9).alias("score"), "reason")
 
 
+_HOPS = f"""{_WALK}, gates as (
+  select *, case when (from_position + to_position) % 4 = 0 then 0.95 when from_position % 5 = 0 then 0.55 else 0.85 end::double as stored,
+    case when to_position % 3 = 0 then 0.5 when from_position % 2 = 0 then 0.7 else 0.9 end::double as seen from edges),
+gated(event_id, id, best, hops) as (
+  select event_id, id, 1.0::double, 0 from anchors where event_id % 3 <> 1
+  union all select event_id, from_id, max(best * w), hops + 1 from (
+    select p.event_id, p.best, p.hops, e.from_id, case when p.hops = 0 then stored when p.event_id % 2 = 1 then seen when seen > 0.6 then (63 + p.event_id % 3) / (64 + p.event_id % 3)::double else 0 end as w
+    from gated p join gates e on e.to_id = p.id where p.best >= 0.5) where w >= 0.5 group by event_id, from_id, hops),
+walked as (select event_id, id, max(best) as score from gated where hops > 0 group by 1, 2)"""
+
+
+def _gated(spark, d):
+    """Edges with stored and raw scores, anchors, floors of every second thread, and scopes: own, another thread's, or none."""
+    e = src.provenance(spark, d)
+    f, t = F.col("from_position"), F.col("to_position")
+    stored = F.when((f + t) % 4 == 0, 0.95).when(f % 5 == 0, 0.55).otherwise(0.85)
+    seen = F.when(t % 3 == 0, 0.5).when(f % 2 == 0, 0.7).otherwise(0.9)
+    edges = e.select("from_id", "to_id", stored.alias("score"), seen.alias("cross_encoder_score"), F.lit(1).alias("source"), F.col("thread_id").alias("from_thread"), F.col("thread_id").alias("to_thread"))
+    a = _anchors(spark, d)
+    event = F.col("event_id")
+    floors = a.filter("event_id % 2 = 0").select(event, F.lit(0.6).alias("top"), (63 + event % 3).alias("n"))
+    scopes = a.select(event, F.when(event % 3 == 0, event).when(event % 3 == 1, event + 1).alias("scope_thread"))
+    return edges, a, floors, scopes
+
+
+@query("gated_walk", f"{_HOPS} select event_id, id, round(score, 9) as score from walked where score >= 0.5")
+def gated_walk(spark, d):
+    """Later hops count by the event's floor, scopes hold the walk to a thread."""
+    edges, a, floors, scopes = _gated(spark, d)
+    return graph.traverse(edges, a, 0.5, floors, scopes).select("event_id", "id", F.round("score", 9).alias("score"))
+
+
+@query("scope_exclusions", f"{_HOPS} select event_id, id, round(score, 9) as score, 'below threshold' as reason from walked where score < 0.5 union all select a.event_id, e.from_id, max(e.stored), 'unspecified' from anchors a join gates e on e.to_id = a.id where a.event_id % 3 = 1 group by 1, 2")
+def scope_exclusions(spark, d):
+    """What the walk reached too weakly, and direct dependencies that the scope rules out."""
+    edges, a, floors, scopes = _gated(spark, d)
+    walked = graph.walk(edges, a, 0.5, floors, scopes)
+    return graph.exclusions(edges, a, walked, 0.5, scopes).select("event_id", "id", F.round("score", 9).alias("score"), "reason")
+
+
+@query("reduced_links", f"""with recursive {MSG}, {PROV}, near as (select thread_id as event_id, to_id as id, from_id as needs from edges),
+far(event_id, id, needs) as (select event_id, id, needs from near union select f.event_id, f.id, n.needs from far f join near n on n.event_id = f.event_id and n.id = f.needs)
+select event_id, id, needs from near l where not exists (select 1 from near m join far f on f.event_id = m.event_id and f.id = m.needs and f.needs = l.needs where m.event_id = l.event_id and m.id = l.id)""")
+def reduced_links(spark, d):
+    """Dependencies of every thread's messages without those that others imply."""
+    e = src.provenance(spark, d)
+    return graph.reduced(e.select(F.col("thread_id").alias("event_id"), F.col("to_id").alias("id"), F.col("from_id").alias("needs")))
+
+
 @query("contributor_edges", f"with {MSG}, k as (select *, max(position) over (partition by thread_id) as last from messages), w as (select thread_id, id, position, last, case when position >= last - 1 then 1.0::double when position % 3 <> 0 then position / 10.0::double end as score from k) select id as from_id, 'c' || thread_id || '-' || last as to_id, score from w where position < last and score > 0")
 def contributor_edges(spark, d):
     m = src.messages(spark, d).withColumn("last", F.max("position").over(Window.partitionBy("thread_id")))

@@ -36,7 +36,8 @@ def committed(spark: SparkSession, folder: str) -> list[int]:
     return _numbers(spark, f"{folder}/commits")
 
 
-def _commit(spark: SparkSession, folder: str, kind: str, number: int) -> None:
+def commit(spark: SparkSession, folder: str, kind: str, number: int) -> None:
+    """Mark a number as done; an empty file appears whole or not at all."""
     fs, path = _files(spark, folder)
     fs.create(path(f"{folder}/{kind}/{number}"), True).close()
 
@@ -59,7 +60,7 @@ def put(batch: DataFrame, batch_id: int, folder: str) -> bool:
     rows = batch.filter("size(vector) > 0").select(F.col("message_id").cast("string").alias("message_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "model_id", F.col("seq").cast("long").alias("seq"), "vector")
     rows = _latest(coded(rows).withColumn("batch_id", F.lit(batch_id).cast("long")))
     rows.write.mode("overwrite").partitionBy("model_id").parquet(f"{folder}/data/batch={batch_id}")
-    _commit(spark, folder, "commits", batch_id)
+    commit(spark, folder, "commits", batch_id)
     return True
 
 
@@ -83,7 +84,7 @@ def compact(spark: SparkSession, folder: str) -> int | None:
         return max(_numbers(spark, f"{folder}/bases"), default=None)
     upto, before = numbers[-1], _numbers(spark, f"{folder}/bases")
     current(spark, folder).write.mode("overwrite").partitionBy("model_id").parquet(f"{folder}/base/upto={upto}")
-    _commit(spark, folder, "bases", upto)
+    commit(spark, folder, "bases", upto)
     fs, path = _files(spark, folder)
     for n in numbers:
         fs.delete(path(f"{folder}/commits/{n}"), False)
