@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Pairs that are worked off together, and the longest text of such a pair.
-TOGETHER, LONGEST = 2048, 1024
+TOGETHER, LONGEST = 1024, 1024
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 

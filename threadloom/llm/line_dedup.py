@@ -44,6 +44,8 @@ HALVED, THIRDED = 12, 24
 SHARE = 5
 #: Words of the shorter line, from which on candidates differ in so many of 128 SimHash bits at most.
 MAX_BITS = ((61, 24), (25, 28), (0, 36))
+#: Members of a bucket that all others meet before all pairs between its parts are tried.
+PIVOTS = 16
 #: Words of a piece at most, so that the votes on a bit fit in a byte.
 LONGEST_PIECE = 240
 _LANES = np.uint64(0x0101010101010101)
@@ -266,7 +268,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
             both = pairs.join(lines.toDF("u", "x"), "u").join(lines.toDF("v", "y"), "v")
             return both.filter(_similar_lines(percent)("x", "y")).select("u", "v")
 
-        labels = link_buckets(members, verify, _bound(percent))
+        labels = link_buckets(members, verify, _bound(percent), pivots=PIVOTS)
         labels = labels.union(labels.select("component", "component").distinct())
         tagged = nodes.join(labels.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
         tagged = save(tagged.select("h", "first", F.coalesce("component", "h").alias("part")))

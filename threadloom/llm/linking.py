@@ -60,6 +60,7 @@ def link_buckets(
     verify: Callable[[DataFrame], DataFrame],
     possible: Callable[[Column, Column], Column],
     marks: DataFrame | None = None,
+    pivots: int = 1,
 ) -> DataFrame:
     """Components over all verified links between ids that share a bucket.
 
@@ -69,7 +70,8 @@ def link_buckets(
     lowest id, then a random member of its bucket (buckets differ, so it meets several), then every
     pair of a bucket of three or more that is not yet in one component and not yet tried. Links
     within a component that is already connected change no component, so groups of thousands of
-    alike members cost a few pairs each, and no link is lost.
+    alike members cost a few pairs each, and no link is lost. Where links are loose, so that large
+    buckets hold many parts, ``pivots`` random members a bucket leave less for the last step.
 
     Every one of these joins compares the marks of both sides inside the join and passes only
     pairs on whose marks ``possible`` does not rule a link out; a null mark rules out nothing. So
@@ -95,7 +97,15 @@ def link_buckets(
                 now = save(now)
             order = F.col("id") if turn == "low" else F.xxhash64("id", "key", F.lit(turn))
             pivot = F.min_by(F.struct("id", "part", "mark"), order).alias("pivot")
-            mixed = now.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), pivot).filter("p0 < p1")
+            ends = [F.min("part").alias("p0"), F.max("part").alias("p1")]
+            if turn == "mixed" and pivots > 1:
+                # one pivot of each share of a bucket
+                share = F.pmod(F.xxhash64("id", F.lit("share")), F.lit(pivots)).alias("share")
+                mixed = now.groupBy("key", share).agg(*ends, pivot)
+                whole = mixed.groupBy("key").agg(F.min("p0").alias("p0"), F.max("p1").alias("p1")).filter("p0 < p1").select("key")
+                mixed = mixed.join(whole, "key")
+            else:
+                mixed = now.groupBy("key").agg(*ends, pivot).filter("p0 < p1")
             mixed = save(mixed.select("key", F.col("pivot.id").alias("id2"), F.col("pivot.part").alias("part2"), F.col("pivot.mark").alias("mark2")))
             if mixed.isEmpty():
                 break
@@ -104,8 +114,15 @@ def link_buckets(
             if turn == "all":
                 left = now.join(mixed.select("key"), "key").select("key", "id", "part", "mark")
                 left = save(left if early else left.drop("mark").join(marks, "id"))
-                right = left.select("key", F.col("id").alias("id2"), F.col("part").alias("part2"), F.col("mark").alias("mark2"))
-                pairs = left.join(right, "key").filter(F.expr("id < id2 and part <> part2") & apart)
+                once = F.lit(True)
+                if early:
+                    # a pair comes out of the first bucket that it shares, not of all
+                    whole = left
+                    left = save(whole.join(whole.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"))
+                    free(whole)
+                    once = F.col("key") == F.array_min(F.array_intersect("keys", "keys2"))
+                right = left.select("key", F.col("id").alias("id2"), F.col("part").alias("part2"), F.col("mark").alias("mark2"), *([F.col("keys").alias("keys2")] if early else []))
+                pairs = left.join(right, "key").filter(F.expr("id < id2 and part <> part2") & apart & once)
             else:
                 pairs = now.join(mixed, "key").filter(F.expr("part <> part2") & apart)
             pairs = pairs.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
