@@ -22,6 +22,7 @@ COLUMNS = {
     "op6_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op8_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_personal_data": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }
 ODD = DOCS + ", score double, lines string, text_hash long, _th int, _d int, _t int, label int, rep long"
 
