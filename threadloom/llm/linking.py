@@ -55,6 +55,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def more_links(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` as ``components`` gives them, after further ``edges``: only links between parts are worked off."""
+    ends = edges.select("u", "v")
+    for end in ("u", "v"):
+        part = labels.select(F.col("id").alias(end), "component")
+        ends = ends.join(part, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    with scratch() as kept:
+        moved = save(components(save(ends.filter("u <> v").distinct())))
+        kept.append(moved)
+    now = labels.join(moved.toDF("component", "lower"), "component", "left")
+    return now.select("id", F.coalesce("lower", "component").alias("component")).union(moved)
+
+
 def link_buckets(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -87,7 +100,7 @@ def link_buckets(
             sizes = save(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
             members = save(members.join(sizes, "key"))
             free(sizes)
-        tried = edges = labels = None
+        tried = labels = None
         for turn in ("low", "mixed", "all"):
             now = members.withColumn("part", F.col("id"))
             if turn != "low":
@@ -135,10 +148,9 @@ def link_buckets(
             with scratch() as links:
                 found = save(verify(pairs))
                 links.append(found)
-            edges = found if edges is None else edges.union(found)
             before = labels
             with scratch() as links:
-                labels = save(components(edges))
+                labels = save(components(found) if before is None else more_links(before, found))
                 links.append(labels)
             if before is not None:
                 free(before)
