@@ -436,3 +436,34 @@ def test_mass_of_a_thread_longer_than_thirteen_messages(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[i] - m) < 1e-4 for i, m in want.items())
     places = {r["id"]: r["place"] for r in run["mass_rank_bits"](spark, str(tmp_path)).collect()}
     assert sorted(places.values()) == list(range(1, n)) and places[max(want, key=want.get)] == 1
+
+
+def test_newest_message_has_the_smallest_id_of_a_position(spark):
+    rows = [("t", "b", 5), ("t", "a", 5), ("t", "z", 4), ("u", "x", -2)]
+    messages = spark.createDataFrame(rows, "thread_id string, id string, position int")
+    got = {(r["thread_id"], r["id"], r["position"]) for r in threads.latest(messages).collect()}
+    assert got == {("t", "a", 5), ("u", "x", -2)}
+    assert got == {(r["thread_id"], r["id"], r["position"]) for r in threads.recent(messages, 1).collect()}
+
+
+def test_percentiles_of_a_stage_that_one_value_fills(spark):
+    values = [7.0] * 900 + [float(k) for k in range(60)] + [500.0] * 40
+    out = telemetry.stage_percentiles(spark.createDataFrame([("s", v) for v in values] + [("one", 3.0)], "stage string, ms double"), ranges=4)
+    got = {r["stage"]: r for r in out.collect()}
+    values.sort()
+    assert [got["s"][p] for p in ("p50", "p90", "p99", "max_ms", "n")] == [*[values[math.floor((len(values) - 1) * p)] for p in (0.5, 0.9, 0.99)], 500.0, 1000]
+    assert [got["one"][p] for p in ("p50", "p99", "n")] == [3.0, 3.0, 1]
+
+
+def test_blocks_of_queries_by_bytes_give_the_same_rows(spark):
+    from threadloom.operators import retrieval
+
+    vectors = np.random.default_rng(4).normal(size=(40, 8)).round(3).tolist()
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, vector array<double>")
+    queries = table.limit(12).toDF("query_id", "query_vector")
+    want = sorted(map(tuple, retrieval.nearest(queries, table, 3).collect()))
+    before, retrieval.BLOCK_BYTES = retrieval.BLOCK_BYTES, 300
+    try:
+        assert sorted(map(tuple, retrieval.nearest(queries, table, 3).collect())) == want and len(want) == 36
+    finally:
+        retrieval.BLOCK_BYTES = before

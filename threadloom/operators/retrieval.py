@@ -7,15 +7,16 @@ they meet the table in blocks. Predicates go below the ranking, so no over-fetch
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import vectors as V
+from threadloom.sources.scratch import save, save_all
 
 #: Queries to broadcast at most; more are worked off in blocks of this size.
 BLOCK = 10_000
+BLOCK_BYTES = 256 << 20
 OVERFETCH, LEAST_SHORTLIST = 16, 128
 #: Share of a query's rows that its shortlist holds at least; recall depends on it, whatever the table's size.
 SHARE = 1 / 3
@@ -27,11 +28,18 @@ def best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: st
 
 
 def pairs(queries: DataFrame, table: DataFrame, ranked: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:
-    """``ranked`` over every query with every row, in blocks of queries; ``key`` deals them to blocks."""
-    n = queries.count()
-    blocks = -(-n // BLOCK) or 1
-    parts = [queries] if blocks == 1 else [queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, [ranked(table.crossJoin(F.broadcast(part))) for part in parts])
+    """``ranked`` over every query with every row; ``key`` deals the queries to blocks.
+
+    A block has about ``BLOCK`` queries and ``BLOCK_BYTES`` (as JSON, vectors and lists included)
+    at most, and is broadcast. Several blocks are worked off one after the other into one table.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    if blocks == 1:
+        return ranked(table.crossJoin(F.broadcast(queries)))
+    queries = save(queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))))
+    parts = (queries.filter(F.col("_block") == b).drop("_block") for b in range(blocks))
+    return save_all(ranked(table.crossJoin(F.broadcast(part))) for part in parts)
 
 
 def scored(queries: DataFrame, table: DataFrame, where: Column | None = None, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:

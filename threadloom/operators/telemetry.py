@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import duration_seconds
+from threadloom.sources.scratch import save
 
 RING = 32
 BAND = (0.5, 3.0)
@@ -25,19 +26,21 @@ def _ranges(rows: DataFrame, group: str, value: str, n: int) -> DataFrame:
 def stage_percentiles(traces: DataFrame, points: tuple[float, ...] = (0.5, 0.9, 0.99), ranges: int = 64) -> DataFrame:
     """Per stage the value at place floor((n - 1) * p) of the sorted values, and the maximum.
 
-    A stage's values are counted by ranges first; only the range that holds a wanted place is
-    ranked, so no task sorts all values of a stage.
+    Equal values are one counted row from the start, and these are counted by ranges; only the
+    range that holds a wanted place is gone through, so no task sorts all values of a stage, and a
+    value that most of a stage has is one row.
     """
-    rows = _ranges(traces.select("stage", "ms"), "stage", "ms", ranges)
-    counts = rows.groupBy("stage", "_range").agg(F.count("*").alias("c"), F.max("ms").alias("most"))
+    distinct = save(traces.groupBy("stage", "ms").agg(F.count("*").alias("c")))
+    rows = _ranges(distinct, "stage", "ms", ranges)
+    counts = rows.groupBy("stage", "_range").agg(F.sum("c").alias("c"), F.max("ms").alias("most"))
     upto = Window.partitionBy("stage").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     stage = Window.partitionBy("stage")
     counts = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(stage), "max_ms": F.max("most").over(stage)})
     place = F.explode(F.array(*[F.struct(F.lit(f"p{round(p * 100)}").alias("p"), (F.floor((F.col("n") - 1) * F.lit(p)) + 1).alias("at")) for p in points]))
     wanted = counts.select("stage", "_range", "n", "max_ms", "upto", "c", place.alias("w")).filter("w.at <= upto and w.at > upto - c")
     wanted = wanted.select("stage", "_range", "n", "max_ms", F.col("w.p").alias("p"), (F.col("w.at") - F.col("upto") + F.col("c")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("stage", "_range", "p").orderBy("ms"))
-    found = rows.join(wanted, ["stage", "_range"]).withColumn("k", rank).filter("k = at")
+    held = F.sum("c").over(Window.partitionBy("stage", "_range", "p").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.join(wanted, ["stage", "_range"]).withColumn("held", held).filter("at <= held and at > held - c")
     picks = [F.max(F.when(F.col("p") == f"p{round(p * 100)}", F.col("ms"))).alias(f"p{round(p * 100)}") for p in points]
     return found.groupBy("stage").agg(F.max("n").alias("n"), *picks, F.max("max_ms").alias("max_ms"))
 

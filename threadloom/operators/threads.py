@@ -22,9 +22,10 @@ def recent(messages: DataFrame, n: int) -> DataFrame:
 
 
 def latest(messages: DataFrame) -> DataFrame:
-    """Each thread's newest message, by one aggregation."""
+    """Each thread's newest message, by one aggregation; the smallest id of those at one position, as in ``recent``."""
     rest = [c for c in messages.columns if c != "thread_id"]
-    top = messages.groupBy("thread_id").agg(F.max(F.struct("position", "id", *[c for c in rest if c not in ("position", "id")])).alias("m"))
+    newest = F.struct((-F.col("position")).alias("_back"), F.col("id").alias("_id"))
+    top = messages.filter("position is not null").groupBy("thread_id").agg(F.min_by(F.struct(*rest), newest).alias("m"))
     return top.select("thread_id", *[F.col(f"m.{c}").alias(c) for c in rest])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -47,6 +47,23 @@ def save(df: DataFrame) -> DataFrame:
     return out
 
 
+def save_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """Write several DataFrames of the same columns one after the other and read them as one table.
+
+    Each is a job and a plan of its own, so their number can grow where a union's can't.
+    """
+    path = out = None
+    for k, part in enumerate(parts):
+        spark, schema = part.sparkSession, part.schema
+        path = path or shared_dir(spark)
+        part.write.parquet(f"{path}/part{k}")
+        out = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    out._saved_at = path
+    if (tables := _OPEN.get()) is not None:
+        tables.append(out)
+    return out
+
+
 def free(*tables: DataFrame) -> None:
     """Delete what ``save`` wrote for these tables; other DataFrames are left alone."""
     for table in tables:
