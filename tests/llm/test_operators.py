@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -352,6 +354,23 @@ def test_step_groups_are_even():
     assert max(sums.values()) - min(sums.values()) <= 4096
 
 
+def test_step_groups_are_even_over_all_partitions(spark, tmp_path):
+    from threadloom.llm.work import save
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(5, "doc_id")
+    pieces = save(packing.pack(docs, tokenizer_path(), 2, block_tokens=50_000))
+    got = packing.even_groups(pieces, 5 * 4096)
+    assert got.columns == pieces.columns and got.count() == pieces.count()
+    rows = sorted({(r["sequence_id"], r["sequence_tokens"], r["step_group"]) for r in got.select("sequence_id", "sequence_tokens", "step_group").collect()})
+    assert len({i for i, _, _ in rows}) == len(rows) and len({i >> 40 for i, _, _ in rows}) > 1
+    assert [g for _, _, g in rows] == packing.step_groups([n for _, n, _ in rows], 5 * 4096)
+    sums = Counter()
+    for _, n, g in rows:
+        sums[g] += n
+    assert len(sums) > 3 and max(sums.values()) - min(sums.values()) <= 4096
+    assert packing.even_groups(save(packing.pack(empty(spark), tokenizer_path(), 2))).count() == 0
+
+
 def test_archives_round_trip(spark):
     rows = [(5, "http://a/1", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "u", "<p>é</p>"), (4, "v", None), (6, "w", ""), (7, "x", "y" * 200_000), (3, None, "<p>é</p>"), (None, "n", "only"), (None, "n", "<p>é</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -398,6 +417,57 @@ def test_language_of_held_out_documents(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_languages_equal_plain_counts_losses_and_decoding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(120)
+    rows = [tuple(r) for r in docs.collect()] + [(100_001, "", "en"), (100_002, None, "de"), (100_003, "7 \u00c9t\u00c9!", None), (None, "the end", "en")]
+    whole, (a, b, c) = 1 << 64, map(int, langid._MIX)
+
+    def found(text):
+        chars = [x if unicodedata.category(x)[0] == "L" else " " for x in text.lower()]
+        for k, x in enumerate(chars):
+            if x == " ":
+                continue
+            one = ord(x) * a
+            two = one + (ord(chars[k + 1]) if k + 1 < len(chars) else 32) * b
+            three = two + ((ord(chars[k - 1]) if k else 32) + 7) * c
+            for value in (one, two + 1, three + 2):
+                value %= whole
+                yield ((value ^ value >> 29) * b % whole) >> (64 - langid.BUCKET_BITS)
+
+    counts = {}
+    for doc_id, text, lang in rows:
+        if doc_id is not None and lang is not None and text is not None and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(found(text))
+    langs = sorted(counts)
+    code = langid.codewords(len(langs))
+    assert 2 < len(langs) <= 6 and len({tuple(x) for x in code.T}) == 2 ** (len(langs) - 1) - 1
+
+    def share(lang, at):
+        return (counts[lang][at] + langid.SMOOTHING) / (counts[lang].total() + langid.SMOOTHING * langid.BUCKETS)
+
+    def weight(at, bit):
+        sides = [[share(x, at) for x, s in zip(langs, bit) if s == side] for side in (1, -1)]
+        return math.log(sum(sides[0]) / len(sides[0])) - math.log(sum(sides[1]) / len(sides[1]))
+
+    weights, want = {}, []
+    for _, text, _ in rows:
+        places = list(found(text or ""))
+        if not places:
+            want.append(("und", 0.0))
+            continue
+        for at in set(places) - weights.keys():
+            weights[at] = [weight(at, bit) for bit in code.T]
+        n = len(places) // 3
+        margins = [sum(weights[at][k] for at in places) / n * min(n, langid.ENOUGH_LETTERS) / 3 for k in range(code.shape[1])]
+        losses = [sum(np.logaddexp(0, -m * s) for m, s in zip(margins, word)) for word in code]
+        best = min(range(len(langs)), key=lambda k: losses[k])
+        want.append((langs[best], 1 / sum(math.exp(losses[best] - x) for x in losses)))
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, lang string").repartition(3)
+    got = langid.identify(table).orderBy("k").collect()
+    assert [r["lang_pred"] for r in got] == [x for x, _ in want]
+    assert [r["score"] for r in got] == pytest.approx([x for _, x in want], abs=1e-4)
+
+
 def test_word_hashes_do_not_depend_on_the_batch():
     words, at = arrays.word_hashes(["Ab cd", "", "ab CD\tef"])
     assert at.tolist() == [0, 2, 2, 5] and words[:2].tolist() == words[2:4].tolist()

@@ -5,9 +5,10 @@ to the smallest tier that holds it. Tiers are packed from the longest down: a wi
 the longest waiting piece of its tier, its gap takes the longest shorter pieces that fit, and the
 last of them is cut so that the window is exactly full. What the end of a partition leaves open is
 cut into sequences whose lengths are powers of two, which need no padding. The sequences of each
-block are dealt tier by tier over step groups, so that groups carry nearly the same tokens.
+block are dealt tier by tier over step groups, so that groups carry nearly the same tokens;
+``even_groups`` deals those of all partitions over common groups.
 
-Partitions are packed on their own, in blocks of bounded size: there is no shuffle, and nothing
+Partitions are packed on their own, in blocks of bounded size: there is no shuffle, and no row
 passes the driver.
 
 Defined cases: a null or empty text is its end id alone; rows without or with a repeated doc_id
@@ -18,20 +19,22 @@ columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import slices
 from threadloom.llm.tokens import encoder
+from threadloom.llm.work import save
 
 TIERS = (512, 1024, 2048, 4096)
 BLOCK_TOKENS = 1_000_000
 STEP_TOKENS = 16 * 4096
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long, length_no long"
 
 
 class _Waiting:
@@ -139,21 +142,23 @@ def _run(path: str, end_id: int, tiers: tuple[int, ...], block_tokens: int):
         base = TaskContext.get().partitionId() << 40
         made = groups = pending = 0
         ready: list[list[tuple]] = []
+        of_length: Counter[int] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made, groups, ready, pending
             sizes = [sum(p[2] for p in s) for s in ready]
             steps = step_groups(sizes)
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(10)]
             for k, sequence in enumerate(ready):
                 at = 0
                 for doc_id, start, length, ids, total in sequence:
-                    row = (doc_id, start, length, ids, total, base + made + k, at, sizes[k], base + groups + steps[k])
+                    row = (doc_id, start, length, ids, total, base + made + k, at, sizes[k], base + groups + steps[k], of_length[sizes[k]])
                     for c, v in zip(cols, row):
                         c.append(v)
                     at += length
+                of_length[sizes[k]] += 1
             if cols[0]:
-                kinds = [pa.binary() if k == 3 else pa.int64() for k in range(9)]
+                kinds = [pa.binary() if k == 3 else pa.int64() for k in range(10)]
                 names = [c.split()[0] for c in SCHEMA.split(", ")]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names)
             made, groups, ready, pending = made + len(ready), groups + max(steps, default=-1) + 1, [], 0
@@ -181,3 +186,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_run(tokenizer, end_id, tuple(tiers), block_tokens), SCHEMA)
+
+
+def even_groups(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """``pieces`` of ``pack``, as a written table, with ``step_group`` dealt over the whole output.
+
+    Sequences of one length are numbered through all partitions, the longest lengths first, and
+    dealt there and back over the groups, so any two groups differ by one longest sequence at
+    most. Only counts by partition and length are gathered; the driver sees a row for each length
+    (tiers and powers of two). An empty table stays empty.
+    """
+    part = F.shiftright("sequence_id", 40)
+    first = pieces.filter(F.col("offset") == 0).select(part.alias("part"), "sequence_tokens")
+    counts = save(first.groupBy("part", "sequence_tokens").agg(F.count("*").alias("c")))
+    lengths = sorted(((r["sequence_tokens"], r["c"]) for r in counts.groupBy("sequence_tokens").agg(F.sum("c").alias("c")).collect()), reverse=True)
+    groups = max(1, round(sum(n * c for n, c in lengths) / step_tokens))
+    longer, before = F.lit(0), 0
+    for n, c in lengths:
+        longer, before = F.when(F.col("sequence_tokens") == n, before).otherwise(longer), before + c
+    parts = Window.partitionBy("sequence_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = save(counts.select("part", "sequence_tokens", (longer + F.coalesce(F.sum("c").over(parts), F.lit(0))).alias("_before")))
+    rows = pieces.withColumn("part", part).join(offsets, ["part", "sequence_tokens"])
+    turn = F.col("_before") + F.col("length_no")
+    at, lap = turn % groups, F.floor(turn / groups)
+    return rows.withColumn("step_group", F.when(lap % 2 == 0, at).otherwise(groups - 1 - at)).select(pieces.columns)

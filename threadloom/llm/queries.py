@@ -12,7 +12,7 @@ from threadloom.llm.fingerprint import fingerprints
 from threadloom.llm.langid import held_out, identify
 from threadloom.llm.line_dedup import drop_repeated_lines
 from threadloom.llm.near_dedup import near_duplicates
-from threadloom.llm.packing import pack
+from threadloom.llm.packing import even_groups, pack
 from threadloom.llm.phrases import collocations
 from threadloom.llm.pii import personal_data
 from threadloom.llm.sharding import assign_shards
@@ -20,7 +20,7 @@ from threadloom.llm.spelling import variants
 from threadloom.llm.token_files import read_token_files, write_token_files
 from threadloom.llm.url_filter import judge, page_labels
 from threadloom.llm.warc import read_warc, write_warc
-from threadloom.llm.work import save, shared_dir, text_or_empty
+from threadloom.llm.work import save, scratch, shared_dir, text_or_empty
 
 #: Rules of the URL filter: a host, a slash and the start of the path.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -39,22 +39,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _alone(rows: Callable[[], DataFrame]) -> DataFrame:
+    """The result as a table of its own; the working tables behind it go."""
+    with scratch() as kept:
+        out = save(rows())
+        kept.append(out)
+    return out
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return _alone(lambda: leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     sized = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("bytes"))
-    out = assign_shards(sized, F.col("doc_id"), F.col("bytes"), SHARD_BYTES)
-    return out.select("doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_bytes", "oversized")
+    columns = ["doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_bytes", "oversized"]
+    return _alone(lambda: assign_shards(sized, F.col("doc_id"), F.col("bytes"), SHARD_BYTES).select(columns))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the documents that they show; toxic is bad."""
     pages = _table(spark, sf_dir, "pages")
-    labels = save(page_labels(pages.select("page_id", "html"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
-    return judge(pages.select("page_id", "url"), labels, URL_RULES)
+
+    def rows() -> DataFrame:
+        labels = save(page_labels(pages.select("page_id", "html"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+        return judge(pages.select("page_id", "url"), labels, URL_RULES)
+
+    return _alone(rows)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +92,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=2)
     crc = F.crc32("ids").alias("ids_crc32")
-    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
+    narrow = pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group", "length_no")
+    return even_groups(save(narrow)).drop("length_no")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
