@@ -19,3 +19,9 @@ def _answers(spark, folder, name):
 def test_later_chunks_of_an_event_find_prerequisites(spark, tmp_path):
     found = {(r["event_id"], r["from_id"]): r["cross_encoder_score"] for r in _answers(spark, tmp_path, "select_prerequisites")}
     assert found[4, 80] == 1.0
+
+
+def test_report_counts_the_candidates_of_all_chunks(spark, tmp_path):
+    report = {r["event_id"]: r["n_candidates"] for r in _answers(spark, tmp_path, "selection_report")}
+    # one chunk has eight candidates
+    assert report.keys() == set(range(0, 160, 4)) and min(report.values()) > 8
