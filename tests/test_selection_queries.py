@@ -25,3 +25,9 @@ def test_report_counts_the_candidates_of_all_chunks(spark, tmp_path):
     report = {r["event_id"]: r["n_candidates"] for r in _answers(spark, tmp_path, "selection_report")}
     # one chunk has eight candidates
     assert report.keys() == set(range(0, 160, 4)) and min(report.values()) > 8
+
+
+def test_walk_takes_edges_of_later_chunks(spark, tmp_path):
+    walked = {(r["event_id"], r["id"]): r["score"] for r in _answers(spark, tmp_path, "selected_walk")}
+    # the edge itself, not a longer way round
+    assert walked[4, 80] == round(1 - 1 / 17, 6)
