@@ -639,3 +639,19 @@ def test_page_labels_come_from_the_documents_shown(spark):
     html = [(10, f"<p>{a}</p><p>{both}</p>"), (11, f"<script>{a}</script><p class='x'><b>seven</b> eight\n nine ten eleven<br>"), (12, f"<p>{both}</p>"), (13, None), (14, "<p>unlabelled words stand here alone"), (15, f"<p>{a}</p><p>{b}</p>"), (None, f"<p>{a}</p>")]
     got = page_labels(spark.createDataFrame(html, "page_id long, html string"), docs, labels).collect()
     assert {r["page_id"]: r["bad"] for r in got} == {10: 1, 11: 0, 15: 1}
+
+
+def test_page_labels_join_hashes_and_no_texts(spark, monkeypatch):
+    from threadloom.llm import url_filter
+
+    plans = []
+    monkeypatch.setattr(url_filter, "save", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan()) or df)
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    url_filter.page_labels(spark.createDataFrame([(10, "<p>x")], "page_id long, html string"), docs, labels)
+    joined = []
+    for node in plans:
+        plans += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joined += [c.output().mkString(",") for c in (node.left(), node.right())]
+    assert len(joined) == 2 and not any("text" in c for c in joined)

@@ -141,7 +141,8 @@ def page_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame, least_word
         return F.transform(F.filter(clean, lambda x: F.size(F.split(x, " ")) >= least_words), lambda x: F.xxhash64(x))
 
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("bad"))
-    lines = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "bad", F.explode(hashed(F.split("text", "\n"))).alias("h"))
+    # hashes, not texts, go to the join
+    lines = docs.select("doc_id", hashed(F.split("text", "\n")).alias("hs")).join(known, "doc_id").select("doc_id", "bad", F.explode("hs").alias("h"))
     single = lines.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.max("bad").alias("bad")).filter("d0 = d1")
     # written, so that the join below can split a paragraph that very many pages show
     single = save(single.select("h", "bad"))
