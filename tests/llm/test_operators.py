@@ -295,6 +295,19 @@ def test_fingerprints(spark):
 TEXTS = ["", "Hello, world! It's 3.5 o'clock...", "naïve café über\n\nstraße", "<|endoftext|> odd <|EndOfText|>", "a" * 3000, "x. y, z; (q) ?! é", prose(500, RNG)]
 
 
+def test_encoder_gives_new_words_together_to_the_library():
+    from tokenizers import Tokenizer
+
+    enc, model, asked = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), []
+    plain, draw = enc._ids, random.Random(3)
+    enc._ids = lambda texts: asked.extend(texts) or plain(texts)
+    words = ["".join(draw.choices("abcdéßИ中7'-_", k=draw.randint(1, 12))) for _ in range(7000)]
+    texts = [" ".join([*words, "a|b", "|", "||.", "\u0301x", "\u037e", "\uff5c", "x\u00a0y", "\u3000", "\u212a"]), "", " | ", words[0]]
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc(texts)]
+    assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 20
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
