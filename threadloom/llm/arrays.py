@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODES = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
@@ -88,3 +89,11 @@ def slices(texts: list[str], limit: int = 500_000) -> Iterator[tuple[int, int]]:
         used += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def small(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in parts of about ``limit`` bytes, so that few become Python objects at once."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

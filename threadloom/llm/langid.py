@@ -93,7 +93,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lo, hi in slices(texts, 1_000_000):
+        for lo, hi in slices(texts, 200_000):
             found, rows = grams(texts[lo:hi])
             for lang in set(langs[lo:hi]):
                 own = np.repeat(np.array([x == lang for x in langs[lo:hi]]), np.diff(rows))

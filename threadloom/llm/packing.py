@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrays import slices
+from threadloom.llm.arrays import slices, small
 from threadloom.llm.tokens import encoder
-from threadloom.llm.work import save
+from threadloom.llm.work import give_back, save
 
 TIERS = (512, 1024, 2048, 4096)
 BLOCK_TOKENS = 1_000_000
@@ -138,6 +138,7 @@ def _run(path: str, end_id: int, tiers: tuple[int, ...], block_tokens: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode, packer = encoder(path), Packer(tiers)
         base = TaskContext.get().partitionId() << 40
         made = groups = pending = 0
@@ -163,7 +164,7 @@ def _run(path: str, end_id: int, tiers: tuple[int, ...], block_tokens: int):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names)
             made, groups, ready, pending = made + len(ready), groups + max(steps, default=-1) + 1, [], 0
 
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):
                 for doc_id, found in zip(ids[lo:hi], encode(texts[lo:hi])):
