@@ -1,10 +1,13 @@
 """What the Python workers of the pipeline hold at once, and SimHashes of whole lines."""
 
+import random
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import packing
+from threadloom.llm import line_dedup, packing
 from threadloom.llm.queries import tokenizer_path
 
 
@@ -37,3 +40,22 @@ def test_packing_takes_a_large_batch_in_parts(monkeypatch):
     out = list(packing._run(tokenizer_path(), 2, packing.TIERS, packing.BLOCK_TOKENS)(iter([batch])))
     assert len(taken) > 1 and max(taken) < 5 << 20
     assert {d for b in out for d in b.column(0).to_pylist()} == set(range(1200))
+
+
+def test_simhash_of_lines_of_all_lengths_against_plain_counts():
+    draw = random.Random(8)
+    n = np.array([5, 254, 255, 256, 257, 480, 481, 3000])
+    words = np.array([draw.getrandbits(64) for _ in range(n.sum())], np.uint64)
+    first = np.cumsum(n) - n
+    # place 8 * r + q of the result is bit 8 * q + r
+    expected = [[2 * sum(int(w) >> (8 * q + r) & 1 for w in words[lo : lo + m].tolist()) > m for r in range(8) for q in range(8)] for lo, m in zip(first.tolist(), n.tolist())]
+    found = line_dedup._line_votes(words, first, n)
+    assert np.array_equal(np.unpackbits(found.view(np.uint8)).reshape(-1, 64), np.array(expected, np.uint8))
+
+
+def test_lines_of_repeated_rows_are_written_once():
+    wanted = [{"line_no": 1, "h": 7}, {"line_no": 0, "h": 9}]
+    row = pa.struct([("line_no", pa.int32()), ("h", pa.int64())])
+    batch = pa.record_batch([pa.array(["One, two\nTHREE"] * 3), pa.array([wanted] * 3, pa.list_(row))], ["text", "wanted"])
+    out = pa.Table.from_batches(line_dedup._wanted_lines(iter([batch, batch]))).to_pylist()
+    assert out == [{"id": 7, "line": "three"}, {"id": 9, "line": "one two"}]

@@ -82,7 +82,7 @@ def _lowest(words: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
 
 def _votes(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A 64-bit SimHash from each row of bit sums: the bits that more than half of the words have."""
-    return np.packbits(2 * sums > counts[:, None], axis=1).view(np.uint64).ravel()
+    return np.packbits(sums > (counts // 2).astype(sums.dtype)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def _bit_sums(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -94,6 +94,16 @@ def _bit_sums(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack(lanes, axis=1).view(np.uint8)
 
 
+def _line_votes(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of whole lines; those of more words than a byte counts are summed up by parts."""
+    out = _votes(_bit_sums(words, first), np.minimum(n, 255))
+    for k in np.flatnonzero(n > 255).tolist():
+        own = words[first[k] : first[k] + n[k]]
+        sums = _bit_sums(own, np.arange(0, len(own), LONGEST_PIECE)).sum(axis=0, dtype=np.int64)
+        out[k] = _votes(sums[None], n[k : k + 1])[0]
+    return out
+
+
 def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """SimHash of every line, and (line, block key) of its pieces.
 
@@ -104,24 +114,20 @@ def _blocks(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.nda
     rest = n[line] - place
     lines, keys = [], []
 
-    def add(of: np.ndarray, cut: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(cut[of])
-        counts = np.diff(starts, append=len(of))
-        sums = _bit_sums(words[of], starts).astype(np.int32)
-        lines.append(line[of[starts]])
-        keys.append(mix(_votes(sums, counts) + counts.astype(np.uint64) * _PLACES + _FAMILIES[family]))
-        return sums, lines[-1]
+    def add(words: np.ndarray, line: np.ndarray, cut: np.ndarray, family: int) -> None:
+        starts = np.flatnonzero(cut)
+        counts = np.diff(starts, append=len(words))
+        lines.append(line[starts])
+        keys.append(mix(_votes(_bit_sums(words, starts), counts) + counts.astype(np.uint64) * _PLACES + _FAMILIES[family]))
 
     cut = (place % LONGEST_PIECE == 0) | (_lowest(words, line, 2) & (place >= 3) & (rest >= 3))
-    sums, of = add(np.arange(len(words)), cut, 0)
-    more = _bit_sums(mix(words ^ _PLACES), np.flatnonzero(cut)).astype(np.int32)
-    starts = np.searchsorted(of, np.arange(len(n)))
-    simhash = np.stack([_votes(np.add.reduceat(x, starts, axis=0), n) for x in (sums, more)], axis=1)
+    add(words, line, cut, 0)
+    simhash = np.stack([_line_votes(x, first, n) for x in (words, mix(words ^ _PLACES))], axis=1)
     for family, (parts, most) in enumerate(((2, HALVED), (3, THIRDED)), 1):
         short = np.flatnonzero(n[line] <= most)
         if len(short):
-            bounds = [place == n[line] * j // parts for j in range(parts)]
-            add(short, np.logical_or.reduce(bounds), family)
+            bounds = [place[short] == n[line[short]] * j // parts for j in range(parts)]
+            add(words[short], line[short], np.logical_or.reduce(bounds), family)
     return simhash, np.concatenate(lines), np.concatenate(keys)
 
 
@@ -199,9 +205,16 @@ def _occurrences(min_words: int):
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The normalised lines; of rows that repeat a document, the task takes the first."""
+    seen: set[int] = set()
     for batch in batches:
         ids, lines = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if wanted[0]["h"] in seen:
+                continue
+            seen.add(wanted[0]["h"])
+            if len(seen) > 1_000_000:
+                seen.clear()
             parts = text.split("\n")
             for w in wanted:
                 ids.append(w["h"])
@@ -261,7 +274,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
         members = _members(occurrences)
         ids = members.select(F.col("id").alias("h")).distinct()
         wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
-        texts = _with_key(docs, save(wanted), "inner").dropDuplicates(["_d", "_t"]).select(F.col("text").cast("string"), "wanted")
+        texts = _with_key(docs, save(wanted), "inner").select(F.col("text").cast("string"), "wanted")
         lines = save(texts.mapInArrow(_wanted_lines, "id long, line string"))
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -281,7 +294,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
 
 def _with_key(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """``docs`` joined to ``other (doc_id, text_hash, ...)``, which keeps the names ``_d`` and ``_t``; nulls meet nulls."""
-    other = other.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    other = other.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}).hint("shuffle_hash")
     same_id = docs["doc_id"].cast("long").eqNullSafe(other["_d"])
     return docs.join(other, same_id & (F.xxhash64(docs["text"].cast("string")) == other["_t"]), how)
 
