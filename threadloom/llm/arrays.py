@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +29,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    steps = np.full(n, _BASE, dtype=np.uint64)
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
+@lru_cache(2)
+def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    return _powers(n, _BASE), _powers(n, np.uint64(pow(int(_BASE), -1, 2**64)))
+
+
 def hashed_runs(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of every maximal run of bytes of ``raw`` that is ``inside``."""
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    """64-bit hash, start and end of every maximal run of bytes of ``raw`` that is ``inside``.
+
+    A run's sum is a difference of running sums over all bytes, taken back by its place.
+    """
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    sizes = ends - starts
-    byte_at = np.flatnonzero(inside)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(byte_at)) - np.repeat(first, sizes)
-    value = _BYTE_CODES[raw[byte_at]] * _powers(int(sizes.max()))[place]
-    return mix(np.add.reduceat(value, first)), starts, ends
+    scale = 1 << max(20, int(len(raw) - 1).bit_length())
+    up, down = _scales(scale) if scale == 1 << 20 else _scales.__wrapped__(scale)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[raw] * up[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

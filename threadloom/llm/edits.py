@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pairs that are worked off together, and the longest text of such a pair.
-TOGETHER, LONGEST = 1024, 1024
+#: Pairs that are worked off together at least and at most, their code points, and the longest text of such a pair.
+FEW, TOGETHER, POINTS, LONGEST = 24, 1024, 1 << 19, 4096
+#: One more than the last code point.
+NO_POINT = 0x110000
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 
@@ -77,57 +79,109 @@ def similar(a: str, b: str, percent: int) -> bool:
 
 def _points(texts: list[str]) -> np.ndarray:
     """Code points of the texts, a row each, filled up with a value that no text has."""
-    out = np.full((len(texts), max(map(len, texts))), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(texts), max(map(len, texts))), NO_POINT, np.uint32)
     for k, t in enumerate(texts):
         out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
     return out
 
 
-def distances(a: list[str], b: list[str]) -> np.ndarray:
+def distances(a: list[str], b: list[str], limits: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of pairs of texts that are not empty, a step of all pairs at a time.
 
     Bits are the rows of a column, 64 to a block; each block passes the horizontal difference at
-    its last row on to the block below.
+    its last row on to the block below, which is a column behind, so that a step is all blocks. With ``limits``, no smaller than the difference in length,
+    a distance above a pair's limit comes out as some number above it: only blocks that such a
+    distance leaves room for are worked off, and pairs go once their whole column is above it.
     """
     n, rows, columns = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
     left, right = _points(a), _points(b)
-    known, code = np.unique(left, return_inverse=True)
-    code, blocks = code.reshape(left.shape), -(-left.shape[1] // 64)
+    known, blocks = np.flatnonzero(np.bincount(left.ravel())), -(-left.shape[1] // 64)
+    codes = np.full(NO_POINT + 1, len(known))
+    codes[known] = np.arange(len(known))
+    code, place = codes[left], codes[right]
+    pairs = np.arange(n)
+    if limits is None:
+        above, below, out = right.shape[1], left.shape[1], np.zeros(n, np.int64)
+    else:
+        out = limits + 1
+        pairs = np.flatnonzero(_unmatched(code, rows, place, columns, len(known)) <= limits)
+        if not len(pairs):
+            return out
+        rows, columns, code, place, limits = rows[pairs], columns[pairs], code[pairs], place[pairs], limits[pairs]
+        above, below = int((limits + columns - rows).max()) // 2, int((limits + rows - columns).max()) // 2
+    n, most = len(pairs), int(columns.max())
     equal = np.zeros((blocks, n, len(known) + 1), np.uint64)
-    for row in range(left.shape[1]):
+    for row in range(int(rows.max())):
         held = np.flatnonzero(row < rows)
         equal[row // 64, held, code[held, row]] |= _ONE << np.uint64(row % 64)
-    equal = equal.reshape(blocks, -1)
-    place = np.minimum(np.searchsorted(known, right), len(known) - 1)
-    place = np.where(known[place] == right, place, len(known)) + np.arange(n)[:, None] * (len(known) + 1)
     place = np.ascontiguousarray(place.T)
     up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
-    last, bit = (rows - 1) // 64, ((rows - 1) % 64).astype(np.uint64)
-    ends = range(int(last.min()), int(last.max()) + 1)
-    ones, zeros, t, across, ph, mh = np.ones(n, np.uint64), np.zeros(n, np.uint64), *np.empty((4, n), np.uint64)
-    score = rows.astype(np.int64)
-    for column in range(right.shape[1]):
-        here = equal.take(place[column], axis=1)
-        plus, minus = ones, zeros
-        for block in range(blocks):
-            pv, mv, eq = up[block], down[block], here[block]
-            np.bitwise_or(eq, mv, out=across)
-            np.bitwise_or(eq, minus, out=eq)
-            np.add(np.bitwise_and(eq, pv, out=t), pv, out=t)
-            np.bitwise_or(np.bitwise_xor(t, pv, out=t), eq, out=t)
-            np.bitwise_and(pv, t, out=mh)
-            np.bitwise_or(mv, np.invert(np.bitwise_or(t, pv, out=t), out=t), out=ph)
-            if block in ends:
-                step = ((ph >> bit) & _ONE).view(np.int64) - ((mh >> bit) & _ONE).view(np.int64)
-                score += step * ((column < columns) & (last == block))
-            plus_below, minus_below = ph >> _TOP, mh >> _TOP
-            np.bitwise_or(np.left_shift(ph, _ONE, out=ph), plus, out=ph)
-            np.bitwise_or(np.left_shift(mh, _ONE, out=mh), minus, out=mh)
-            np.invert(np.bitwise_or(across, ph, out=t), out=t)
-            np.bitwise_or(mh, t, out=up[block])
-            np.bitwise_and(ph, across, out=down[block])
-            plus, minus = plus_below, minus_below
-    return score
+    # what each block gets from above, and the value at its last row
+    plus, minus = np.ones((blocks + 1, n), np.uint64), np.zeros((blocks + 1, n), np.uint64)
+    score = np.repeat(np.arange(64, 64 * blocks + 1, 64)[:, None], n, axis=1)
+    last = (rows - 1) // 64
+    ends, moved, entered = columns - 1 + last, True, 1
+    for step in range(int(ends.max()) + 1):
+        if moved:
+            own, moved = np.arange(n) * (len(known) + 1) + np.arange(blocks)[:, None] * (n * (len(known) + 1)), False
+            flat, work, soonest = equal.reshape(-1), np.empty((6, blocks, n), np.uint64), int(ends.min())
+        first, before = max(0, -((63 + above - step) // 65), step - most + 1), entered
+        entered = min(blocks, step + 1, (step + below) // 65 + 1)
+        if entered > before:
+            # the block above is a column ahead
+            score[before] = score[before - 1] + 64 - plus[before].view(np.int64) + minus[before].view(np.int64)
+        now = slice(first, entered)
+        eq = flat.take(place[step - entered + 1 : step - first + 1][::-1] + own[now])
+        pv, mv, from_plus, from_minus = up[now], down[now], plus[now], minus[now]
+        t, across, ph, mh, plus_below, minus_below = work[:, : entered - first]
+        np.bitwise_or(eq, mv, out=across)
+        np.bitwise_or(eq, from_minus, out=eq)
+        np.add(np.bitwise_and(eq, pv, out=t), pv, out=t)
+        np.bitwise_or(np.bitwise_xor(t, pv, out=t), eq, out=t)
+        np.bitwise_and(pv, t, out=mh)
+        np.bitwise_or(mv, np.invert(np.bitwise_or(t, pv, out=t), out=t), out=ph)
+        np.right_shift(ph, _TOP, out=plus_below)
+        np.right_shift(mh, _TOP, out=minus_below)
+        score[now] += plus_below.view(np.int64)
+        score[now] -= minus_below.view(np.int64)
+        np.bitwise_or(np.left_shift(ph, _ONE, out=ph), from_plus, out=ph)
+        np.bitwise_or(np.left_shift(mh, _ONE, out=mh), from_minus, out=mh)
+        np.invert(np.bitwise_or(across, ph, out=t), out=t)
+        np.bitwise_or(mh, t, out=pv)
+        np.bitwise_and(ph, across, out=mv)
+        plus[first + 1 : entered + 1], minus[first + 1 : entered + 1] = plus_below, minus_below
+        # the block above the first gives nothing any more: values there only rise
+        plus[first], minus[first] = 1, 0
+        if step >= soonest:
+            ended = np.flatnonzero(ends == step)
+            at = last[ended]
+            # back from the block's last row to the pair's
+            past = ~np.uint64(0) << ((rows[ended] - 1) % 64).astype(np.uint64) << _ONE
+            rise = np.bitwise_count(up[at, ended] & past).astype(np.int64) - np.bitwise_count(down[at, ended] & past)
+            out[pairs[ended]] = score[at, ended] - rise
+        if limits is not None and step % 32 == 31:
+            # one less, as a path may pass between two blocks
+            low = (score[now] - np.bitwise_count(up[now])).min(axis=0) - 1
+            stay = np.flatnonzero(((low <= limits) | (step - first >= columns) | (first == 0 and step <= above)) & (ends > step))
+            if len(stay) < 0.8 * n:
+                if len(stay) < FEW:
+                    for k in pairs[stay].tolist():
+                        out[k] = edit_distance(a[k], b[k], int(out[k]) - 1)
+                    break
+                pairs, rows, columns, last, ends, limits, n, moved = pairs[stay], rows[stay], columns[stay], last[stay], ends[stay], limits[stay], len(stay), True
+                equal, place, up, down, score, plus, minus = equal[:, stay], place[:, stay], up[:, stay], down[:, stay], score[:, stay], plus[:, stay], minus[:, stay]
+    return out
+
+
+def _unmatched(code: np.ndarray, rows: np.ndarray, place: np.ndarray, columns: np.ndarray, known: int) -> np.ndarray:
+    """Characters of the longer text, wherever they are, that the shorter one lacks: no distance is smaller."""
+    counts = []
+    for codes, sizes in ((code, rows), (place, columns)):
+        held = np.arange(codes.shape[1]) < sizes[:, None]
+        at = (codes + np.arange(len(sizes))[:, None] * (known + 1))[held]
+        counts.append(np.bincount(at, minlength=len(sizes) * (known + 1)).reshape(len(sizes), -1))
+    same = np.minimum(*counts)[:, :known].sum(axis=1)
+    return np.maximum(rows, columns) - same
 
 
 def all_similar(a: list[str], b: list[str], percent: int) -> np.ndarray:
@@ -142,8 +196,17 @@ def all_similar(a: list[str], b: list[str], percent: int) -> np.ndarray:
             out[k] = at_most(x, y) <= limit
             if not out[k]:
                 left.append((longer, k, limit))
-    left.sort()
-    for lo in range(0, len(left), TOGETHER):
-        _, part, limits = map(list, zip(*left[lo : lo + TOGETHER]))
-        out[part] = distances([a[k] for k in part], [b[k] for k in part]) <= np.array(limits)
+    left.sort(reverse=True)
+    lo = 0
+    while lo < len(left):
+        # the longest texts of a step set its columns and blocks
+        hi, most = lo, min(TOGETHER, POINTS // left[lo][0])
+        while hi < len(left) and hi - lo < most and 4 * left[hi][0] >= 3 * left[lo][0]:
+            hi += 1
+        _, part, limits = map(list, zip(*left[lo:hi]))
+        lo = hi
+        if len(part) < FEW:
+            out[part] = [edit_distance(a[k], b[k], most) <= most for k, most in zip(part, limits)]
+        else:
+            out[part] = distances([a[k] for k in part], [b[k] for k in part], np.array(limits)) <= np.array(limits)
     return out

@@ -12,6 +12,8 @@ Candidates share several blocks: two where a line has up to ``THIRDED`` words, e
 ``SHARE`` of all. So each shares one of its rarest blocks, and only those are joined on: common
 phrases, or a passage that many long lines quote, don't bring all of these together. Which links
 the blocks lose is measured in the README. Texts are read once more, for lines that share a block.
+Most blocks belong to one line alone: (block, line) entries are shuffled packed, many to a row, and
+become rows only where lines share the block.
 
 Defined cases: lines with fewer than ``min_words`` words always stay; so do line breaks of kept
 lines; null and empty texts come back as they are; a document may lose all lines and then is the
@@ -48,9 +50,12 @@ MAX_BITS = ((61, 24), (25, 28), (0, 36))
 PIVOTS = 16
 #: Words of a piece at most, so that the votes on a bit fit in a byte.
 LONGEST_PIECE = 240
+#: Blocks that a task holds before it passes them on.
+HELD = 1_000_000
+_NAMES = ["doc_id", "text_hash", "line_no", "h", "words", "chars", "n_blocks", "sig", "sig2", "part", "entries"]
+_LINE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 _LANES = np.uint64(0x0101010101010101)
 _ASCII_GAPS = bytes(c if c == 10 or chr(c).isalnum() or c > 127 else 32 for c in range(256))
-_ODD = re.compile(r"[^\w\x00-\x7f]")
 _GAP = re.compile(r"[\W_]+")
 _PLACES = np.uint64(0x9E3779B97F4A7C15)
 _FAMILIES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, 3, dtype=np.uint64)
@@ -64,7 +69,9 @@ def _cleared(text: str) -> bytes:
     """The text in lower case with spaces for all that is no letter, digit or line break."""
     text = text.lower()
     if not text.isascii():
-        text = _ODD.sub(" ", text)
+        for c in set(text):
+            if c > "\x7f" and not c.isalnum():
+                text = text.replace(c, " ")
     return text.encode("utf-8", "surrogatepass").translate(_ASCII_GAPS)
 
 
@@ -174,12 +181,24 @@ def signed_lines(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _occurrences(min_words: int):
-    """Every long enough line; blocks only where the task has not just seen an equal line."""
-    names = ["doc_id", "text_hash", "line_no", "h", "words", "chars", "sig", "sig2", "blocks"]
+def _entries(keys: list[np.ndarray], lines: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """(block key, line) packed into one row for each part of the keys that has any."""
+    both = np.stack([np.concatenate(keys), np.concatenate(lines)], axis=1)
+    part = (both[:, 0] % np.uint64(parts)).astype(np.uint16)
+    both = both[np.argsort(part, kind="stable")]
+    at = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+    own = np.flatnonzero(np.diff(at))
+    blobs = [both[at[k] : at[k + 1]].tobytes() for k in own.tolist()]
+    empty = [pa.nulls(len(own), t) for t in _LINE_TYPES]
+    return pa.record_batch([*empty, pa.array(own.astype(np.int32)), pa.array(blobs, pa.binary())], _NAMES)
+
+
+def _occurrences(min_words: int, parts: int):
+    """Every long enough line, and in rows of their own its blocks, where the task has not just seen an equal line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held_keys, held_lines, held = [], [], 0
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for lo, hi in slices(texts):
@@ -195,15 +214,44 @@ def _occurrences(min_words: int):
                     fresh[k] = len(seen) > before
                     before = len(seen)
                 sizes = np.diff(x["at"])
-                keys = x["keys"][np.repeat(fresh, sizes)].view(np.int64)
-                at = np.concatenate(([0], np.cumsum(np.where(fresh, sizes, 0)))).astype(np.int32)
+                held_keys.append(x["keys"][np.repeat(fresh, sizes)])
+                sizes = np.where(fresh, sizes, 0)
+                held_lines.append(np.repeat(x["h"], sizes))
+                held += len(held_keys[-1])
                 rows = pa.array(x["row"] + lo)
-                numbers = (pa.array(x[c].astype(np.int32)) for c in ("words", "chars"))
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x["no"].astype(np.int32)), pa.array(x["h"].view(np.int64)), *numbers, *(pa.array(half) for half in np.ascontiguousarray(x["sig"].T).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))], names)
+                numbers = (pa.array(v.astype(np.int32)) for v in (x["words"], x["chars"], sizes))
+                halves = (pa.array(half) for half in np.ascontiguousarray(x["sig"].T).view(np.int64))
+                blank = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x["no"].astype(np.int32)), pa.array(x["h"].view(np.int64)), *numbers, *halves, *blank], _NAMES)
+                if held > HELD:
+                    yield _entries(held_keys, held_lines, parts)
+                    held_keys, held_lines, held = [], [], 0
+        if held:
+            yield _entries(held_keys, held_lines, parts)
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all entries of some parts: those whose key ``c`` > 1 lines have, once each."""
+    blobs = [np.frombuffer(b, np.int64) for batch in batches for b in batch.column(0).to_pylist()]
+    if not blobs:
+        return
+    both = np.concatenate(blobs).reshape(-1, 2)
+    del blobs
+    both = both[np.argsort(both[:, 0])]
+    same = both[1:, 0] == both[:-1, 0]
+    both = both[np.append(same, False) | np.append(False, same)]
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))[: len(both)]]
+    _, at, c = np.unique(both[:, 0], return_inverse=True, return_counts=True)
+    c = c[at]
+    key, h = np.ascontiguousarray(both[c > 1].T)
+    c = c[c > 1]
+    for lo in range(0, len(c), 100_000):
+        yield pa.record_batch([pa.array(x[lo : lo + 100_000]) for x in (h, c, key)], ["h", "c", "key"])
+
+
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The normalised lines; of rows that repeat a document, the task takes the first."""
     seen: set[int] = set()
@@ -244,14 +292,12 @@ def _bound(percent: int):
     return possible
 
 
-def _members(occurrences: DataFrame) -> DataFrame:
+def _members(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """``key, id, mark, c``: the blocks to join on, the rarest ones of each line, that ``c`` > 1 lines have."""
-    entries = occurrences.select("h", F.explode("blocks").alias("key"))
-    counts = entries.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c"))
-    shared = save(counts.filter("lo < hi").select("key", "c"))
-    met = entries.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.collect_set(F.struct("c", "key")).alias("met"))
-    lines = occurrences.filter(F.size("blocks") > 0).select("h", "words", F.size("blocks").alias("n_blocks"), F.struct("words", "chars", "sig", "sig2").alias("mark"))
-    lines = save(met).join(lines, "h").dropDuplicates(["h"])
+    shared = save(entries.repartition("part").select("entries").mapInArrow(_shared, "h long, c long, key long"))
+    met = shared.groupBy("h").agg(F.collect_list(F.struct("c", "key")).alias("met"))
+    lines = nodes.select("h", "words", "n_blocks", F.struct("words", "chars", "sig", "sig2").alias("mark"))
+    lines = save(met).join(lines, "h")
     asked = F.when(F.col("words") <= THIRDED, 2).otherwise(F.ceil(F.col("n_blocks") / SHARE))
     asked = F.least(asked, F.col("n_blocks"))
     # blocks of no other line are the rarest of all
@@ -266,12 +312,15 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = SI
     """``doc_id, text_hash, lines`` (sorted numbers, from 0) of the lines that go."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
     with scratch() as kept:
-        schema = "doc_id long, text_hash long, line_no int, h long, words int, chars int, sig long, sig2 long, blocks array<long>"
-        occurrences = save(rows.mapInArrow(_occurrences(min_words), schema))
+        schema = "doc_id long, text_hash long, line_no int, h long, words int, chars int, n_blocks int, sig long, sig2 long, part int, entries binary"
+        parts = min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+        made = save(rows.mapInArrow(_occurrences(min_words, parts), schema))
+        occurrences = made.filter("part is null")
         place = F.struct("doc_id", "text_hash", "line_no")
-        nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+        marks = [F.max(c).alias(c) for c in ("words", "chars", "n_blocks", "sig", "sig2")]
+        nodes = save(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), *marks))
 
-        members = _members(occurrences)
+        members = _members(made.filter("part is not null").select("part", "entries"), nodes)
         ids = members.select(F.col("id").alias("h")).distinct()
         wanted = nodes.join(ids, "h").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line_no"), "h")).alias("wanted"))
         texts = _with_key(docs, save(wanted), "inner").select(F.col("text").cast("string"), "wanted")
