@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import retrieval
+from threadloom.operators import retrieval, series
 from threadloom.plans import catalog
 
 ROWS, ASKING = 3000, 150
@@ -40,6 +40,29 @@ def _most_rows(spark, run):
     return out, most
 
 
+def _jobs(spark, run):
+    """The number of jobs that ``run`` takes."""
+    spark.sparkContext.setJobGroup(name := f"counted-{random.random()}", "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_price_series_takes_no_jobs_for_each_event(spark, folder):
+    # fifteen events a thread
+    assert _jobs(spark, lambda: catalog.queries()["price_series"](spark, folder).count()) < 15
+
+
+def test_threads_in_order_keep_their_prices_apart(spark):
+    events = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("b", 3, 1), (None, 4, 1), (None, 5, 2)], "thread_id string, event_id long, event_no int")
+    start = spark.createDataFrame([("b", 2.0)], "thread_id string, price double")
+    step = lambda price, event: None if event["event_id"] == 2 else price + event["event_id"]
+    got = {r["event_id"]: (r["thread_id"], r["price"], r["realised"]) for r in series.in_order(events, step, start).collect()}
+    assert got == {2: ("a", 0.0, None), 1: ("a", 0.0, 1.0), 3: ("b", 2.0, 5.0), 4: (None, 0.0, 4.0), 5: (None, 4.0, 9.0)}
+
+
 #: Queries over all pairs of these tables (450,000); what they keep of each task is far less.
 PAIRED = ["vec_knn_cosine"]
 
