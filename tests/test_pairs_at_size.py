@@ -64,7 +64,7 @@ def test_threads_in_order_keep_their_prices_apart(spark):
 
 
 #: Queries over all pairs of these tables (450,000); what they keep of each task is far less.
-PAIRED = ["vec_knn_cosine", "detect_accept", "detect_ranks", "noise_floor"]
+PAIRED = ["vec_knn_cosine", "detect_accept", "detect_ranks", "noise_floor", "ref_draw"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
