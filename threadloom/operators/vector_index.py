@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.ml.clustering import KMeans
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from threadloom.functions import vectors as V
+from threadloom.operators import retrieval, tiles
 from threadloom.operators.retrieval import best
-from threadloom.operators.retrieval import nearest as nearest_of_all
 from threadloom.sources.scratch import save, scratch, shared_dir
 
 #: Rows that the centres are fitted on at most, and centres at most.
@@ -101,7 +100,7 @@ def load(spark: SparkSession, folder: str) -> Index:
 def _probes(index: Index, table: DataFrame, recall: float) -> int:
     """How many nearest buckets hold a share ``recall`` of what a sample of rows finds in the whole table."""
     asking = save(table.orderBy(F.xxhash64("vec_id", F.lit("asking")), "vec_id").limit(ASKING).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector")))
-    found = nearest_of_all(asking, index.rows.select("vec_id", "vector"), ASKED_FOR, F.col("vec_id") != F.col("query_id"))
+    found = retrieval.nearest(asking, index.rows.select("vec_id", "vector"), ASKED_FOR, gone=retrieval.itself())
     places = found.join(index.rows.select("vec_id", "bucket"), "vec_id").join(_met(index, asking, ["query_id"]), ["query_id", "bucket"])
     counts = {r["place"]: r["count"] for r in places.groupBy("place").count().collect()}
     total, seen = sum(counts.values()), 0
@@ -133,48 +132,58 @@ def nearest(
     of: str = "vec_id",
     probes: int | None = None,
     exact: bool = True,
-    then: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    tie: str | None = None,
+    gone: tuple[Column, Column] | None = None,
+    same: tuple[Column, Column] | None = None,
 ) -> DataFrame:
-    """The ``k`` best ``of`` each query by cosine: ``key, of, score, rank`` and the columns that ``then`` leaves.
+    """The ``k`` best ``of`` each query by cosine: ``key, of, tie, score, rank``.
 
-    ``queries (key, query_vector, ...)`` are a stated set; ``where`` may use columns of both sides
-    and goes below the ranking. With ``of`` other than ``vec_id``, ``then`` makes one row of each.
+    ``queries (key, query_vector, ...)`` are a stated set. ``tie``, ``gone`` and ``same`` are those
+    of ``retrieval.closest``. ``where`` may use columns of both sides, but makes a row of every pair
+    that is scored: prefer the other two. All go below the ranking.
     ``exact`` widens to all buckets whose bound reaches the k-th score (all, where fewer are found);
     otherwise the ``probes`` nearest buckets are all (as many as the index measured, if not given).
     """
     key, probes = list(key), probes or index.probes
+    order = [F.desc("score"), F.col(of)]
+    names = [of, *([tie] if tie else [])]
+    rest = lambda found: queries.join(found.groupBy(*key).agg(F.when(F.count("*") >= k, F.min("score")).alias("_least")), key, "left")
+
+    def both(found: DataFrame, more: DataFrame) -> DataFrame:
+        rows = found.drop("rank").unionByName(more.drop("rank"))
+        return best(retrieval.first_of(rows, key, of, tie) if tie else rows, key, order, k, "rank")
+
     with scratch() as kept:
+        if where is None:
+            cells = [c for c in (gone, same) if c]
+            rows = index.rows.select("bucket", "vec_id", *[c for c in names if c != "vec_id"], "vector", *[c[0].alias(f"_of{i}") for i, c in enumerate(cells)])
+            # whole buckets, one after the other, but a large one in parts
+            rows = save(rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "bucket", "vec_id").sortWithinPartitions("bucket"))
+            stored = [(F.col(f"_of{i}"), c[1]) for i, c in enumerate(cells)]
+            left = {"gone": stored[0] if gone else None, "same": stored[-1] if same else None}
+            centers = [(r["bucket"], r["center"], r["cone"]) for r in index.centers.collect()]
+            found = save(retrieval.closest(queries, rows, k, tuple(key), of, tie, **left, probing=tiles.probing(centers, probes, False, _SLACK)))
+            if exact:
+                more = retrieval.closest(rest(found), rows, k, tuple(key), of, tie, **left, probing=tiles.probing(centers, probes, True, _SLACK))
+                found = save(both(found, more))
+            kept.append(found)
+            return found
         met = save(_met(index, queries, key))
 
         def top(probed: DataFrame) -> DataFrame:
-            rows = index.rows.join(probed.select(*key, "bucket"), "bucket").drop("bucket").join(queries, key)
-            rows = rows if where is None else rows.filter(where)
-            rows = then(rows.withColumn("score", F.round(V.cosine("vector", "query_vector"), 6)).drop("vector", "query_vector"))
-            return best(rows, key, [F.desc("score"), F.col(of)], k, "rank")
+            rows = index.rows.join(probed.select(*key, "bucket"), "bucket").drop("bucket").join(queries, key).filter(where)
+            rows = rows.select(*key, *names, F.round(V.cosine("vector", "query_vector"), 6).alias("score"))
+            return best(retrieval.first_of(rows, key, of, tie) if tie else rows, key, order, k, "rank")
 
         found = save(top(met.filter(F.col("place") <= probes)))
         if exact:
-            last = found.groupBy(*key).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-            more = met.filter(F.col("place") > probes).join(last, key, "left").filter(F.col("least").isNull() | (F.col("bound") + _SLACK >= F.col("least")))
-            both = found.drop("rank").unionByName(top(more).drop("rank"))
-            found = save(best(both if of == "vec_id" else _once(both, key, of), key, [F.desc("score"), F.col(of)], k, "rank"))
+            reached = rest(found).select(*key, "_least")
+            more = met.filter(F.col("place") > probes).join(reached, key).filter(F.col("_least").isNull() | (F.col("bound") + _SLACK >= F.col("_least")))
+            found = save(both(found, top(more)))
         kept.append(found)
     return found
 
 
-def _once(rows: DataFrame, key: list[str], of: str) -> DataFrame:
-    """Of two rows for one ``of``, found in different buckets, the better one."""
-    rest = [c for c in rows.columns if c not in (*key, of, "score")]
-    both = rows.groupBy(*key, of).agg(F.max_by(F.struct("score", *rest), F.struct("score", *[-F.col(c) for c in rest])).alias("b"))
-    return both.select(*key, of, "b.*")
-
-
-def best_chunk(rows: DataFrame) -> DataFrame:
-    """For searches of messages: each message's best chunk, the first of equal ones."""
-    top = F.max(F.struct("score", (-F.col("vec_id")).alias("less"))).alias("b")
-    return rows.groupBy("query_id", "message_id").agg(top).select("query_id", "message_id", "b.score", (-F.col("b.less")).alias("vec_id"))
-
-
 def share_scored(index: Index, queries: DataFrame, probes: int | None = None) -> float:
     """Share of all pairs of queries and rows that a probed search scores."""
     probes = probes or index.probes
