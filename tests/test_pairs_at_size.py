@@ -64,7 +64,7 @@ def test_threads_in_order_keep_their_prices_apart(spark):
 
 
 #: Queries over all pairs of these tables (450,000; 2,250,000 where a fourth of the rows ask); what they keep of each task is far less.
-PAIRED = ["vec_knn_cosine", "detect_accept", "detect_ranks", "noise_floor", "ref_draw", "vec_best_per_message", "eval_stages", "density_shed", "lowest_surviving", "mmr_rank", "detect_spread", "select_prerequisites", "selection_report", "selected_walk", "index_knn", "index_search", "index_probed", "index_knn_thread", "vec_recall", "search_enriched", "search_topk"]
+PAIRED = ["vec_knn_cosine", "detect_accept", "detect_ranks", "noise_floor", "ref_draw", "vec_best_per_message", "eval_stages", "density_shed", "lowest_surviving", "mmr_rank", "detect_spread", "select_prerequisites", "selection_report", "selected_walk", "index_knn", "index_search", "index_probed", "index_knn_thread", "vec_recall", "search_enriched", "search_topk", "vec_int8_rerank"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
