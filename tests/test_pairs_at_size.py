@@ -64,7 +64,7 @@ def test_threads_in_order_keep_their_prices_apart(spark):
 
 
 #: Queries over all pairs of these tables (450,000; 2,250,000 where a fourth of the rows ask); what they keep of each task is far less.
-PAIRED = ["vec_knn_cosine", "detect_accept", "detect_ranks", "noise_floor", "ref_draw", "vec_best_per_message", "eval_stages", "density_shed", "lowest_surviving", "mmr_rank", "detect_spread", "select_prerequisites", "selection_report", "selected_walk", "index_knn", "index_search", "index_probed", "index_knn_thread", "vec_recall", "search_enriched", "search_topk", "vec_int8_rerank"]
+PAIRED = ["vec_knn_cosine", "detect_accept", "detect_ranks", "noise_floor", "ref_draw", "vec_best_per_message", "eval_stages", "density_shed", "lowest_surviving", "mmr_rank", "detect_spread", "select_prerequisites", "selection_report", "selected_walk", "index_knn", "index_search", "index_probed", "index_knn_thread", "vec_recall", "search_enriched", "search_topk", "vec_int8_rerank", "eval_recall"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
@@ -147,3 +147,11 @@ def test_shortlists_equal_those_of_rows(spark):
         want = retrieval.best(one, ["query_id"], [F.desc("score"), F.col("message_id")], k, "rank").select("query_id", "message_id", "vec_id", "score", "rank")
         got = retrieval.shortlisted(queries, table, k, 20, "message_id", "vec_id")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_first_ranks_equal_those_of_rows(spark):
+    table, queries = _odd(spark)
+    rows = retrieval.scored(queries, table, F.col("vec_id") != F.col("query_id"))
+    want = telemetry.first_hits(rows.filter("label = query_label and label > 0"), rows)
+    got = retrieval.first_ranks(queries.withColumn("query_label", F.expr("nullif(query_label, 0)")), table, (F.col("label"), F.col("query_label")), retrieval.itself())
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
